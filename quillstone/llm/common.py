@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,10 +23,18 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost."""
-    path = f"{work_folder(df.sparkSession)}/quillstone-{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost.
+
+    Spark drops the shuffle files behind a finished job once the driver collects its garbage; that is asked for here, so
+    that a long operator holds the files of one step at a time.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{work_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

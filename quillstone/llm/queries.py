@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, mixing, packing, secrets, simhash
+from quillstone.llm import gam, mixing, packing, repeats, secrets, simhash
 from quillstone.sources.tables import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of 20 words or more that start earlier in the corpus too."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, spans and the hash of the redacted text."""
     found = secrets.findings(table(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op3_secret_scans": op3_secret_scans,
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
