@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, mixing, packing, repeats, secrets, simhash
+from quillstone.llm import gam, mixing, packing, repeats, rules, secrets, simhash
 from quillstone.sources.tables import table
 
 
@@ -16,6 +16,12 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of a decision list learned from the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts, spans and the hash of the redacted text."""
     found = secrets.findings(table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
+    "op2_rules": op2_rules,
     "op3_secret_scans": op3_secret_scans,
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
