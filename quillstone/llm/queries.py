@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, mixing, packing, repeats, rules, secrets, simhash
+from quillstone.llm import gam, mixing, packing, pii, repeats, rules, secrets, simhash
 from quillstone.sources.tables import table
 
 
@@ -38,6 +38,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the terms that reveal it."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
