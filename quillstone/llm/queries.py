@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs
+from quillstone.llm import gam, licenses, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs
 from quillstone.sources.tables import table
 
 
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document, and the templates that its text blocks meet."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     return spotsigs.report(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rules": op2_rules,
     "op3_secret_scans": op3_secret_scans,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
