@@ -1,21 +1,8 @@
-"""The registry of relational, ingestion and event queries."""
+"""The registered relational, ingestion and event queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillstone.plans import access, aggregates, events, ingestion, joins, lifecycle, reads  # noqa: F401
+from quillstone.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillstone.sources.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"))
-
-
-QUERIES["workspace_summary"] = _summary
-ORACLES["workspace_summary"] = "SELECT count(*) AS orders FROM orders"
+__all__ = ["ORACLES", "QUERIES"]
