@@ -1 +1,95 @@
-"""Under way."""
+"""Permission ladders and access sets over the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.operators import access as A
+from quillstone.plans.aggregates import AS_OF, at
+from quillstone.plans.joins import _ACCESS, accessible_customers
+from quillstone.registry import Tables, query
+
+_KEYS = "(VALUES ('units', false, 'standard'), ('finance', true, 'standard'), ('network', false, 'inbound_projection'), ('projects', false, 'standard')) AS k(permission, is_forbidden, key_kind)"
+_ASKED = "(VALUES ('units'), ('finance'), ('network'), ('projects'), ('typo')) AS a(permission)"
+_LEVELS = "(VALUES ('view'), ('edit'), ('delete')) AS l(level)"
+_DEFAULTS = (
+    "(VALUES ('owner', 'units', true, true, true), ('owner', 'projects', true, true, false), ('owner', 'network', true, true, true), ('owner', 'finance', true, true, true), "
+    "('sales', 'units', true, true, false), ('sales', 'projects', true, false, false), ('read_only', 'units', true, true, true), ('read_only', 'network', true, false, false)) "
+    "AS d(role, permission, can_view, can_edit, can_delete)"
+)
+_ROLE = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'owner' WHEN 'BUILDING' THEN 'sales' WHEN 'MACHINERY' THEN 'read_only' ELSE 'guest' END"
+_MEMBERS = f"(SELECT c_custkey AS \"user\", c_nationkey AS org, c_custkey * 10 AS membership_id, {_ROLE} AS role FROM customer WHERE c_acctbal >= 0)"
+_OVERRIDES = (
+    "(SELECT c_custkey * 10 AS membership_id, 'units' AS permission, CASE WHEN c_custkey % 7 = 0 THEN 'deny' ELSE 'inherit' END AS view_decision, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'allow' ELSE 'inherit' END AS edit_decision, CASE WHEN c_custkey % 3 = 0 THEN 'allow' ELSE 'deny' END AS delete_decision FROM customer WHERE c_custkey % 2 = 1)"
+)
+_DECISION = "CASE level WHEN 'view' THEN view_decision WHEN 'edit' THEN edit_decision ELSE delete_decision END"
+_LADDER = (
+    "CASE WHEN is_forbidden IS NULL OR is_forbidden THEN false WHEN key_kind = 'inbound_projection' AND level <> 'view' THEN false WHEN m.membership_id IS NULL THEN false "
+    f"WHEN {_DECISION} = 'deny' THEN false WHEN m.role = 'read_only' AND level <> 'view' THEN false WHEN {_DECISION} = 'allow' THEN true "
+    "ELSE coalesce(CASE level WHEN 'view' THEN can_view WHEN 'edit' THEN can_edit ELSE can_delete END, false) END"
+)
+
+
+def _sql(t: Tables, text: str) -> DataFrame:
+    t.customer.createOrReplaceTempView("customer")
+    return t.spark.sql(f"SELECT * FROM {text}".replace('"user"', "`user`"))
+
+
+def _frames(t: Tables) -> list[DataFrame]:
+    return [_sql(t, text) for text in (_KEYS, _MEMBERS + " AS m", _DEFAULTS, _OVERRIDES + " AS o")]
+
+
+@query(
+    f"SELECT c_custkey AS \"user\", a.permission, level, {_LADDER} AS allowed FROM customer CROSS JOIN {_ASKED} CROSS JOIN {_LEVELS} LEFT JOIN {_KEYS} ON k.permission = a.permission "
+    f"LEFT JOIN {_MEMBERS} m ON m.\"user\" = c_custkey AND m.org = c_nationkey LEFT JOIN {_DEFAULTS} ON d.role = m.role AND d.permission = a.permission "
+    f"LEFT JOIN {_OVERRIDES} o ON o.membership_id = m.membership_id AND o.permission = a.permission"
+)
+def permission_ladder(t: Tables) -> DataFrame:
+    asked = t.customer.select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("org"))
+    # Two literal frames of a fixed few rows.
+    asked = asked.crossJoin(F.broadcast(_sql(t, _ASKED))).crossJoin(F.broadcast(_sql(t, _LEVELS)))
+    return A.organisation_permission(asked, *_frames(t)).select("user", "permission", "level", "allowed")
+
+
+_GRANTED = (
+    f"o_orderdate <= TIMESTAMP '{AS_OF}' AND o_orderdate + INTERVAL 1000 DAY > TIMESTAMP '{AS_OF}' AND o_orderpriority <> '5-LOW'"
+)
+
+
+@query(
+    f"SELECT o_orderkey AS project FROM orders JOIN customer ON o_custkey = c_custkey JOIN {_MEMBERS} m ON m.\"user\" = c_custkey AND m.org = c_nationkey "
+    f"LEFT JOIN {_DEFAULTS} ON d.role = m.role AND d.permission = 'units' LEFT JOIN {_OVERRIDES} o ON o.membership_id = m.membership_id "
+    f"WHERE {_GRANTED} AND CASE WHEN o_orderkey % 11 = 0 THEN false WHEN o_orderkey % 13 = 0 THEN true WHEN view_decision = 'deny' THEN false ELSE coalesce(can_view, false) END"
+)
+def accessible_entities(t: Tables) -> DataFrame:
+    orders = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    until = F.col("o_orderdate") + F.expr("INTERVAL 1000 DAYS")
+    json = F.when(F.col("o_orderkey") % 11 == 0, '{"units":{"view":"deny"}}').when(F.col("o_orderkey") % 13 == 0, '{"units":{"view":"allow"}}').otherwise("{}")
+    grants = orders.select(
+        F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.col("c_nationkey").alias("org"), F.col("o_orderdate").alias("valid_from"), until.alias("valid_until"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("revoked_at"), F.lit("editor").alias("access_role"), json.alias("permissions"),
+    )
+    asked = orders.select(F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission"), F.lit("view").alias("level"))
+    keys, members, defaults, overrides = _frames(t)
+    none = overrides.withColumn("project", F.lit(None).cast("long")).where("false")
+    return A.project_permission(asked, grants, keys, members, defaults, overrides, none, at(AS_OF)).where("allowed").select("project")
+
+
+@query(
+    "SELECT d.doc_id, coalesce(g.mine, true) AS visible FROM documents d LEFT JOIN (SELECT doc_id, bool_or(doc_id % 3 = 0) AS mine FROM labels WHERE toxic = 1 GROUP BY doc_id) g ON d.doc_id = g.doc_id"
+)
+def restricted_documents(t: Tables) -> DataFrame:
+    grants = t.labels.where("toxic = 1").select("doc_id", (F.col("doc_id") % 3).alias("grantee"))
+    return A.open_or_granted(t.documents.select("doc_id"), "doc_id", grants, F.lit(0))
+
+
+@query(
+    f"SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('signup', 'purchase', 'error') AND user_id IN {_ACCESS} ORDER BY ts DESC NULLS LAST, event_id LIMIT 100"
+)
+def visible_activity(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), "ts")
+    types = t.spark.sql("SELECT * FROM VALUES ('signup'), ('purchase'), ('error') AS v(entity_type)")
+    seen = A.visible_activity(rows, types, accessible_customers(t).withColumnRenamed("c_custkey", "entity_id"))
+    return seen.orderBy(F.col("ts").desc_nulls_last(), "event_id").limit(100).select("event_id", F.col("entity_type").alias("event_type"), F.col("entity_id").alias("user_id"))
