@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,8 @@ def search_pattern(term: str, underscore_is_wildcard: bool = False) -> str:
     """A search term as a LIKE pattern: characters with a meaning of their own become spaces."""
     special = "%,()" if underscore_is_wildcard else "%_,()"
     return "%" + "".join(" " if c in special else c for c in term).strip() + "%"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body names it."""
+    return F.transform(F.array(value), body)[0]

@@ -1 +1,235 @@
-"""Under way."""
+"""Readers, coercions and matching over pages, documents, parts and literal grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.functions import coerce, headers, privacy
+from quillstone.operators import matching as M
+from quillstone.registry import Tables, query
+from quillstone.sources import readers as S
+
+_HEADINGS = ["Land Size (m2)", "LAND $", "Package Price - V002", "Build Price - V002", "Lot #", "BED // BATH // CAR", "  Estate  Name ", "House m²", "Yield %", "Status", "", "Suburb/Town", "Price V12"]
+_CELLS = ["$749,000", "3.5", "3+1", "POA", "From $749,000", "n/a", "TBC", " 1,234.50 ", "-7", "$ 12", "none", "12 to 14", ""]
+_STATES = ["Available", "Under Offer", "EOI", "Not Available", "Completed", "Unconditional", "TBC", "Foo", "Deposit taken", "SOLD", "off market", "in stock"]
+_CSV = "﻿Stock list,,\n\nLot,Address,Price\n1,\"12 High St, Lara\",\"$749,000\"\n2,\"The \"\"Oaks\"\"\nRear\",POA\n,,\n"
+
+
+def _values(items: list[str]) -> str:
+    return ", ".join("('" + x.replace("'", "''") + "')" for x in items)
+
+
+def _literal(t: Tables, items: list[str], name: str) -> DataFrame:
+    return t.spark.sql("SELECT * FROM VALUES " + _values(items) + f" AS v({name})")
+
+
+_KEY = "regexp_replace(replace(replace(lower({x}), '$', ' dollars '), '%', ' percent '), '[^a-z0-9]+', '', 'g')"
+
+
+@query(f"SELECT heading, {_KEY.format(x='heading')} AS key FROM (VALUES {_values(_HEADINGS)}) v(heading) UNION ALL SELECT p_name, {_KEY.format(x='p_name')} FROM part")
+def normalise_header(t: Tables) -> DataFrame:
+    both = _literal(t, _HEADINGS, "heading").union(t.part.select("p_name"))
+    return both.select("heading", headers.header_key(F.col("heading")).alias("key"))
+
+
+@query(
+    "SELECT doc_id, TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '-?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS first_number FROM documents"
+)
+def coerce_number(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", coerce.first_number(F.col("text")).alias("first_number"))
+
+
+@query(
+    f"SELECT cell, TRY_CAST(nullif(regexp_extract(replace(stated, ',', ''), '-?[0-9]+(\\.[0-9]+)?'), '') AS DOUBLE) AS price, CASE WHEN stated IS NOT NULL AND NOT regexp_matches(stated, '^\\$?\\s*[0-9][0-9,]*(\\.[0-9]+)?$') THEN stated END AS display "
+    f"FROM (SELECT cell, CASE WHEN trim(cell) <> '' AND NOT regexp_matches(lower(trim(cell)), '^(n/?a|nil|none|tbc|tba|-{{1,3}}|\\.|unknown|null)$') THEN trim(cell) END AS stated FROM (VALUES {_values(_CELLS)}) v(cell)) x"
+)
+def coerce_price(t: Tables) -> DataFrame:
+    priced = _literal(t, _CELLS, "cell").withColumn("p", coerce.price(F.col("cell")))
+    return priced.select("cell", "p.price", "p.display")
+
+
+def _case(patterns: list[tuple[str, str]], x: str, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN '{v}'" for p, v in patterns) + f" ELSE '{default}' END"
+
+
+@query(f"SELECT cell, CASE WHEN lower(cell) = 'tbc' THEN 'unknown' ELSE {_case(coerce.AVAILABILITY, 'cell', 'unknown')} END AS availability FROM (VALUES {_values(_STATES)}) v(cell) UNION ALL SELECT p_name, {_case(coerce.AVAILABILITY, 'p_name', 'unknown')} FROM part")
+def coerce_enum(t: Tables) -> DataFrame:
+    both = _literal(t, _STATES, "cell").union(t.part.select("p_name"))
+    return both.select("cell", coerce.availability(F.col("cell")).alias("availability"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_title(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", S.html_title(F.col("html")).alias("title"))
+
+
+def _text_sql() -> str:
+    out = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in S.CHROME:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
+    for entity, char in S.ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{char.replace("'", "''")}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_text_sql()} AS body FROM pages")
+def html_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", S.html_text(F.col("html")).alias("body"))
+
+
+@query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) x GROUP BY page_id, href")
+def html_links(t: Tables) -> DataFrame:
+    return S.html_links(t.pages, "page_id", "html").groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^([a-zA-Z]+://)[^/@]*@', '\\1') AS clean, "
+    "regexp_matches(url, '^https?://') AS accepted FROM pages"
+)
+def url_normalise(t: Tables) -> DataFrame:
+    u = F.col("url")
+    return t.pages.select(
+        "page_id",
+        F.lower(F.regexp_extract(u, "^([a-zA-Z]+)://", 1)).alias("scheme"),
+        F.lower(F.regexp_extract(u, "^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1)).alias("host"),
+        F.regexp_replace(F.regexp_replace(u, "#.*$", ""), "^([a-zA-Z]+://)[^/@]*@", "$1").alias("clean"),
+        u.rlike("^https?://").alias("accepted"),
+    )
+
+
+_KIND = "CASE WHEN {x} LIKE '%#%' THEN 'fragment' WHEN {x} LIKE '%utm_%' THEN 'tracked' WHEN {x} LIKE '%?%' THEN 'query' ELSE 'plain' END"
+
+
+@query(
+    f"SELECT kind, body, count(*) AS n FROM (SELECT {_KIND.format(x='url')} AS kind, CASE WHEN regexp_matches(html, '(?i)^\\s*<!doctype html') THEN 'markup' WHEN regexp_matches(html, '^\\s*[\\[{{]') THEN 'structured' ELSE 'delimited' END AS body FROM pages) x GROUP BY kind, body"
+)
+def classify_source(t: Tables) -> DataFrame:
+    body = F.when(F.col("html").rlike(r"(?i)^\s*<!doctype html"), "markup").when(F.col("html").rlike(r"^\s*[\[{]"), "structured").otherwise("delimited")
+    return t.pages.select(F.expr(_KIND.format(x="url")).alias("kind"), body.alias("body")).groupBy("kind", "body").agg(F.count("*").alias("n"))
+
+
+def _files(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(1, _CSV), (2, "a;b\n1;2\n"), (3, "Lot\tSuburb\n7\tLara\n")], "file int, body string").withColumn("mark", S.sniffed(F.col("body")))
+
+
+def _grids(t: Tables) -> DataFrame:
+    return _files(t).select("file", S.cells(F.col("body"), F.col("mark")).alias("rows"))
+
+
+@query()
+def sniff_delimiter(t: Tables) -> DataFrame:
+    return _files(t).select("file", "mark")
+
+
+@query()
+def ingest_delimited(t: Tables) -> DataFrame:
+    return S.keyed_rows(_grids(t), "file", "rows")
+
+
+@query()
+def header_row(t: Tables) -> DataFrame:
+    return S.header_rows(_grids(t), "file", "rows")
+
+
+@query()
+def json_grid(t: Tables) -> DataFrame:
+    body = '{"sheets":[{"properties":{"title":" Lots "},"data":[{"startRow":1,"startColumn":2,"rowData":[{"values":[{"formattedValue":"Lot"},{"formattedValue":"Plan","hyperlink":"https://example.org/p"}]},{"values":[{},{"formattedValue":"7"}]}]}]}]}'
+    return S.grid_cells(t.spark.createDataFrame([(1, body)], "file int, body string"), "file", "body")
+
+
+@query()
+def recordmap_table(t: Tables) -> DataFrame:
+    body = '{"schema":{"a":{"name":"Lot"},"b":{"name":"Price"}},"view":["r2","r1","gone"],"blocks":{"r1":{"alive":true,"properties":{"a":"1","b":"$5","z":"?"}},"r2":{"alive":true,"properties":{"a":"2"}},"r3":{"alive":true,"properties":{"a":"3"}},"gone":{"alive":false,"properties":{"a":"4"}}}}'
+    return S.record_table(t.spark.createDataFrame([(1, body)], "file int, body string"), "file", "body")
+
+
+@query(
+    "SELECT event_id, regexp_matches(props, '\"(k|cost)\"') AS has_key, regexp_matches(props, '\"(client_id|cost|margin)\"') AS forbidden FROM events"
+)
+def json_forbidden_keys(t: Tables) -> DataFrame:
+    keys = F.map_keys(F.from_json("props", "map<string,string>"))
+    named = lambda xs: F.exists(keys, lambda k: k.isin(*xs))
+    return t.events.select("event_id", named(["k", "cost"]).alias("has_key"), named(["client_id", "cost", "margin"]).alias("forbidden"))
+
+
+@query()
+def privacy_paths(t: Tables) -> DataFrame:
+    rows = [(1, '{"item":{"pricing":{"margin":0.2}},"rows":[{"client_id":"c1"}]}'), (2, '{"clientEmail":1,"a":{"internalNote":2},"selectedByUserId":3}'), (3, "{}"), (4, None)]
+    return t.spark.createDataFrame(rows, "id int, payload string").select("id", F.array_join(privacy.forbidden_paths(F.col("payload")), ",").alias("paths"))
+
+
+_EXISTING = "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN p_partkey * 3 END AS anchor, 'R' || CAST(p_partkey % 700 AS VARCHAR) AS reference, p_brand AS brand, p_type AS type, p_size AS size FROM part WHERE p_partkey % 3 <> 0"
+_INCOMING = "SELECT p_partkey AS line, CASE WHEN p_partkey % 4 = 1 THEN p_partkey * 3 END AS anchor, CASE WHEN p_partkey % 5 = 0 THEN 'R' || CAST(p_partkey AS VARCHAR) END AS reference, CASE WHEN p_partkey % 8 = 1 THEN 'Other' ELSE p_brand END AS brand, p_type AS type, p_size AS size FROM part WHERE p_partkey % 2 = 1"
+_DIFFERS = "(coalesce(i.brand, '') <> '' AND coalesce({e}.brand, '') <> '' AND i.brand <> {e}.brand) OR (coalesce(i.type, '') <> '' AND coalesce({e}.type, '') <> '' AND i.type <> {e}.type)"
+
+
+def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    t.part.createOrReplaceTempView("part")
+    fit = lambda q: t.spark.sql(q.replace("AS VARCHAR", "AS STRING"))
+    return fit(_INCOMING), fit(_EXISTING)
+
+
+@query(
+    f"SELECT line, coalesce(a, r, c) AS match, CASE WHEN a IS NOT NULL THEN 1 WHEN r IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS rule FROM (SELECT i.line, "
+    f"min(CASE WHEN NOT ({_DIFFERS.format(e='x')}) THEN x.id END) AS a, min(y.id) AS r, min(z.id) AS c FROM ({_INCOMING}) i LEFT JOIN ({_EXISTING}) x ON x.anchor = i.anchor LEFT JOIN ({_EXISTING}) y ON y.reference = i.reference "
+    f"LEFT JOIN ({_EXISTING}) z ON z.brand = i.brand AND z.type = i.type AND z.size = i.size GROUP BY i.line) m"
+)
+def match_priority_keys(t: Tables) -> DataFrame:
+    incoming, existing = _parts(t)
+    return M.by_priority(incoming, existing, "line", [["anchor"], ["reference"], ["brand", "type", "size"]], ["brand", "type"])
+
+
+@query(f"SELECT i.line, x.id, {_DIFFERS.format(e='x')} AS differs FROM ({_INCOMING}) i JOIN ({_EXISTING}) x ON x.anchor = i.anchor")
+def identity_guard(t: Tables) -> DataFrame:
+    incoming, existing = _parts(t)
+    return incoming.alias("i").join(existing.alias("x"), F.col("i.anchor") == F.col("x.anchor")).select("i.line", "x.id", M.differs("i", "x", ["brand", "type"]).alias("differs"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, unit FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25) w LEFT JOIN (SELECT o_orderkey, (o_orderkey % 7) + 1 AS number, o_custkey AS unit FROM orders WHERE o_orderkey % 2 = 0) u "
+    "ON w.l_orderkey = u.o_orderkey AND w.l_linenumber = u.number"
+)
+def link_inventory(t: Tables) -> DataFrame:
+    wanted = t.lineitem.where("l_quantity > 25").select("l_orderkey", "l_linenumber").distinct()
+    units = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), ((F.col("o_orderkey") % 7) + 1).cast("int").alias("l_linenumber"), F.col("o_custkey").alias("unit"))
+    return wanted.join(units, ["l_orderkey", "l_linenumber"], "left")
+
+
+_CELLS_OF = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query(
+    "SELECT l.o_orderkey AS left_id, min(r.o_orderkey) AS right_id, CAST(5 AS BIGINT) AS agreed FROM orders l JOIN orders r ON l.o_custkey = r.o_custkey AND l.o_orderstatus = r.o_orderstatus AND l.o_totalprice = r.o_totalprice AND l.o_orderdate = r.o_orderdate AND l.o_orderpriority = r.o_orderpriority "
+    "WHERE r.o_orderkey % 3 <> 0 GROUP BY l.o_orderkey HAVING count(*) = 1"
+)
+def align_rows_best_unique(t: Tables) -> DataFrame:
+    left = t.orders.withColumnRenamed("o_orderkey", "left_id")
+    right = t.orders.where("o_orderkey % 3 <> 0").withColumnRenamed("o_orderkey", "right_id")
+    return M.best_unique(left, right, "left_id", "right_id", _CELLS_OF)
+
+
+_SCORES = (
+    "SELECT s.s_suppkey AS item, c.k AS candidate, CAST(count(*) AS DOUBLE) / max(s.n) AS score FROM (SELECT s_suppkey, p, count(*) OVER (PARTITION BY s_suppkey) AS n FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey % 4 AS p FROM lineitem WHERE l_partkey % 50 < 3) x) s "
+    "JOIN (SELECT DISTINCT l_linenumber AS k, l_partkey % 4 AS p FROM lineitem WHERE l_partkey % 211 < 2) c ON s.p = c.p GROUP BY 1, 2"
+)
+
+
+@query(
+    f"SELECT item, CASE WHEN verdict = 'ok' THEN candidate END AS candidate, score, verdict FROM (SELECT item, candidate, score, CASE WHEN score < 0.95 THEN 'no_match' WHEN nxt IS NOT NULL AND score - nxt < 0.2 THEN 'ambiguous' ELSE 'ok' END AS verdict, rn FROM "
+    f"(SELECT item, candidate, score, lead(score) OVER (PARTITION BY item ORDER BY score DESC, candidate) AS nxt, row_number() OVER (PARTITION BY item ORDER BY score DESC, candidate) AS rn FROM ({_SCORES}) q) y) z WHERE rn = 1"
+)
+def match_with_margin(t: Tables) -> DataFrame:
+    t.lineitem.createOrReplaceTempView("lineitem")
+    return M.decisive(t.spark.sql(_SCORES), "item", "candidate")
+
+
+@query(
+    "SELECT l.place AS left_at, CASE WHEN l.n = 1 AND r.n = 1 THEN r.place END AS right_at FROM (SELECT place, name, count(*) OVER (PARTITION BY name) AS n FROM (VALUES (0, 'lot'), (1, 'price'), (2, 'price'), (3, 'status'), (4, 'plan')) v(place, name)) l "
+    "LEFT JOIN (SELECT min(place) AS place, name, count(*) AS n FROM (VALUES (0, 'status'), (1, 'lot'), (2, 'plan'), (3, 'plan')) v(place, name) GROUP BY name) r ON l.name = r.name"
+)
+def header_column_map(t: Tables) -> DataFrame:
+    left = t.spark.sql("SELECT * FROM VALUES (0, 'lot'), (1, 'price'), (2, 'price'), (3, 'status'), (4, 'plan') AS v(at, name)")
+    right = t.spark.sql("SELECT * FROM VALUES (0, 'status'), (1, 'lot'), (2, 'plan'), (3, 'plan') AS v(at, name)")
+    return M.column_map(left, right)
