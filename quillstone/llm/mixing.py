@@ -57,17 +57,28 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
     return held.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate"))
 
 
+def _copies(docs: DataFrame, weights: DataFrame | None, epochs: float, seed: int) -> DataFrame:
+    """row (a struct of the columns of docs), copy and mix_key: a row for each copy, dealt out and sorted by mix_key."""
+    found = cut(rates(docs, weights, epochs), "mixing-rates")
+    if found.count() <= BROADCAST_SOURCES:
+        found = F.broadcast(found)
+    rated = docs.select(F.struct("*").alias("row")).join(found, F.col("row.source").eqNullSafe(F.col("source")))
+    copies = rated.select("row", poisson(F.col("rate"), seed, F.col("row.doc_id")).alias("copies")).where("copies > 0")
+    spread = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
+    return spread.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """The columns of docs with copy (from 1) and mix_key, a row for each copy, in the random order of mix_key.
 
     A row's number of copies is fixed by seed and doc_id alone, so a lost task draws it again; repeated rows draw
-    alike, and rows without an id draw as one. An empty table, or one without characters, gives no rows.
+    alike, and rows without an id draw as one. Columns of docs named copy or mix_key give way. An empty table, or one
+    without characters, gives no rows.
     """
-    found = cut(rates(docs, weights, epochs), "mixing-rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    if found.count() <= BROADCAST_SOURCES:
-        found = F.broadcast(found)
-    rated = docs.join(found, F.col("source").eqNullSafe(F.col("_source")))
-    copies = rated.withColumn("_copies", poisson(F.col("_rate"), seed, F.col("doc_id"))).where(F.col("_copies") > 0)
-    spread = copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return spread.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    return _copies(docs, weights, epochs, seed).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("copy", "mix_key")], "copy", "mix_key")
+
+
+def remix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
+    """mix with the columns of docs and no others."""
+    return _copies(docs, weights, epochs, seed).select("row.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.exprs import let
 from quillstone.llm.common import cut
-from quillstone.llm.spans import find, let
+from quillstone.llm.spans import find
 
 KINDS = ("email", "ip", "card", "phone")
 # The atomic form of each pattern: a start inside a run that failed can't match, and what is taken is never given back,
@@ -151,18 +152,19 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Of overlapping spans the first one, and of those the longest, is replaced. Null texts stay null.
     """
-    spans = detect(docs).select(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin"), "all").dropDuplicates(["_doc", "_twin"])
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.hash(F.coalesce("text", F.lit(""))) == F.col("_twin")), "left")
+    spans = detect(docs).select("doc_id", "twin", "all").dropDuplicates(["doc_id", "twin"])
+    held = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body"))
+    joined = held.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.hash("body") == F.col("twin")), "left")
     ordered = F.sort_array(F.transform("all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, s: Column) -> Column:
-        kept = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        kept = F.concat(a["out"], F.substring(F.col("body"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.when(s["start"] >= a["at"], F.struct(kept.alias("out"), (-s["back"]).alias("at"))).otherwise(a)
 
-    text = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("all") > 0, text).otherwise(F.col("text"))
-    return joined.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(F.col("body"), a["at"] + 1, F.length("body"))))
+    clean = F.when(F.size("all") > 0, text).otherwise(F.col("row.text"))
+    return joined.select(*[clean.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def counts(kind: str) -> Column:

@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_set("place")).alias("places"))
     )
     same = base.select("doc_id", "twin", F.xxhash64("text").alias("same"), F.length("text").alias("size"))
-    firsts = same.groupBy("same", "twin", "size").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(same.groupBy("same", "twin", "size").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-firsts-of")
     copies = same.join(firsts.drop("n"), ["same", "twin", "size"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "twin").distinct()
     copies = cut(copies, "repeats-copies")
 

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.exprs import let
 from quillstone.llm.common import held_out, texts
-from quillstone.llm.spans import let
 
 BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"

@@ -9,8 +9,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.exprs import let
 from quillstone.llm.common import texts
-from quillstone.llm.spans import let, running
+from quillstone.llm.spans import running
 
 KEYWORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
 ASSIGNED = rf"(?i:(?:{KEYWORDS})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)([^\s\"'<>,;]{{8,}})"
@@ -203,8 +204,9 @@ def _redacted() -> Column:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """docs with REPLACEMENT for every secret, n_chars to match, and all other columns as they were. Null texts stay null."""
-    scanned = scan(docs, model)
-    redacted = scanned.select(*[c for c in docs.columns if c != "text"], F.when(F.col("text").isNotNull(), _redacted()).alias("text"))
+    held = docs.select("text", *(["source"] if "source" in docs.columns else []), F.struct("*").alias("_row"))
+    clean = scan(held, model).select("_row", F.when(F.col("text").isNotNull(), _redacted()).alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return redacted.select(docs.columns)
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstone.functions.exprs import let
+
 _BLOCK = 64
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, also where body uses it inside a lambda."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 

@@ -7,8 +7,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.exprs import let
 from quillstone.llm.common import cut
-from quillstone.llm.spans import let
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Content words in a chain, and how many words after the anchor they are looked for in.
