@@ -91,7 +91,8 @@ def token_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in vocabulary.words], pa.string()), pa.array(total)], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in counted.collect()} if vocabulary.words else {}
+    found = {r.word: r.n for r in counted.collect()} if vocabulary.words else {}
+    return dict.fromkeys(words, 0) | found
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = CONTAINED) -> DataFrame:
