@@ -102,7 +102,7 @@ def edited(docs: DataFrame) -> DataFrame:
     links = successors(keyed).withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
     ahead = keyed.join(links, _same("doc_id", "next_doc") & _same("twin", "next_twin"))
     # Repeated rows of the next document bring the same head; one of them is enough.
-    heads = ahead.select("_doc", "_twin", F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    heads = ahead.select("_doc", "_twin", F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("head"), signatures(F.col("text")).alias("next_sigs")).dropDuplicates(["_doc", "_twin"])
     joined = keyed.join(heads, _same("doc_id", "_doc") & _same("twin", "_twin"))
     n = F.length("text")
     changed = F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head"))
