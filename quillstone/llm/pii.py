@@ -115,10 +115,10 @@ def disclosures(docs: DataFrame, terms: DataFrame, support: int = SUPPORT, least
     both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pii-pairs")
     entities = seen.select("doc_id", "twin", "entity").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
     df = _frequencies(docs, cut(both.select("term").distinct(), "pii-terms"))
-    whole = docs.agg(F.count("*").alias("rows"))
-    pmi = F.log2(F.col("both") * F.col("rows") / (F.greatest("df", "both") * F.greatest("holders", "both")))
-    content = F.log2(F.col("rows") / F.greatest("holders", "both"))
-    scored = both.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(whole))
+    rows = F.lit(float(docs.count()))
+    pmi = F.log2(F.col("both") * rows / (F.greatest("df", "both") * F.greatest("holders", "both")))
+    content = F.log2(rows / F.greatest("holders", "both"))
+    scored = both.join(df, "term").join(entities, "entity")
     return scored.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("share")).where(F.col("share") >= least)
 
 
