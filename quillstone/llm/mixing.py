@@ -51,15 +51,17 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
     else:
         given = weights.groupBy(F.col("source").alias("_source")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
         held = mass.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "mass", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    held = held.withColumn("weight", F.when(F.col("mass") > 0, F.col("weight")).otherwise(0.0))
-    whole = held.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))
-    rate = F.lit(epochs) * F.col("weight") / F.col("all_weight") * F.col("all_mass") / F.col("mass")
-    return held.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate"))
+    held = cut(held.withColumn("weight", F.when(F.col("mass") > 0, F.col("weight")).otherwise(0.0)), "mixing-masses")
+    whole = held.agg(F.sum("mass").alias("mass"), F.sum("weight").alias("weight")).first()
+    if not whole.weight:
+        return held.select("source", F.lit(0.0).alias("rate"))
+    rate = F.lit(epochs) * F.col("weight") / F.lit(whole.weight) * F.lit(whole.mass) / F.col("mass")
+    return held.select("source", F.when(F.col("weight") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def _copies(docs: DataFrame, weights: DataFrame | None, epochs: float, seed: int) -> DataFrame:
     """row (a struct of the columns of docs), copy and mix_key: a row for each copy, dealt out and sorted by mix_key."""
-    found = cut(rates(docs, weights, epochs), "mixing-rates")
+    found = rates(docs, weights, epochs)
     if found.count() <= BROADCAST_SOURCES:
         found = F.broadcast(found)
     rated = docs.select(F.struct("*").alias("row")).join(found, F.col("row.source").eqNullSafe(F.col("source")))
