@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import gam, licenses, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs
+from quillstone.llm.oracles import ORACLES
 from quillstone.sources.tables import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without passages of 20 words or more that start earlier in the corpus too."""
@@ -75,4 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
