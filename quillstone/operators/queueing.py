@@ -81,3 +81,24 @@ def outcomes(events: DataFrame, connections: DataFrame, items: DataFrame, handle
 def stamps_differ(previous: Column, current: Column) -> Column:
     """Whether a reading differs from the one before; no reading before is no change."""
     return previous.isNotNull() & ~previous.eqNullSafe(current)
+
+
+def settle(jobs: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """jobs after workers reported: id, next_stage (null stays), reset, retry_after (seconds), result and error.
+
+    Attempts begin anew where the stage changes or the worker says so, so a job that makes progress is never put off for
+    it. The lease ends; a job without a report stays as it is.
+    """
+    said = results.select("id", F.lit(True).alias("_said"), *[F.col(c).alias(f"_{c}") for c in ("next_stage", "reset", "retry_after", "result", "error")])
+    moved = F.coalesce("_reset", F.lit(False)) | (F.col("_next_stage").isNotNull() & ~F.col("_next_stage").eqNullSafe(F.col("stage")))
+    new = {
+        "stage": F.coalesce("_next_stage", "stage"),
+        "attempts": F.when(moved, 0).otherwise(F.col("attempts")),
+        "claim_until": F.lit(None),
+        "next_attempt_at": as_of + seconds(F.greatest(F.coalesce("_retry_after", F.lit(0)), F.lit(0))),
+        "last_result": F.substring("_result", 1, 200),
+        "last_error": F.substring("_error", 1, 500),
+    }
+    types = dict(jobs.dtypes)
+    joined = jobs.join(said, "id", "left")
+    return joined.select(*[F.when(F.col("_said"), new[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in new else F.col(c) for c in jobs.columns])

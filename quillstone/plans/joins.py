@@ -33,10 +33,10 @@ def semi_join_access(t: Tables) -> DataFrame:
     return J.within(rows, accessible_customers(t), "c_custkey").withColumnRenamed("c_custkey", "o_custkey")
 
 
-@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 33 AND o_custkey IN {_ACCESS}")
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 62 AND o_custkey IN {_ACCESS}")
 def semi_join_narrow(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    return J.within(rows, accessible_customers(t), "c_custkey", 33).withColumnRenamed("c_custkey", "o_custkey")
+    return J.within(rows, accessible_customers(t), "c_custkey", 62).withColumnRenamed("c_custkey", "o_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
