@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import live
@@ -72,3 +75,53 @@ def open_or_granted(items: DataFrame, key: str, grants: DataFrame, caller) -> Da
 def visible_activity(activity: DataFrame, allowed_types: DataFrame, parents: DataFrame) -> DataFrame:
     """Activity of an allow-listed entity type whose parent is accessible."""
     return activity.join(F.broadcast(allowed_types.select("entity_type")), "entity_type", "left_semi").join(parents.select("entity_id"), "entity_id", "left_semi")
+
+
+def narrowed(resolved: DataFrame, decisions: DataFrame, scopes: Mapping[str, str]) -> DataFrame:
+    """resolved (membership_id, permission, level, allowed and the scopes' ids) with what narrower scopes deny taken away.
+
+    decisions: membership_id, permission, scope_type, scope_id and a decision for each level. ``scopes`` names the id
+    column of each scope type that lies below what was resolved, the widest first. None of them can open what the
+    parent withholds, so only a denial counts; a row without an id in a scope is not judged by it.
+    """
+    held = decisions.select("membership_id", "permission", "scope_type", "scope_id", F.col("view_decision").alias("_v"), F.col("edit_decision").alias("_e"), F.col("delete_decision").alias("_d"))
+    out = resolved
+    for scope, column in scopes.items():
+        own = held.where(F.col("scope_type") == scope).drop("scope_type").withColumnRenamed("scope_id", column)
+        denied = F.coalesce(_by_level("level", "_v", "_e", "_d") == "deny", F.lit(False))
+        out = out.join(own, ["membership_id", "permission", column], "left").select(*[(F.col("allowed") & ~denied).alias("allowed") if c == "allowed" else F.col(c) for c in out.columns])
+    return out
+
+
+def dispatched(rows: DataFrame, accessible: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows (scope_type, scope_id) that are as reachable as what they are attached to; an unknown scope type reaches nothing.
+
+    accessible: for each scope type a frame with the scope_id of what the caller reaches. One semi-join serves all types.
+    """
+    reach = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("scope_type"), "scope_id") for kind, df in accessible.items()])
+    return rows.join(reach, ["scope_type", "scope_id"], "left_semi")
+
+
+def scope_commands(connections: DataFrame, grants: DataFrame, commands: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new grants, outcomes) of commands (command, connection, operation grant or revoke, scope).
+
+    Scopes move only on active connections; granting what is granted and revoking what isn't changes nothing. Of several
+    commands for a connection's scope the last one counts, the others are SUPERSEDED.
+    """
+    held = grants.select("connection", "scope", F.lit(True).alias("_held"))
+    known = keys.select("scope", F.lit(True).alias("_known"))
+    last = F.max("command").over(Window.partitionBy("connection", "scope"))
+    joined = commands.withColumn("_last", last).join(connections.select("connection", "state"), "connection", "left").join(F.broadcast(known), "scope", "left").join(held, ["connection", "scope"], "left")
+    grant = F.col("operation") == "grant"
+    outcome = (
+        F.when(F.col("state").isNull(), "CONNECTION_NOT_FOUND")
+        .when(F.col("state") != "active", "CONNECTION_NOT_ACTIVE")
+        .when(F.col("_known").isNull(), "UNKNOWN_SCOPE")
+        .when(F.col("command") < F.col("_last"), "SUPERSEDED")
+        .when(grant, F.when(F.col("_held"), "ALREADY_GRANTED").otherwise("GRANTED"))
+        .otherwise(F.when(F.col("_held"), "REVOKED").otherwise("NOT_GRANTED"))
+    )
+    judged = joined.withColumn("outcome", outcome)
+    moved = lambda what: judged.where(F.col("outcome") == what).select("connection", "scope")
+    new = grants.select("connection", "scope").join(moved("REVOKED"), ["connection", "scope"], "left_anti").unionByName(moved("GRANTED"))
+    return new, judged.select("command", "outcome")

@@ -102,3 +102,20 @@ def settle(jobs: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     types = dict(jobs.dtypes)
     joined = jobs.join(said, "id", "left")
     return joined.select(*[F.when(F.col("_said"), new[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def reopened(jobs: DataFrame, current: int, as_of: Column) -> DataFrame:
+    """jobs with settled ones begun anew that a worker of an older version than ``current`` failed on, and no image came of.
+
+    branches is JSON: for each document its result and, where a worker of ours caused it, the runtime_version. A read
+    that never came back counts with or without a version, a retirement only with one; a dead link carries none, and
+    what a document answered stays true.
+    """
+    branches = F.map_values(F.from_json(F.coalesce("branches", F.lit("{}")), "map<string,map<string,string>>"))
+    older = lambda b: F.coalesce(F.try_element_at(b, F.lit("runtime_version")).cast("int"), F.lit(0)) < current
+    result = lambda b: F.try_element_at(b, F.lit("result"))
+    ours = F.exists(branches, lambda b: F.coalesce(older(b) & ((result(b) == "package_recovery_attempt") | ((result(b) == "no_deterministic_image") & F.map_contains_key(b, "runtime_version"))), F.lit(False)))
+    again = F.coalesce(F.col("lifecycle").isin("active", "staged") & (F.col("stage") == "settled") & F.col("primary_image").isNull() & ours, F.lit(False))
+    new = {"stage": F.lit("source"), "next_attempt_at": as_of, "claim_until": F.lit(None), "attempts": F.lit(0), "enrichment": F.lit("pending")}
+    types = dict(jobs.dtypes)
+    return jobs.select(*[F.when(again, new[c]).otherwise(F.col(c)).cast(types[c]).alias(c) if c in new else F.col(c) for c in jobs.columns])

@@ -93,3 +93,48 @@ def visible_activity(t: Tables) -> DataFrame:
     types = t.spark.sql("SELECT * FROM VALUES ('signup'), ('purchase'), ('error') AS v(entity_type)")
     seen = A.visible_activity(rows, types, accessible_customers(t).withColumnRenamed("c_custkey", "entity_id"))
     return seen.orderBy(F.col("ts").desc_nulls_last(), "event_id").limit(100).select("event_id", F.col("entity_type").alias("event_type"), F.col("entity_id").alias("user_id"))
+
+
+_SCOPED = "(SELECT c_custkey * 10 AS membership_id, CASE c_custkey % 3 WHEN 0 THEN 'stage' WHEN 1 THEN 'unit' ELSE 'elsewhere' END AS scope_type, c_custkey % 5 AS scope_id, CASE WHEN c_custkey % 2 = 0 THEN 'deny' ELSE 'allow' END AS decision FROM customer)"
+
+
+@query(
+    f"SELECT o_orderkey, m.membership_id IS NOT NULL AND coalesce(can_view, false) AND coalesce(view_decision, '') <> 'deny' AND coalesce(s.decision, '') <> 'deny' AS allowed FROM orders JOIN customer ON o_custkey = c_custkey "
+    f"LEFT JOIN {_MEMBERS} m ON m.\"user\" = c_custkey AND m.org = c_nationkey LEFT JOIN {_DEFAULTS} ON d.role = m.role AND d.permission = 'units' LEFT JOIN {_OVERRIDES} o ON o.membership_id = m.membership_id "
+    f"LEFT JOIN {_SCOPED} s ON s.membership_id = m.membership_id AND ((s.scope_type = 'stage' AND o_orderkey % 2 = 0 AND s.scope_id = o_orderkey % 5) OR (s.scope_type = 'unit' AND s.scope_id = o_orderkey % 7))"
+)
+def unit_permissions(t: Tables) -> DataFrame:
+    orders = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    asked = orders.select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("org"), F.lit("units").alias("permission"), F.lit("view").alias("level"), "o_orderkey", F.when(k % 2 == 0, k % 5).alias("stage"), (k % 7).alias("unit"))
+    parent = A.organisation_permission(asked, *_frames(t))
+    decisions = _sql(t, _SCOPED + " AS s").select("membership_id", F.lit("units").alias("permission"), "scope_type", "scope_id", *[F.col("decision").alias(f"{x}_decision") for x in ("view", "edit", "delete")])
+    return A.narrowed(parent, decisions, {"stage": "stage", "unit": "unit"}).select("o_orderkey", "allowed")
+
+
+@query(
+    "SELECT event_id, kind FROM (SELECT event_id, user_id, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN 'project' WHEN 1 THEN 'unit' WHEN 2 THEN 'transaction' WHEN 3 THEN 'construction_case' ELSE 'elsewhere' END AS kind FROM events) e "
+    f"WHERE (k = 0 AND user_id IN {_ACCESS}) OR (k = 1 AND user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) OR (k = 2 AND user_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) OR (k = 3 AND user_id IN (SELECT p_partkey FROM part WHERE p_size > 25))"
+)
+def scope_dispatch(t: Tables) -> DataFrame:
+    kinds = ["project", "unit", "transaction", "construction_case", "elsewhere"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = t.events.select("event_id", kind.alias("scope_type"), F.col("user_id").alias("scope_id"))
+    of = lambda df, key: df.select(F.col(key).alias("scope_id"))
+    reach = [of(accessible_customers(t), "c_custkey"), of(t.supplier.where("s_acctbal > 0"), "s_suppkey"), of(t.orders.where("o_orderstatus = 'P'"), "o_custkey"), of(t.part.where("p_size > 25"), "p_partkey")]
+    return A.dispatched(rows, dict(zip(kinds, reach))).select("event_id", F.col("scope_type").alias("kind"))
+
+
+@query(
+    "WITH c AS (SELECT o_orderkey AS command, o_custkey AS connection, CASE o_orderkey % 4 WHEN 0 THEN 'stock:read' WHEN 1 THEN 'documents:share' WHEN 2 THEN 'aml:reliance' ELSE 'typo' END AS scope, o_orderkey % 3 > 0 AS given FROM orders), "
+    "j AS (SELECT c.*, c_mktsegment, max(command) OVER (PARTITION BY connection, scope) AS last, scope <> 'typo' AND (connection + length(scope)) % 2 = 0 AS held FROM c LEFT JOIN customer ON c_custkey = connection AND c_custkey % 9 > 0) "
+    "SELECT command, CASE WHEN c_mktsegment IS NULL THEN 'CONNECTION_NOT_FOUND' WHEN c_mktsegment = 'BUILDING' THEN 'CONNECTION_NOT_ACTIVE' WHEN scope = 'typo' THEN 'UNKNOWN_SCOPE' WHEN command < last THEN 'SUPERSEDED' WHEN given AND held THEN 'ALREADY_GRANTED' WHEN given THEN 'GRANTED' WHEN held THEN 'REVOKED' ELSE 'NOT_GRANTED' END AS outcome FROM j"
+)
+def scope_grants(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    scope = F.when(k % 4 == 0, "stock:read").when(k % 4 == 1, "documents:share").when(k % 4 == 2, "aml:reliance").otherwise("typo")
+    commands = t.orders.select(k.alias("command"), F.col("o_custkey").alias("connection"), F.when(k % 3 > 0, "grant").otherwise("revoke").alias("operation"), scope.alias("scope"))
+    connections = t.customer.where("c_custkey % 9 > 0").select(F.col("c_custkey").alias("connection"), F.when(F.col("c_mktsegment") == "BUILDING", "revoked").otherwise("active").alias("state"))
+    keys = t.spark.sql("SELECT * FROM VALUES ('stock:read'), ('documents:share'), ('aml:reliance') AS v(scope)")
+    grants = commands.select("connection", "scope").distinct().where((F.col("scope") != "typo") & ((F.col("connection") + F.length("scope")) % 2 == 0))
+    return A.scope_commands(connections, grants, commands, keys)[1]

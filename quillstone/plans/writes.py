@@ -92,3 +92,26 @@ def stage_progress(t: Tables) -> DataFrame:
     )
     as_of = F.lit("2024-02-01 00:00:00").cast(dict(jobs.dtypes)["next_attempt_at"])
     return Q.settle(jobs, results, as_of).select("id", "stage", "attempts", F.col("claim_until").isNotNull().alias("leased"), "next_attempt_at")
+
+
+@query(
+    "SELECT event_id AS id, again, CASE WHEN again THEN 'source' ELSE stage END AS stage, CASE WHEN again THEN 0 ELSE event_id % 9 END AS attempts FROM (SELECT *, event_id % 5 > 0 AND stage = 'settled' AND event_id % 6 > 0 "
+    "AND ((event_id % 4 = 0) OR (event_id % 4 = 1 AND event_id % 3 < 2) OR (event_id % 4 = 2 AND event_id % 3 = 1)) AS again FROM (SELECT *, CASE WHEN event_id % 7 > 0 THEN 'settled' ELSE 'draw' END AS stage FROM events) s) e"
+)
+def reopened_jobs(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    version = F.concat(F.lit(',"runtime_version":'), (k % 3).cast("string"))
+    old = F.when(k % 3 > 0, version).otherwise("")
+    branch = (
+        F.when(k % 4 == 0, '"a":{"result":"answered"},"b":{"result":"package_recovery_attempt"}')
+        .when(k % 4 == 1, F.concat(F.lit('"b":{"result":"package_recovery_attempt"'), version, F.lit("}")))
+        .when(k % 4 == 2, F.concat(F.lit('"b":{"result":"no_deterministic_image"'), old, F.lit("}")))
+        .otherwise('"b":{"result":"dead_link"}')
+    )
+    none = F.lit(None)
+    jobs = t.events.select(
+        k.alias("id"), F.when(k % 5 > 0, "active").otherwise("archived").alias("lifecycle"), F.when(k % 7 > 0, "settled").otherwise("draw").alias("stage"), F.when(k % 6 == 0, k).alias("primary_image"),
+        F.concat(F.lit("{"), branch, F.lit("}")).alias("branches"), (k % 9).alias("attempts"), F.col("ts").alias("claim_until"), F.col("ts").alias("next_attempt_at"), none.cast("string").alias("enrichment"),
+    )
+    new = Q.reopened(jobs, 2, F.lit("2024-02-01 00:00:00").cast(dict(jobs.dtypes)["next_attempt_at"]))
+    return new.select("id", F.col("enrichment").isNotNull().alias("again"), "stage", "attempts")

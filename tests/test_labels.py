@@ -103,3 +103,22 @@ def test_settle_keeps_silent_jobs(spark):
     found = {r.id: r for r in queueing.settle(jobs, results, F.lit(at)).collect()}
     assert {i: (r.stage, r.attempts, r.claim_until) for i, r in found.items()} == {0: ("draw", 0, None), 1: ("read", 4, None), 2: ("read", 0, None), 3: ("read", 4, at)}
     assert found[1].next_attempt_at == at + datetime.timedelta(seconds=60) and len(found[1].last_error) == 500 and found[2].next_attempt_at == at
+
+
+def test_restricted_view_keys(spark):
+    from quillstone.functions import privacy
+
+    view = '{"risk_rating": {"Screening": 1}, "steps": [{"ok": 1}, {"peps": 0, "pep_hit": 1}], "API_KEY": "x", "prepared": 2}'
+    assert one(spark, privacy.restricted_paths, view) == ["risk_rating", "risk_rating.Screening", "steps[1].pep_hit", "API_KEY"]
+    assert one(spark, privacy.restricted_paths, "not json") == []
+
+
+def test_grants_after_commands(spark):
+    from quillstone.operators import access
+
+    connections = spark.createDataFrame([(1, "active"), (2, "revoked")], "connection int, state string")
+    grants = spark.createDataFrame([(1, "a"), (2, "a")], "connection int, scope string")
+    commands = spark.createDataFrame([(1, 1, "grant", "b"), (2, 1, "revoke", "a"), (3, 2, "revoke", "a"), (4, 1, "revoke", "b"), (5, 1, "grant", "b")], "command int, connection int, operation string, scope string")
+    new, outcomes = access.scope_commands(connections, grants, commands, spark.createDataFrame([("a",), ("b",)], "scope string"))
+    assert {r.command: r.outcome for r in outcomes.collect()} == {1: "SUPERSEDED", 2: "REVOKED", 3: "CONNECTION_NOT_ACTIVE", 4: "SUPERSEDED", 5: "GRANTED"}
+    assert sorted(tuple(r) for r in new.collect()) == [(1, "b"), (2, "a")]
