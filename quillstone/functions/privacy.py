@@ -7,9 +7,11 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import ship
+
 # Forbidden keys, and fragments that forbid a key that holds them.
 EXACT = set(
     "client_id client_name client_email client_phone client_address client_dob date_of_birth tfn abn_holder_name internal_notes internal_note selected_by_user_id staff_id "
@@ -54,6 +56,8 @@ def restricted_in(value, pattern: str = CLIENT_RESTRICTED, path: str = "") -> li
 
 
 def _paths(payload: Column, of: Callable[[object], list[str]]) -> Column:
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<string>")
     def scan(texts: pd.Series) -> pd.Series:
         def one(text):

@@ -233,3 +233,17 @@ def header_column_map(t: Tables) -> DataFrame:
     left = t.spark.sql("SELECT * FROM VALUES (0, 'lot'), (1, 'price'), (2, 'price'), (3, 'status'), (4, 'plan') AS v(at, name)")
     right = t.spark.sql("SELECT * FROM VALUES (0, 'status'), (1, 'lot'), (2, 'plan'), (3, 'plan') AS v(at, name)")
     return M.column_map(left, right)
+
+
+@query(
+    "SELECT n_regionkey AS page, row + 1 AS row, 0 AS col, n_name || ' & co' AS value FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
+    "UNION ALL SELECT n_regionkey, row + 1, 1, n_nationkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
+    "UNION ALL SELECT DISTINCT n_regionkey, 0, c, CASE c WHEN 0 THEN 'Name' ELSE 'Key no' END FROM nation, (VALUES (0), (1)) v(c)"
+)
+def html_tables(t: Tables) -> DataFrame:
+    row = F.concat(F.lit("<TR class=x>\n<td>"), F.col("n_name"), F.lit(" &amp; <b>co</b></td><td id='k'>"), F.col("n_nationkey").cast("string"), F.lit("</td></TR>"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "<tr></tr>")
+    pages = t.nation.groupBy(F.col("n_regionkey").alias("page")).agg(rows.alias("body"))
+    around = lambda body: F.concat(F.lit("<nav><table><tr><td>a</td></tr><tr><td>b</td></tr></table></nav><!-- <table> --><table><tr><td>layout</td></tr></table><table border=1><tr><th>Name</th><th>Key\n no</th></tr>"), body, F.lit("</table>"))
+    found = S.html_tables(pages.select("page", around(F.col("body")).alias("html")), "page", "html")
+    return found.where("table = 0").select("page", "row", "col", "value")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import csv
+import html as entities
 import io
+import re
+from urllib.parse import parse_qs, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.headers import with_field
+from quillstone.session import ship
 
 # Elements that are never content, and entities.
 CHROME = "script style noscript template svg canvas iframe nav header footer aside form button select video audio".split()
@@ -73,6 +77,76 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, table, row, col and value of the cells of a page's tables, in order from 0.
+
+    Comments and chrome count for nothing, rows without cells aren't rows, and a table of fewer than two rows is layout.
+    A table ends at the first end tag, so the cells of a table within a table belong to the outer one.
+    """
+    clean = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", " ")
+    for tag in CHROME:
+        clean = F.regexp_replace(clean, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    taken = lambda text, pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    cells = lambda row: F.transform(taken(row, r"(?is)<(t[hd])\b[^>]*>(.*?)</\1>", 2), html_text)
+    rows = lambda table: F.filter(F.transform(taken(table, r"(?is)<tr\b.*?</tr>"), cells), lambda r: F.size(r) > 0)
+    tables = F.filter(F.transform(taken(clean, r"(?is)<table\b.*?</table>"), rows), lambda t: F.size(t) > 1)
+    each = pages.select(key, F.posexplode(tables).alias("table", "_rows")).select(key, "table", F.posexplode("_rows").alias("row", "_cells"))
+    return each.select(key, "table", "row", F.posexplode("_cells").alias("col", "value"))
+
+
+def _spans(attributes: str) -> tuple[int, int]:
+    """Columns and rows that a cell covers."""
+    found = (re.search(rf'\b{name}="(\d{{1,4}})"', attributes, re.I) for name in ("colspan", "rowspan"))
+    return tuple(min(max(int(m[1]), 1), 1000) if m else 1 for m in found)
+
+
+def _link(body: str) -> str | None:
+    """The web address of a cell's first link, taken out of a redirect that names it."""
+    found = re.search(r'<a\b[^>]*\bhref="([^"]+)"', body, re.I)
+    at = entities.unescape(found[1]) if found else ""
+    if urlsplit(at).path == "/url":
+        at = parse_qs(urlsplit(at).query).get("q", [at])[0]
+    return at if re.match("https?://", at, re.I) else None
+
+
+def sheet_cells(page: str | None) -> list[tuple[int, int, str | None, str | None]]:
+    """row, col, value and link of the first table of a published sheet; the gutters of row and column names are no cells.
+
+    A cell that covers several columns has its value in the first of them, and one that covers several rows keeps its
+    columns in the rows below, so that columns are those of the sheet. Cells without value and link go.
+    """
+    table = re.search(r"(?s)<table.*?(?:</table>|$)", page or "")
+    below: dict[int, int] = {}
+    out = []
+    for r, row in enumerate(re.findall(r"(?s)<tr[^>]*>(.*?)</tr>", table[0] if table else "")):
+        col, held = 0, dict(below)
+        below = {c: n - 1 for c, n in held.items() if n > 1}
+        for tag, attributes, body in re.findall(r"(?s)<(td|th)\b([^>]*)>(.*?)</\1>", row):
+            if tag == "th" and re.search("row-header|column-header|freezebar|grid-sticky", attributes, re.I):
+                continue
+            while col in held:
+                col += 1
+            columns, rows = _spans(attributes)
+            value, link = " ".join(entities.unescape(re.sub("<[^>]*>", " ", body)).split()) or None, _link(body)
+            if value or link:
+                out.append((r, col, value, link))
+            if rows > 1:
+                below |= {c: rows - 1 for c in range(col, col + columns)}
+            col += columns
+    return out
+
+
+def published_sheet(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, row, col, value and link of every page's sheet. Spans carry from row to row, so Python reads each page."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("array<struct<row:int,col:int,value:string,link:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [dict(zip(("row", "col", "value", "link"), c)) for c in sheet_cells(x)])
+
+    return pages.select(key, F.explode(read(html)).alias("_c")).select(key, "_c.*")
+
+
 def html_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, place and href of every link of a page."""
     return pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit('href="([^"]*)"'), F.lit(1))).alias("place", "href"))

@@ -95,3 +95,14 @@ def test_html(spark):
     page = "<html><head><title> A  b </title><script>x<p></script></head><body><nav>menu</nav><p>One &amp; two&nbsp;<b>three</b></p><!-- no --></body></html>"
     assert one(spark, readers.html_title, page) == "A b"
     assert one(spark, readers.html_text, page) == "A b One & two three"
+
+
+def test_published_sheet(spark):
+    page = (
+        '<table><thead><tr><th class="row-header"></th><th class="column-headers-background">A</th></tr></thead><tbody>'
+        '<tr><th class="row-headers-background">1</th><td colspan="2">Lot &amp; plan</td><td rowspan="2">Tall</td><td></td></tr>'
+        '<tr><th class="row-headers-background">2</th><td><a href="https://example.org/url?q=https://example.org/p.pdf&amp;x=1">p</a></td><td>b</td><td>after</td></tr>'
+        '<tr><td>c<br>d</td><td><a href="javascript:x">no</a></td><td>own</td></tr></tbody></table><table><tr><td>other</td></tr></table>'
+    )
+    found = [tuple(r) for r in readers.published_sheet(spark.createDataFrame([(1, page), (2, None), (3, "no table")], "k int, h string"), "k", "h").collect()]
+    assert found == [(1, 1, 0, "Lot & plan", None), (1, 1, 2, "Tall", None), (1, 2, 0, "p", "https://example.org/p.pdf"), (1, 2, 1, "b", None), (1, 2, 3, "after", None), (1, 3, 0, "c d", None), (1, 3, 1, "no", None), (1, 3, 2, "own", None)]
