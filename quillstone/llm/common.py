@@ -22,19 +22,26 @@ def work_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage: Spark then drops the shuffle files of finished jobs that nothing names any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost.
 
-    Spark drops the shuffle files behind a finished job once the driver collects its garbage; that is asked for here, so
-    that a long operator holds the files of one step at a time.
+    A long operator should hold the shuffle files of one step at a time. A job that has just ended is still named by
+    events on their way, so what the step before has left is dropped here too, before this one begins.
     """
     spark, schema = df.sparkSession, df.schema
+    release(spark)
     path = f"{work_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    release(spark)
+    return back
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textkit as K
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, release
 from quillstone.session import ship
 
 WINDOW = 20
@@ -206,4 +206,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     gone = gone.where(F.size("gone") > 0).unionByName(copies.select("doc_id", "twin", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("whole")))
     final = on(base, gone, "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    release(docs.sparkSession)
     return final.mapInArrow(_kept_batches, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
