@@ -23,9 +23,9 @@ def organisation_permission(requests: DataFrame, keys: DataFrame, memberships: D
     it; read_only never writes.
     """
     ladder = (
-        requests.join(F.broadcast(keys.select("permission", "is_forbidden", "key_kind")), "permission", "left")
+        requests.join(keys.select("permission", "is_forbidden", "key_kind"), "permission", "left")
         .join(memberships.select("user", "org", "membership_id", "role"), ["user", "org"], "left")
-        .join(F.broadcast(defaults.select("role", "permission", "can_view", "can_edit", "can_delete")), ["role", "permission"], "left")
+        .join(defaults.select("role", "permission", "can_view", "can_edit", "can_delete"), ["role", "permission"], "left")
         .join(overrides.select("membership_id", "permission", "view_decision", "edit_decision", "delete_decision"), ["membership_id", "permission"], "left")
     )
     decision = _by_level("level", "view_decision", "edit_decision", "delete_decision")
@@ -74,7 +74,7 @@ def open_or_granted(items: DataFrame, key: str, grants: DataFrame, caller) -> Da
 
 def visible_activity(activity: DataFrame, allowed_types: DataFrame, parents: DataFrame) -> DataFrame:
     """Activity of an allow-listed entity type whose parent is accessible."""
-    return activity.join(F.broadcast(allowed_types.select("entity_type")), "entity_type", "left_semi").join(parents.select("entity_id"), "entity_id", "left_semi")
+    return activity.join(allowed_types.select("entity_type"), "entity_type", "left_semi").join(parents.select("entity_id"), "entity_id", "left_semi")
 
 
 def narrowed(resolved: DataFrame, decisions: DataFrame, scopes: Mapping[str, str]) -> DataFrame:
@@ -111,7 +111,7 @@ def scope_commands(connections: DataFrame, grants: DataFrame, commands: DataFram
     held = grants.select("connection", "scope", F.lit(True).alias("_held"))
     known = keys.select("scope", F.lit(True).alias("_known"))
     last = F.max("command").over(Window.partitionBy("connection", "scope"))
-    joined = commands.withColumn("_last", last).join(connections.select("connection", "state"), "connection", "left").join(F.broadcast(known), "scope", "left").join(held, ["connection", "scope"], "left")
+    joined = commands.withColumn("_last", last).join(connections.select("connection", "state"), "connection", "left").join(known, "scope", "left").join(held, ["connection", "scope"], "left")
     grant = F.col("operation") == "grant"
     outcome = (
         F.when(F.col("state").isNull(), "CONNECTION_NOT_FOUND")
