@@ -236,8 +236,8 @@ def header_column_map(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT n_regionkey AS page, row + 1 AS row, 0 AS col, n_name || ' & co' AS value FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
-    "UNION ALL SELECT n_regionkey, row + 1, 1, n_nationkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
+    "SELECT n_regionkey AS page, (row + 1)::INT AS row, 0 AS col, n_name || ' & co' AS value FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
+    "UNION ALL SELECT n_regionkey, (row + 1)::INT, 1, n_nationkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
     "UNION ALL SELECT DISTINCT n_regionkey, 0, c, CASE c WHEN 0 THEN 'Name' ELSE 'Key no' END FROM nation, (VALUES (0), (1)) v(c)"
 )
 def html_tables(t: Tables) -> DataFrame:
