@@ -24,8 +24,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Code points on either side of a protected value that count as its context.
 CONTEXT = 96
-#: Documents in which a term and a value must occur together before their association is judged.
-SUPPORT = 3
+#: Documents of the corpus-wide rate that are added to those with a term, so that few documents are weak evidence.
+SMOOTHING = 1.0
 #: The share of a value's information content from which a term is held to reveal it.
 DISCLOSURE = 0.8
 #: As many terms at most are sent to every task to be counted in the corpus; more are counted by a shuffle.
@@ -104,20 +104,22 @@ def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, terms: DataFrame, support: int = SUPPORT, least: float = DISCLOSURE) -> DataFrame:
+def disclosures(docs: DataFrame, terms: DataFrame, least: float = DISCLOSURE) -> DataFrame:
     """entity, term and share: pairs in which the term reveals at least ``least`` of the entity's information content.
 
     With N documents, n of them with the entity, df with the term and both of them with the two in one context, the term
-    gives PMI = log2(both * N / (df * n)) of the entity's IC = log2(N / n) bits; share is PMI / IC. An entity in every
-    document has nothing to reveal.
+    gives PMI = log2(p * N / n) of the entity's IC = log2(N / n) bits; share is PMI / IC. Here p, the chance of the entity
+    given the term, is (both + SMOOTHING * n / N) / (df + SMOOTHING), so values of one or two documents are judged too.
+    An entity in every document has nothing to reveal.
     """
     seen = terms.select("doc_id", "twin", "entity", "term").distinct()
-    both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pii-pairs")
+    both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-pairs")
     entities = seen.select("doc_id", "twin", "entity").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
     df = _frequencies(docs, cut(both.select("term").distinct(), "pii-terms"))
     rows = F.lit(float(docs.count()))
-    pmi = F.log2(F.col("both") * rows / (F.greatest("df", "both") * F.greatest("holders", "both")))
-    content = F.log2(rows / F.greatest("holders", "both"))
+    rate = F.col("holders") / rows
+    pmi = F.log2((F.col("both") + SMOOTHING * rate) / (F.greatest("df", "both") + SMOOTHING) / rate)
+    content = -F.log2(rate)
     scored = both.join(df, "term").join(entities, "entity")
     return scored.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("share")).where(F.col("share") >= least)
 

@@ -312,6 +312,16 @@ def test_terms_that_reveal(spark):
     assert all("zander" not in clean[d][0] and "[EMAIL]" in clean[d][0] for d in range(5)) and all(clean[d][0] == rows[d][1] for d in range(5, 60))
 
 
+def test_terms_of_rare_values(spark):
+    """A value of one document has terms too, on a small table and on the real one; common words are none."""
+    rows = [(0, "report by zanderloo at zander@corp.example about item 0")] + [(d, f"report about item {d} by someone at home") for d in range(1, 60)]
+    found = by_id(pii.report(spark.createDataFrame(rows, "doc_id long, text string")), "spans")
+    terms = [s for s in found[0][0].split(",") if s.startswith("term:")]
+    assert terms == ["term:10:19"] and all(found[d][0] == "" for d in range(1, 60))
+    real = by_id(queries.op8_pii(spark, DATA), "spans")
+    assert any("term:" in s for (s,) in real.values())
+
+
 def test_quality(spark):
     found = by_id(queries.op9_quality(spark, DATA), "held_out", "score", "predicted")
     assert all(h == brute.held_out(d) and 0 <= s <= 1 and p == (s >= 0.5) for d, (h, s, p) in found.items())
