@@ -20,16 +20,12 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = "term"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Code points on either side of a protected value that count as its context.
-CONTEXT = 96
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of the corpus-wide rate that are added to those with a term, so that few documents are weak evidence.
 SMOOTHING = 1.0
 #: The share of a value's information content from which a term is held to reveal it.
 DISCLOSURE = 0.8
-#: As many terms at most are sent to every task to be counted in the corpus; more are counted by a shuffle.
-BROADCAST_TERMS = 100_000
 
 
 def _digits(value: Column) -> Column:
@@ -64,7 +60,7 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def protected(docs: DataFrame) -> DataFrame:
-    """doc_id, twin (a hash of the text) and found: the valid matches of all kinds by start, each with its context.
+    """doc_id, twin (a hash of the text), text (null where nothing is found) and found: the valid matches of all kinds by start.
 
     Null texts read as empty and have none.
     """
@@ -77,67 +73,78 @@ def protected(docs: DataFrame) -> DataFrame:
         number, name = F.lit(KINDS.index(kind)).alias("number"), F.lit(kind).alias("kind")
         return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), number, name, s["end"].alias("end"), _entity(kind, s["value"]).alias("entity"))).alias(kind)
 
-    with_context = lambda s: F.struct(
-        *(s[c].alias(c) for c in ("start", "number", "kind", "end", "entity")),
-        F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))).alias("before"),
-        F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT)).alias("after"),
-    )
-    found = held.select("doc_id", "twin", "text", *map(of, KINDS))
-    return found.select("doc_id", "twin", F.transform(F.sort_array(F.concat(*KINDS)), with_context).alias("found"))
+    found = held.select("doc_id", "twin", "text", *map(of, KINDS)).select("doc_id", "twin", "text", F.sort_array(F.concat(*KINDS)).alias("found"))
+    return found.select("doc_id", "twin", F.when(F.size("found") > 0, F.col("text")).alias("text"), "found")
 
 
 def _terms(found: DataFrame) -> DataFrame:
-    """One row for each word in the context of a protected value: doc_id, twin, entity, term, start, end."""
-    each = found.where(F.size("found") > 0).select("doc_id", "twin", F.explode("found").alias("f")).select("doc_id", "twin", "f.*")
-    before = F.filter(find(F.col("before"), WORD), lambda s: (s["start"] > 0) | (F.col("start") <= CONTEXT))
-    after = F.filter(find(F.col("after"), WORD), lambda s: (s["end"] < F.length("after")) | (F.length("after") < CONTEXT))
-    place = lambda spans, base: F.transform(spans, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end")))
-    words = F.concat(place(before, F.greatest(F.col("start") - CONTEXT, F.lit(0))), place(after, F.col("end")))
-    return each.select("doc_id", "twin", "entity", F.explode(words).alias("w")).select("doc_id", "twin", "entity", "w.*").where(F.length("term") >= 3)
+    """One row for each word of each text with a protected value: doc_id, twin, term, start, end. Repeated rows count once."""
+    texts = found.where(F.size("found") > 0).select("doc_id", "twin", "text").dropDuplicates(["doc_id", "twin"])
+    words = F.transform(find(F.col("text"), WORD), lambda s: F.struct(F.lower(s["value"]).alias("term"), s["start"].alias("start"), s["end"].alias("end")))
+    return texts.select("doc_id", "twin", F.explode(words).alias("w")).select("doc_id", "twin", "w.*").where(F.length("term") >= 3)
+
+
+def _holders(found: DataFrame) -> DataFrame:
+    """doc_id, twin, set and holders: each document beside the sets of entities it holds, and how many documents hold a set.
+
+    Entities that the same documents hold are revealed by the same terms, so each set of documents is judged once however
+    many entities it has.
+    """
+    each = found.select("doc_id", "twin", F.explode("found.entity").alias("entity")).distinct()
+    key = F.xxhash64("doc_id", "twin"), F.xxhash64(F.lit("set"), "doc_id", "twin")
+    name = F.concat_ws(":", F.count("*").cast("string"), *(F.bit_xor(k).cast("string") for k in key))
+    named = each.groupBy("entity").agg(name.alias("set"), F.count("*").alias("holders"))
+    return each.join(named, "entity").select("doc_id", "twin", "set", "holders").distinct()
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term and df: in how many rows of docs each of the terms occurs."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BREAK))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    each = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), BREAK), lambda w: F.lower(w)))
+    words = docs.select(F.explode(each).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, terms: DataFrame, least: float = DISCLOSURE) -> DataFrame:
-    """entity, term and share: pairs in which the term reveals at least ``least`` of the entity's information content.
+def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, least: float = DISCLOSURE) -> DataFrame:
+    """doc_id, twin and term: the terms of each document that reveal at least ``least`` of the content of an entity in it.
 
-    With N documents, n of them with the entity, df with the term and both of them with the two in one context, the term
-    gives PMI = log2(p * N / n) of the entity's IC = log2(N / n) bits; share is PMI / IC. Here p, the chance of the entity
-    given the term, is (both + SMOOTHING * n / N) / (df + SMOOTHING), so values of one or two documents are judged too.
-    An entity in every document has nothing to reveal.
+    With N documents, n of them with the entity, df with the term and both of them with the two, anywhere in the text, the
+    term gives PMI = log2(p * N / n) of the entity's IC = log2(N / n) bits. Here p, the chance of the entity given the term,
+    is (both + SMOOTHING * n / N) / (df + SMOOTHING), so values of one or two documents are judged too. An entity in
+    every document has nothing to reveal.
     """
-    seen = terms.select("doc_id", "twin", "entity", "term").distinct()
-    both = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("both")), "pii-pairs")
-    entities = seen.select("doc_id", "twin", "entity").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
-    df = _frequencies(docs, cut(both.select("term").distinct(), "pii-terms"))
     rows = F.lit(float(docs.count()))
     rate = F.col("holders") / rows
-    pmi = F.log2((F.col("both") + SMOOTHING * rate) / (F.greatest("df", "both") + SMOOTHING) / rate)
-    content = -F.log2(rate)
-    scored = both.join(df, "term").join(entities, "entity")
-    return scored.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("share")).where(F.col("share") >= least)
+    pmi = lambda both: F.log2((both + SMOOTHING * rate) / (F.greatest(F.col("df"), both) + SMOOTHING) / rate)
+    reveals = lambda both: (rate < 1) & (pmi(both) >= F.lit(least) * -F.log2(rate))
+    held = cut(_holders(found), "pii-holders")
+    seen = terms.select("doc_id", "twin", "term").distinct()
+    df = cut(_frequencies(docs, cut(seen.select("term").distinct(), "pii-terms")), "pii-frequencies")
+    # A term too common even if every holder had it is left out before it meets the entities of its documents.
+    rare = seen.join(df, "term").withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin"))
+    met = held.join(rare, same & reveals(F.least("holders", "df"))).select("doc_id", "twin", "set", "holders", "term", "df")
+    met = cut(met, "pii-pairs")
+    both = met.groupBy("set", "holders", "term", "df").agg(F.count("*").alias("both"))
+    revealing = both.where(reveals(F.col("both"))).select("set", "term")
+    return met.join(revealing, ["set", "term"], "left_semi").select("doc_id", "twin", "term").distinct()
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, twin, base and all: the base spans, and those with the spans of revealing terms, each by start.
 
-    A span is start, number (of its kind), kind and end, in code points. Terms are looked for in the contexts of the
-    values that they reveal and never overlap a base span. Empty tables give no rows; repeated rows come out alike.
+    A span is start, number (of its kind), kind and end, in code points. Terms are looked for in the whole text of every
+    document that holds the value they reveal, and never overlap a base span. Empty tables give no rows; repeated rows
+    come out alike.
     """
     found = cut(protected(docs), "pii-found")
-    terms = cut(_terms(found), "pii-contexts")
-    revealing = cut(disclosures(docs, terms).select("entity", "term"), "pii-disclosures")
-    spans = terms.join(revealing, ["entity", "term"], "left_semi").groupBy("doc_id", "twin").agg(
+    terms = cut(_terms(found), "pii-words")
+    revealing = cut(disclosures(docs, found, terms), "pii-disclosures").withColumnsRenamed({"doc_id": "_doc", "twin": "_twin", "term": "_term"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin"))
+    spans = terms.join(revealing, same & (F.col("term") == F.col("_term")), "left_semi").groupBy("doc_id", "twin").agg(
         F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("number"), F.lit(TERM).alias("kind"), "end")).alias("terms")
     )
-    spans = spans.withColumnRenamed("doc_id", "_doc").withColumnRenamed("twin", "_twin")
-    joined = found.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin")), "left")
+    spans = spans.withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
+    joined = found.drop("text").join(spans, same, "left")
     base = F.transform("found", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "number", "kind", "end"))))
     kept = joined.select("doc_id", "twin", base.alias("base"), F.coalesce("terms", F.filter(base, lambda s: F.lit(False))).alias("terms"))
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))

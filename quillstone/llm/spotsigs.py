@@ -13,8 +13,6 @@ from quillstone.llm.common import cut
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Content words in a chain, and how many words after the anchor they are looked for in.
 CHAIN, REACH = 2, 8
-#: A text with fewer chains than one in so many words, such as a table, is signed by its word triples.
-SPARSE = 8
 SIMILAR = 0.8
 
 # The anchors, common words of English, French, German and Spanish.
@@ -36,22 +34,36 @@ def _words(text: Column) -> Column:
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures (int) of a text.
 
-    A signature hashes an anchor with the CHAIN content words that follow it. A text of few chains (SPARSE) has the hashes
-    of its word triples, one of fewer words that of all its words, and one without words none.
+    A signature hashes an anchor with the CHAIN content words that follow it, or with the next two words where it has no
+    such chain. Stretches farther than REACH words behind an anchor, such as tables, have the hashes of their word triples.
+    Each depends on near words only, so an edit leaves the signatures elsewhere as they are. A text too short for any of
+    these has the hash of all its words, or of its triples, and one without words none.
     """
     stop = lambda w: w.isin(ANCHORS)
+    triple = lambda words, i: F.hash(F.slice(words, i + 1, 3))
 
-    def chains(words: Column) -> Column:
-        places = F.filter(F.transform(words, lambda w, i: F.when(stop(w), i)), lambda i: i.isNotNull())
+    def chains(words: Column, places: Column) -> Column:
         chain = lambda i: F.slice(F.filter(F.slice(words, i + 2, REACH), lambda w: ~stop(w)), 1, CHAIN)
-        hashes = F.transform(places, lambda i: let(chain(i), lambda c: F.when(F.size(c) == CHAIN, F.hash(words[i], *[c[k] for k in range(CHAIN)]))))
+        bare = lambda i: F.when(i + 3 <= F.size(words), triple(words, i))
+        hashes = F.transform(places, lambda i: let(chain(i), lambda c: F.when(F.size(c) == CHAIN, F.hash(words[i], *[c[k] for k in range(CHAIN)])).otherwise(bare(i))))
         return F.filter(hashes, lambda h: h.isNotNull())
 
+    def stretches(words: Column, places: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(places, lambda i: i + REACH + 1))
+        ends = F.concat(places, F.array(F.size(words)))
+        wide = F.filter(F.arrays_zip(begins.alias("begin"), ends.alias("end")), lambda g: g["end"] - g["begin"] >= 3)
+        return F.flatten(F.transform(wide, lambda g: F.transform(F.sequence(g["begin"], g["end"] - 3), lambda i: triple(words, i))))
+
     def plain(words: Column) -> Column:
-        triples = lambda: F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.hash(F.slice(words, i, 3)))
+        triples = lambda: F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: triple(words, i))
         return F.when(F.size(words) >= 3, triples()).when(F.size(words) > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
 
-    return let(_words(text), lambda w: let(chains(w), lambda c: F.sort_array(F.array_distinct(F.when((F.size(c) > 0) & (F.size(c) * SPARSE >= F.size(w)), c).otherwise(plain(w))))))
+    def signed(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, i: F.when(stop(w), i)), lambda i: i.isNotNull())
+        near = let(places, lambda p: F.concat(chains(words, p), stretches(words, p)))
+        return let(near, lambda x: F.sort_array(F.array_distinct(F.when(F.size(x) > 0, x).otherwise(plain(words)))))
+
+    return let(_words(text), signed)
 
 
 def fingerprint(sigs: Column) -> Column:

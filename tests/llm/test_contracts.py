@@ -1,6 +1,7 @@
 """The queries against brute force over whole tables, exact round trips and held-out accuracy."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,6 +323,35 @@ def test_terms_of_rare_values(spark):
     assert any("term:" in s for (s,) in real.values())
 
 
+def test_terms_in_whole_texts(spark, docs):
+    """Terms far from the value are learned and removed, in each of its documents; and the real table by plain recount."""
+    far = " ".join(["report about item by someone"] * 60)
+    rows = [(d, f"zander@corp.example {far} zanderloo {far} zanderloo end") for d in range(2)] + [(d, f"{far} end") for d in range(2, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = by_id(pii.sanitise(df), "text")
+    assert all(clean[d][0] == rows[d][1].replace("zander@corp.example", "[EMAIL]").replace("zanderloo", "[TERM]") for d, _ in rows)
+    lettered = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    words = {d: {w.lower() for w in lettered.findall(t or "")} for d, t in docs}
+    held, many, n = defaultdict(set), Counter(w for x in words.values() for w in x), len(docs)
+    for d, t in docs:
+        for a, _, kind, z in brute.spans(t):
+            held[kind, t[a:z].lower() if kind in ("email", "ip") else "".join(filter(str.isdecimal, t[a:z]))].add(d)
+    reveal = defaultdict(set)
+    for own in held.values():
+        rate = len(own) / n
+        both = Counter(w for d in own for w in words[d] if len(w) >= 3)
+        terms = {w for w, k in both.items() if math.log2((k + rate) / (many[w] + 1) / rate) >= -0.8 * math.log2(rate)}
+        for d in own:
+            reveal[d] |= terms & words[d]
+    found = by_id(queries.op8_pii(spark, DATA), "spans")
+    for d, t in docs:
+        base = [(a, z) for a, _, _, z in brute.spans(t)]
+        wanted = [(m.start(), m.end()) for m in lettered.finditer(t or "") if m[0].lower() in reveal[d]]
+        wanted = [f"term:{a}:{z}" for a, z in wanted if not any(a < y and x < z for x, y in base)]
+        assert [s for s in found[d][0].split(",") if s.startswith("term:")] == wanted
+    assert sum(map(bool, reveal.values())) > 3
+
+
 def test_quality(spark):
     found = by_id(queries.op9_quality(spark, DATA), "held_out", "score", "predicted")
     assert all(h == brute.held_out(d) and 0 <= s <= 1 and p == (s >= 0.5) for d, (h, s, p) in found.items())
