@@ -249,6 +249,18 @@ def test_fingerprints(spark, docs, odd):
     assert np.median([r.near_edited for r in far]) > 0.5 > np.median([r.near_next for r in far])
 
 
+def test_signatures_change_nearby_only(spark):
+    """A changed last quarter leaves the signatures of the rest, whether it has many anchors or none."""
+    dense = lambda k, n: " ".join(f"the {k}{i} {k}x{i}" for i in range(n))
+    plain = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    mixed = plain("p", 200) + " " + dense("d", 32)
+    rows = [(1, mixed), (2, mixed + " " + plain("q", 70)), (3, plain("p", 200)), (4, plain("p", 200) + " " + dense("e", 40)), (5, "the of and to the of and"), (6, "cat the dog"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {r.doc_id: set(r.s) for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(1, 2) > 0.6 and like(3, 4) > 0.6 and sets[5] and sets[6] and not sets[7]
+
+
 def test_similar_signature_sets(spark):
     rng = np.random.default_rng(4)
     base = [[f"word{x}" for x in rng.integers(0, 500, 60)] for _ in range(15)]
