@@ -14,8 +14,12 @@ from quillstone.llm.common import texts
 from quillstone.llm.spans import running
 
 KEYWORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
-ASSIGNED = rf"(?i:(?:{KEYWORDS})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)([^\s\"'<>,;]{{8,}})"
-LOOSE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+RUN = "[A-Za-z0-9+/_-]"
+#: The name may have a prefix, from the start of its run, so that no loose candidate takes the keyword.
+ASSIGNED = rf"(?i:(?:(?<!{RUN}){RUN}*)?(?:{KEYWORDS})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)([^\s\"'<>,;]{{8,}})"
+# An equals sign ends a name; only as the padding of a key is it part of one.
+PADDING = rf"={{1,2}}(?!{RUN}|=)"
+LOOSE = rf"(?<!{RUN})(?:{RUN}{{16,}}+(?:{PADDING})?|{RUN}{{14,15}}{PADDING})"
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = rf"{BLOCK}|{ASSIGNED}|{LOOSE}"
 #: Code points read on either side of a candidate for its neighbouring words.
@@ -70,13 +74,15 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     """value, before, after, path and label (1: a secret) of generated findings, for use where no reviewed ones are given.
 
     Secrets: random hexadecimal, alphanumeric and base64 keys beside words of credentials. Others: checksums, commit ids
-    and UUIDs beside words for them, identifiers made of dictionary words, paths, and long numbers.
+    and UUIDs beside words for them, identifiers made of dictionary words, paths, long numbers, and long words of prose.
     """
     n = F.col("id")
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), n.cast("string")), 256)
     pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), n), F.lit(len(xs))) + 1).cast("int"))
     key = F.translate(F.base64(F.unhex(h("k"))), "+/=", "xyz")
     word = lambda salt: pick(salt, DICTIONARY)
+    prose = F.translate(h("o"), "0123456789abcdef", "etaoinshrdlucmfp").substr(F.lit(1), (F.pmod(F.xxhash64(F.lit("l"), n), F.lit(25)) + 16).cast("int"))
+    cased = F.pmod(F.xxhash64(F.lit("z"), n), F.lit(3))
     filler = F.concat_ws(" ", word("f1"), word("f2"), word("f3"))
     secret_word = pick("s", ["token", "api_key", "secret", "password", "access_key", "client_secret", "Authorization: Bearer", "private-key"])
     sign = pick("a", [' = "', ": ", "=", ' := "', " => '"])
@@ -94,6 +100,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.concat_ws("/", word("i1"), word("i2"), F.concat(word("i3"), F.lit("page"))), F.concat(filler, F.lit(" ")), 0),
         (F.translate(h("d"), "abcdef", "314159").substr(F.lit(1), cut_at), F.concat(filler, F.lit(" number ")), 0),
         (F.concat(pick("e", ["your-", "example-", "changeme-", "xxxxxxxx"]), word("i1"), F.lit("-"), word("i2")), F.concat(secret_word, sign), 0),
+        (F.when(cased == 0, prose).when(cased == 1, F.initcap(prose)).otherwise(F.upper(prose)), F.concat(filler, F.lit(" ")), 0),
     ]
     which = F.pmod(n, F.lit(len(kinds)))
     chain = lambda k: reduce(lambda c, x: c.when(which == x[0], x[1][k] if k < 2 else F.lit(x[1][k])), enumerate(kinds[1:], 1), F.when(which == 0, kinds[0][k] if k < 2 else F.lit(kinds[0][k])))
@@ -150,7 +157,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
             inner = F.regexp_extract(x, "^" + ASSIGNED + "$", 1)
             value = F.when(inner != "", inner).otherwise(x)
             end = before[i + 1] + own[i] + F.length(x)
-            lead = F.concat(F.substring(p[i], F.greatest(F.length(p[i]) - NEAR + 1, F.lit(1)), F.lit(NEAR)), F.substring(x, F.lit(1), F.length(x) - F.length(value)))
+            # A long name before an equals sign is a candidate too; it still is what stands before the value.
+            name = F.when((i > 0) & (p[i] == "="), m[F.greatest(i - 1, F.lit(0))]).otherwise("")
+            lead = F.concat(name, F.substring(p[i], F.greatest(F.length(p[i]) - NEAR + 1, F.lit(1)), F.lit(NEAR)), F.substring(x, F.lit(1), F.length(x) - F.length(value)))
             return let(
                 F.struct(value.alias("value"), lead.alias("before"), F.substring(p[i + 1], 1, NEAR).alias("after")),
                 lambda c: let(
@@ -160,7 +169,6 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
                         end.alias("end"),
                         c["value"].alias("value"),
                         F.when(x.startswith("-----BEGIN"), F.lit(1.0))
-                        .when(~c["value"].rlike("[0-9]") & ~c["before"].rlike(NEAR_SECRET), F.lit(0.0))
                         .otherwise(forest_column(model, [f[n] for n in FEATURES]))
                         .alias("score"),
                     ),

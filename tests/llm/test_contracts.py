@@ -116,6 +116,15 @@ def test_secrets(spark):
     assert secrets.redact(df).columns == df.columns
 
 
+def test_secrets_behind_prefixed_names(spark):
+    """An equals sign parts name and value, the name counts as what stands before it, and long words of prose are none."""
+    key = "9aF3kQ0zX7bL2mN8vC5tR1yH6jD4sW0e"
+    names = ["DB_PASSWORD=", "MY_PRODUCTION_DB_PASSWORD=", "AUTHORIZATION_HEADER=", "password="]
+    prose = ["the Verantwortungsbewusstsein word", "Undeinunglichver LAAITIONELLEELLE", "state-of-the-art-things"]
+    df = spark.createDataFrame([*enumerate([n + key for n in names] + prose)], "doc_id long, text string")
+    assert by_id(secrets.findings(df), "redacted") == dict(enumerate([*((n + secrets.REPLACEMENT,) for n in names), *((t,) for t in prose)]))
+
+
 def test_forest_column_equals_model(spark):
     """The conditional expressions vote as the fitted trees do, and the forest holds up on findings it has not seen."""
     model = secrets.train(secrets.labelled_findings(spark))
