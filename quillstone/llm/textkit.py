@@ -10,15 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 U64 = np.uint64
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODES = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1) for _ in range(2)]
-_BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
-_MASK = 2**64 - 1
+_SEEDS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
 
 
 def non_space_table() -> np.ndarray:
@@ -81,46 +79,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of a hash base (or of its inverse) modulo 2**64."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, 2**64) if inverse else _BASES[which]
-        have = np.full(max(n, SLICE_BYTES + 1), base & _MASK, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE_BYTES:
-            _powers[which, inverse] = have
-    return have[:n]
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[which][data] * powers(which, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(which, n + 1, inverse=True)[starts])
-
-
-def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` word hashes; the caller drops runs that cross documents."""
-    if len(words) < width:
+    """A 64-bit hash of the bytes of each word: its XXH64, or for up to seven bytes a bijection of them and their number."""
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    few = np.minimum(lengths, 7).astype(np.uint64)
+    out = mix((eight[starts] & ((U64(1) << (few * U64(8))) - U64(1)) | few << U64(56)) ^ U64(_SEEDS[which]))
+    longer = np.flatnonzero(lengths > 7)
+    if len(longer):
+        held, digest, seed = data.tobytes(), xxhash.xxh64_intdigest, _SEEDS[which]
+        out[longer] = [digest(held[a:z], seed) for a, z in zip(starts[longer].tolist(), ends[longer].tolist())]
+    return out
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` word hashes; the caller drops runs that cross documents.
+
+    Runs of doubling length are joined pairwise, each join finished by ``mix``.
+    """
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    n = len(words)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(which, n), out=total[1:])
-    return mix((total[width:] - total[: n - width + 1]) * powers(which, n, inverse=True)[: n - width + 1])
-
-
-def span_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the word hashes first..last-1 of each span, and of its length."""
-    n = len(words)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(which, n), out=total[1:])
-    return mix((total[last] - total[first]) * powers(which, n + 1, inverse=True)[first] + mix((last - first).astype(np.uint64)))
+    join = lambda a, b: mix(a * U64(_SEEDS[0]) + b)
+    out, done, run, size, left = None, 0, words, 1, width
+    while left:
+        if left & 1:
+            part = run[done : done + n]
+            out = part if out is None else join(out, part)
+            done += size
+        left >>= 1
+        if left:
+            run, size = join(run[:-size], run[size:]), 2 * size
+    return out
 
 
 def document_of(word_ranges: np.ndarray) -> np.ndarray:

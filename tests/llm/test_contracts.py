@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from quillstone.llm import licenses, mixing, packing, pii, queries, repeats, rules, secrets, simhash, spotsigs
+from quillstone.llm import licenses, mixing, packing, pii, queries, repeats, rules, secrets, simhash, spotsigs, textkit
 
 BASE = "Zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega alpha beta gamma delta"
 #: Texts that break careless code: empty, blank, one word, no ASCII, carriage returns, runs that look like personal data.
@@ -62,6 +62,41 @@ def test_repeats_partial_overlap(spark):
     assert by_id(repeats.remove_repeats(df), "n_words", "n_removed", "kept_sha256") == brute.op1(rows)
 
 
+def test_repeats_of_regular_words(spark):
+    """Words that a polynomial hash modulo a power of two can't tell apart, and windows made of them."""
+    bits = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    lead, rest = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, f"{lead} {bits} {rest}"), (2, f"{lead} {other} {rest}"), (3, " ".join(bits[:600])), (4, " ".join(other[:600]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(repeats.remove_repeats(df), "n_words", "n_removed", "kept_sha256") == brute.op1(rows)
+    data = np.frombuffer((bits + other).encode(), np.uint8)
+    assert all(len(set(textkit.word_hashes(data, np.array([0, 1024]), np.array([1024, 2048]), k))) == 2 for k in (0, 1))
+
+
+def test_word_hashes():
+    """Equal for equal words wherever they stand, different for others, of all lengths, NUL bytes and the end of the data included."""
+    words = [b"a" * n + t for n in range(12) for t in (b"x", b"y", b"\0", b"\0\0")] * 2
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    hashes = textkit.word_hashes(data, ends - [len(w) for w in words], ends)
+    assert len(set(hashes.tolist())) == len(set(words)) and (hashes[: len(words) // 2] == hashes[len(words) // 2 :]).all()
+    for width in (1, 3, 20, 95, 97):
+        runs = [tuple(hashes[i : i + width].tolist()) for i in range(len(words) - width + 1)]
+        assert len(set(textkit.window_hashes(hashes, width).tolist())) == len(set(runs)) and len(textkit.window_hashes(hashes, width)) == len(runs)
+
+
+def test_automaton_places():
+    """Every place of every phrase, and none without an automaton: nothing else says where phrases stand."""
+    rng = np.random.default_rng(8)
+    hashes = textkit.mix(rng.integers(0, 3, 4000).astype(np.uint64) + np.uint64(1))
+    high, low = repeats._phrases(hashes)
+    chosen = np.column_stack([high, low])[rng.integers(0, len(high), 40)]
+    held = {tuple(x) for x in chosen.tolist()}
+    wanted = [i for i, x in enumerate(zip(high.tolist(), low.tolist())) if x in held]
+    assert repeats.locate(repeats.compile_phrases(chosen), hashes).tolist() == wanted
+    assert not len(repeats.locate(repeats.compile_phrases(chosen[:0]), hashes))
+
+
 def test_rules(spark, docs, odd):
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     found = queries.op2_rules(spark, DATA)

@@ -11,7 +11,7 @@ from quillstone.llm import components, gam, licenses, mixing, packing, pii, repe
 CLASHES = (
     "n_words kept whole gone twin starts wide more anchor place first found n words lines rule base_failed bad prune print least root component_id "
     "fingerprint sigs edited next_sigs range ahead row rate copy mix_key copies label score value before after spans base terms entity term all held "
-    "start length offset sequence_id blocks met containment _pieces _matches _found _row _text _doc _twin"
+    "start high low shard same size length offset sequence_id blocks met containment _pieces _matches _found _row _text _doc _twin"
 ).split()
 LABELS = "doc_id long, quality int"
 
