@@ -28,19 +28,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost.
 
-    A long operator should hold the shuffle files of one step at a time. A job that has just ended is still named by
-    events on their way, so what the step before has left is dropped here too, before this one begins.
+    An operator whose steps shuffle much should hold the shuffle files of one step at a time (``tidy``). A job that has
+    just ended is still named by events on their way, so what the step before has left is dropped before this one begins.
     """
     spark, schema = df.sparkSession, df.schema
-    release(spark)
+    if tidy:
+        release(spark)
     path = f"{work_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
     back = spark.read.schema(schema).parquet(path)
-    release(spark)
+    if tidy:
+        release(spark)
     return back
 
 

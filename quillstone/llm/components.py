@@ -17,6 +17,8 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     """
     one = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") != F.col("b"))
     left, found = cut(one.distinct(), f"{name}-edges"), None
+    if not left.limit(1).count():
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         parents = cut(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), f"{name}-parents")

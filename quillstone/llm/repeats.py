@@ -194,11 +194,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         once = once.dropDuplicates(["doc_id", "twin"])
     dealt = once.withColumn("shard", F.pmod(F.xxhash64("doc_id", "twin"), F.lit(shards)).cast("int"))
 
-    picked = cut(dealt.select("shard", "text").mapInArrow(_anchor_batches, "high long, low long, shard int, n long"), "repeats-anchors")
+    picked = cut(dealt.select("shard", "text").mapInArrow(_anchor_batches, "high long, low long, shard int, n long"), "repeats-anchors", tidy=True)
     recurring = picked.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
     confirmed = picked.drop("n").join(recurring, ["high", "low"], "left_semi")
     streamed = confirmed.unionByName(dealt, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("text").isNotNull())
-    windows = cut(streamed.mapInArrow(_window_batches, f"doc_id {kind}, twin int, starts array<int>, wide array<long>, more array<long>"), "repeats-windows")
+    windows = cut(streamed.mapInArrow(_window_batches, f"doc_id {kind}, twin int, starts array<int>, wide array<long>, more array<long>"), "repeats-windows", tidy=True)
 
     each = windows.select("doc_id", "twin", F.explode(F.arrays_zip("wide", "more", "starts")).alias("w")).select("w.wide", "w.more", "doc_id", "twin", F.col("w.starts").alias("start"))
     first = each.groupBy("wide", "more").agg(F.min(F.struct("doc_id", "twin", "start")).alias("f")).select("f.*")
