@@ -12,6 +12,8 @@ SEED = 20240229
 BROADCAST_SOURCES = 50_000
 #: A rate above this is drawn as a sum of equal parts, so that exp(-rate) keeps its precision.
 PART = 256.0
+#: Tasks over which the rows of one key are dealt.
+SPREAD = 64
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -65,17 +67,20 @@ def _copies(docs: DataFrame, weights: DataFrame | None, epochs: float, seed: int
     if found.count() <= BROADCAST_SOURCES:
         found = F.broadcast(found)
     rated = docs.select(F.struct("*").alias("row")).join(found, F.col("row.source").eqNullSafe(F.col("source")))
-    copies = rated.select("row", poisson(F.col("rate"), seed, F.col("row.doc_id")).alias("copies")).where("copies > 0")
-    spread = copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return spread.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    # A row without an id is known by its text.
+    own = rated.select("row", "rate", F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit("")))).alias("own"), F.spark_partition_id().alias("part"))
+    copies = own.select("row", "own", "part", poisson(F.col("rate"), seed, F.col("own")).alias("copies")).where("copies > 0")
+    spread = copies.select("row", "own", "part", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    keyed = spread.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "own", F.col("copy").cast("string"))))
+    # Repeated rows share a key; those that other tasks read go elsewhere, so that no task gets them all.
+    return keyed.repartition("mix_key", F.col("part") % SPREAD).sortWithinPartitions("mix_key").select("row", "copy", "mix_key")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """The columns of docs with copy (from 1) and mix_key, a row for each copy, in the random order of mix_key.
 
-    A row's number of copies is fixed by seed and doc_id alone, so a lost task draws it again; repeated rows draw
-    alike, and rows without an id draw as one. Columns of docs named copy or mix_key give way. An empty table, or one
+    A row's number of copies is fixed by seed and doc_id alone, or without an id by its text, so a lost task draws it
+    again; repeated rows draw alike, and lie in as many as SPREAD tasks for each copy. Columns of docs named copy or mix_key give way. An empty table, or one
     without characters, gives no rows.
     """
     return _copies(docs, weights, epochs, seed).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("copy", "mix_key")], "copy", "mix_key")
