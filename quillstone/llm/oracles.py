@@ -30,10 +30,9 @@ FROM d LEFT JOIN left_over USING (doc_id)
 
 
 def _licenses() -> str:
-    named = [(k, label, sorted(set(licenses.tokens(text)))) for k, (label, text) in enumerate(licenses.TEMPLATES)]
-    wanted = ", ".join(f"({k}, '{label}', '{w}', {len(ws)}, {ceil(licenses.CONTAINED * len(ws) - 1e-9)})" for k, label, ws in named for w in ws)
+    named = [(k, label, sorted(set(licenses.tokens(text))), licenses.block_of(text) // 2) for k, (label, text) in enumerate(licenses.TEMPLATES)]
+    wanted = ", ".join(f"({k}, '{label}', '{w}', {half}, {len(ws)}, {ceil(licenses.CONTAINED * len(ws) - 1e-9)})" for k, label, ws, half in named for w in ws)
     phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in licenses.PHRASES.items())
-    half = licenses.BLOCK // 2
     return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
@@ -44,13 +43,13 @@ places AS (
   WHERE words[place + 1] = said[1] AND words[place + 1 : place + len(said)] = said
 ),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-wanted(template, label, word, size, need) AS (VALUES {wanted}),
+wanted(template, label, word, half, size, need) AS (VALUES {wanted}),
 held AS (
-  SELECT DISTINCT doc_id, place // {half} - back AS block, words[place + 1] AS word
-  FROM d, unnest(range(len(words))) AS r(place), unnest([0, 1]) AS b(back)
-  WHERE place // {half} >= back AND words[place + 1] IN (SELECT word FROM wanted)
+  SELECT DISTINCT doc_id, half, place // half - back AS block, words[place + 1] AS word
+  FROM d, unnest(range(len(words))) AS r(place), (SELECT DISTINCT half, word FROM wanted) h, unnest([0, 1]) AS b(back)
+  WHERE place // half >= back AND words[place + 1] = h.word
 ),
-met AS (SELECT doc_id, label, count(*) / any_value(size) AS containment FROM held JOIN wanted USING (word) GROUP BY doc_id, block, template, label HAVING count(*) >= any_value(need)),
+met AS (SELECT doc_id, label, count(*) / any_value(size) AS containment FROM held JOIN wanted USING (half, word) GROUP BY doc_id, half, block, template, label HAVING count(*) >= any_value(need)),
 best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS containment FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
@@ -67,20 +66,20 @@ rates AS (
   SELECT source, 1.0::DOUBLE / (SELECT count(*) FILTER (mass > 0) FROM mass)::DOUBLE * (SELECT sum(mass) FROM mass)::DOUBLE / mass::DOUBLE AS rate
   FROM mass WHERE mass > 0
 ),
-rated AS (SELECT d.*, rate, ceil(rate / {mixing.PART})::INT AS parts FROM documents d JOIN rates ON d.source IS NOT DISTINCT FROM rates.source),
+rated AS (SELECT d.*, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS own, rate, ceil(rate / {mixing.PART})::INT AS parts FROM documents d JOIN rates ON d.source IS NOT DISTINCT FROM rates.source),
 drawn AS (
-  SELECT doc_id, source, j, rate / parts AS mean,
-    ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN rate > {mixing.PART} THEN ':' || j ELSE '' END)[1:13])::BIGINT::DOUBLE / {2**52}.0::DOUBLE AS u
-  FROM (SELECT DISTINCT doc_id, source, rate, parts FROM rated), unnest(range(1, parts + 1)) AS r(j)
+  SELECT own, source, j, rate / parts AS mean,
+    ('0x' || md5('{mixing.SEED}:' || own || CASE WHEN rate > {mixing.PART} THEN ':' || j ELSE '' END)[1:13])::BIGINT::DOUBLE / {2**52}.0::DOUBLE AS u
+  FROM (SELECT DISTINCT own, source, rate, parts FROM rated), unnest(range(1, parts + 1)) AS r(j)
 ),
 steps AS (
-  SELECT doc_id, source, j, mean, u, exp(-mean) AS p, exp(-mean) AS below, 0 AS k FROM drawn
+  SELECT own, source, j, mean, u, exp(-mean) AS p, exp(-mean) AS below, 0 AS k FROM drawn
   UNION ALL
-  SELECT doc_id, source, j, mean, u, p * mean / (k + 1), below + p * mean / (k + 1), k + 1 FROM steps WHERE u >= below AND k < ceil(mean + 12 * sqrt(mean) + 24)
+  SELECT own, source, j, mean, u, p * mean / (k + 1), below + p * mean / (k + 1), k + 1 FROM steps WHERE u >= below AND k < ceil(mean + 12 * sqrt(mean) + 24)
 ),
-copies AS (SELECT doc_id, source, sum(k) AS n FROM (SELECT doc_id, source, j, max(k) AS k FROM steps GROUP BY doc_id, source, j) GROUP BY doc_id, source)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy, md5('order{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || copy) AS mix_key
-FROM documents d JOIN copies c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.source IS NOT DISTINCT FROM c.source, unnest(range(1, n::BIGINT + 1)) AS r(copy)
+copies AS (SELECT own, source, sum(k) AS n FROM (SELECT own, source, j, max(k) AS k FROM steps GROUP BY own, source, j) GROUP BY own, source)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy, md5('order{mixing.SEED}:' || d.own || ':' || copy) AS mix_key
+FROM rated d JOIN copies c ON d.own = c.own AND d.source IS NOT DISTINCT FROM c.source, unnest(range(1, n::BIGINT + 1)) AS r(copy)
 """
 
 ORACLES: dict[str, str] = {"op1_repeats": REPEATS, "op5_licenses": _licenses(), "op10_mixing": MIXING}

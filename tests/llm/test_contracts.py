@@ -248,7 +248,7 @@ def test_licenses(spark, docs, odd):
 def test_licenses_join_is_exact(spark):
     """Every block of every text against every template, containment by sets."""
     rng = np.random.default_rng(2)
-    templates = [(f"L{k}", " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 25)))) for k in range(12)]
+    templates = [(f"L{k}", " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 25 if k < 9 else 90)))) for k in range(12)]
     rows = []
     for d in range(150):
         own = [f"w{x}" for x in rng.integers(0, 90, rng.integers(0, 120))]
@@ -258,13 +258,12 @@ def test_licenses_join_is_exact(spark):
             own[at:at] = [w for w in t if rng.random() < 0.95]
         rows.append((d, " ".join(own)))
     expected = {}
-    half = licenses.BLOCK // 2
     for d, text in rows:
         w = text.split()
-        blocks = [set(w[b : b + licenses.BLOCK]) for b in range(0, max(len(w), 1), half)]
         labels, best = set(), 0.0
         for label, t in templates:
-            t = set(t.split())
+            n, t = licenses.block_of(t), set(t.split())
+            blocks = [set(w[b : b + n]) for b in range(0, max(len(w), 1), n // 2)]
             top = max(len(t & b) for b in blocks)
             if top >= math.ceil(0.9 * len(t) - 1e-9):
                 labels.add(label)
@@ -275,6 +274,19 @@ def test_licenses_join_is_exact(spark):
     assert sum(bool(x) for x, _ in expected.values()) > 20
 
 
+def test_long_licenses(spark):
+    """Templates of any length are met wherever they stand, with labels of any characters; half of one is not."""
+    long = {n: [f"z{n}word{i}" for i in range(n)] for n in (90, 1500)}
+    templates = [(f"it's {n} \\ \"long\"", " ".join(w)) for n, w in long.items()]
+    lead = "some words in front of it " * 7
+    rows = [(n + k, lead[: 40 * k] + " " + " ".join(w).upper() + " " + lead) for n, w in long.items() for k in range(3)] + [(n + 5, " ".join(w[: n // 2])) for n, w in long.items()]
+    found = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates), "labels", "score")
+    assert found == {n + k: ((dict(zip(long, templates))[n][0], 1.0) if k < 3 else ("", 0.0)) for n in long for k in (0, 1, 2, 5)}
+    whole = [(k, lead + text + " " + lead) for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    hits = by_id(licenses.scan(spark.createDataFrame(whole, "doc_id long, text string")), "labels")
+    assert all(label in hits[k][0].split(",") for k, (label, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_fingerprints(spark, docs, odd):
     for df, rows in ((queries.op6_fingerprints(spark, DATA), docs), (spotsigs.report(odd), ODD)):
         plain = brute.op6(rows)
@@ -332,21 +344,67 @@ def test_simhash(spark, docs, odd):
         assert by_id(df, "fingerprint", "component_id") == {d: (f"{prints[d]:016x}", c) for d, c in brute.grouped(prints).items()}
 
 
+def signed(q):
+    return q - 2**64 if q >= 2**63 else q
+
+
+def flipped(rng, q, most):
+    for b in rng.choice(64, int(rng.integers(1, most + 1)), replace=False):
+        q ^= 1 << int(b)
+    return q
+
+
+def roots_of(prints):
+    """Smallest print reachable, by a matrix of distances."""
+    x = np.array(sorted(prints), np.int64)
+    near = np.bitwise_count(x.view(np.uint64)[:, None] ^ x.view(np.uint64)[None, :]) <= 4
+    root, before = np.arange(len(x)), None
+    while before is None or (root != before).any():
+        before, root = root, np.array([root[row].min() for row in near])
+    return {int(p): int(x[r]) for p, r in zip(x, root)}
+
+
 @pytest.mark.parametrize("n", [1, 10**6, 10**9])
-def test_simhash_links_are_exact(spark, n):
-    """Every pair of prints at the distance or less, once, whatever blocks the size of the table asks for."""
+def test_simhash_roots_are_exact(spark, n):
+    """Recall 1 against all pairs, whatever blocks the size of the table asks for: lone prints, pairs, chains and far ends."""
     rng = np.random.default_rng(6)
-    prints = rng.integers(-(2**63), 2**63 - 1, 60).tolist()
+    prints = [int(p) & (2**64 - 1) for p in rng.integers(-(2**63), 2**63 - 1, 60)]
     for p in list(prints[:40]):
-        for _ in range(4):
-            q = p & (2**64 - 1)
-            for b in rng.choice(64, int(rng.integers(1, 7)), replace=False):
-                q ^= 1 << int(b)
-            prints.append(q - 2**64 if q >= 2**63 else q)
-    prints = sorted({*prints, 0, -1, -(2**63), 2**63 - 1})
-    found = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "print long"), n).collect()]
+        prints += [flipped(rng, p, 6) for _ in range(4)]
+    chain = prints[50]
+    for _ in range(25):
+        chain = flipped(rng, chain, 4)
+        prints.append(chain)
+    prints = sorted({signed(p) for p in [*prints, 0, 2**64 - 1, 2**63, 2**63 - 1]})
+    df = spark.createDataFrame([(p,) for p in prints], "print long")
+    found = {r.print: r.root for r in simhash.roots(df, n=n).collect()}
+    assert found == roots_of(prints)
+    # By pairs alone, each its own root, no reference has settled any; every pair comes out, and once.
+    lone = simhash.crossings(df.selectExpr("print", "print AS root", "1L AS size"), n)
+    pairs = [(r.a, r.b) for r in lone.collect()]
     wanted = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 60
+    assert len(pairs) == len(set(pairs)) and set(pairs) == wanted and len(wanted) > 60
+
+
+def test_simhash_dense_group(spark):
+    """Thousands of distinct prints in one ball: linked through references, without a row for every pair."""
+    rng = np.random.default_rng(9)
+    center = int(rng.integers(2**62))
+    ball = sorted({signed(flipped(rng, center, 3)) for _ in range(4000)} | {signed(flipped(rng, int(rng.integers(2**62)), 1)) for _ in range(50)})
+    df = spark.createDataFrame([(p,) for p in ball], "print long").repartition(4)
+    assert {r.print: r.root for r in simhash.roots(df).collect()} == roots_of(ball)
+    keys = simhash._met(df, len(ball), 4)[0].count()
+    assert simhash.references(df, len(ball)).count() <= simhash.REFERENCES * keys
+
+
+def test_one_of_each(spark):
+    """Each component keeps one row, and rows go only as near copies of a kept one: one id with two texts, null ids, repeats."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(6, a, "x"), (6, b, "x"), (7, "quite another text of a few words", "x"), (8, a, "y"), (None, b, "z"), (None, "no id here at all", "z"), (None, "no id here at all", "z"), (9, None, "q"), (10, "", "q"), (7, "quite another text of a few words", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [tuple(r) for r in simhash.one_of_each(df.repartition(3)).collect()]
+    assert {(d, t) for d, t, _ in out} == {(6, a), (6, b), (7, rows[2][1]), (None, rows[5][1]), (9, None)} and len(out) == 5
+    assert {tuple(r) for r in simhash.one_of_each(df.coalesce(1)).collect()} == set(out)
 
 
 def test_pii(spark, docs, odd):
@@ -439,6 +497,21 @@ def test_mixing(spark):
     assert math.isclose(given["src0"], 3 * given["src1"]) and math.isclose(sum(given.values()), 2 * sum(mass.values())) and given["src2"] == given["src3"] == 0
 
 
+def test_mixing_rows_without_id(spark):
+    """They draw by their texts, so that copies come near the rate, and lie in many tasks, as repeats of one row do."""
+    df = spark.range(0, 2000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") + 1000).alias("text"), F.lit("a").alias("source"))
+    found = mixing.mix(df)
+    n = [r["count"] for r in found.groupBy("text").count().collect()]
+    assert abs(sum(n) - 2000) < 250 and max(n) > 2 and found.select("mix_key").distinct().count() == sum(n)
+    same = spark.range(0, 800, 1, 8).select(F.lit(3).alias("doc_id"), F.lit("same text").alias("text"), F.lit("b").alias("source")).union(df.select(F.lit(4), "text", F.lit("c")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = mixing.mix(same, epochs=4.0).where("source = 'b'").select("copy", F.spark_partition_id().alias("task")).distinct()
+        assert held.groupBy("copy").count().agg(F.min("count")).first()[0] > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_poisson_of_large_means(spark):
     df = spark.range(3000).select(*[mixing.poisson(F.lit(m), 5, F.col("id")).alias(n) for m, n in ((0.0, "a"), (3.0, "b"), (700.0, "c"))])
     r = df.agg(F.max("a"), F.avg("b"), F.variance("b"), F.avg("c"), F.variance("c")).first()
