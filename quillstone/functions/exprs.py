@@ -62,3 +62,37 @@ def search_pattern(term: str, underscore_is_wildcard: bool = False) -> str:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def trimmed_key(x: Column) -> Column:
+    """Text as a key of names: blanks at the ends off, lower case."""
+    return F.lower(F.trim(x))
+
+
+def sliding_expiry(now: Column, idle: int, absolute: Column) -> Column:
+    """When a session that is used now ends: after ``idle`` seconds without use, at its absolute end at the latest."""
+    return F.least(now + F.expr(f"INTERVAL {int(idle)} SECONDS"), absolute)
+
+
+def business_key(*parts: Column) -> Column:
+    """A key in the form of a UUID that the parts alone decide, so that writing again gives the same one; null reads as empty."""
+    text = F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
+    return F.regexp_replace(text, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+
+
+def row_fingerprint(*parts: Column) -> Column:
+    """The hash by which a row is known again; null reads as empty."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+def json_type(payload: Column, path: str) -> Column:
+    """object, array, string, number, boolean or null at a path; null where there is nothing, or no JSON."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
+    return (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind.startswith("ARRAY"), "array")
+        .when(kind == "STRING", "string")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind == "VOID", "null")
+        .when(kind.isNotNull(), "number")
+    )

@@ -120,3 +120,11 @@ def address_line(given: Column, unit: Column, lot: Column, place: Column) -> Col
     prefixed = lambda x, word: let(blank_to_null(x.cast("string")), lambda v: F.when(v.rlike(rf"(?i)^{word}\b"), v).otherwise(F.concat(F.lit(f"{word} "), v)))
     number = F.coalesce(prefixed(unit, "Unit"), prefixed(lot, "Lot"))
     return F.when(blank_to_null(given).isNull() & blank_to_null(place).isNotNull(), F.concat_ws(" ", number, blank_to_null(place)))
+
+
+def precision(a: Column) -> Column:
+    """How exactly the parts of an address (lot, unit, number, name, suburb, state) place it: street, lot, suburb, state or none."""
+    held = lambda *names: F.coalesce(*(a[n] for n in names)).isNotNull()
+    return (
+        F.when(held("number") & held("name"), "street").when(held("lot", "unit"), "lot").when(held("suburb", "postcode"), "suburb").when(held("state"), "state").otherwise("none")
+    )

@@ -92,6 +92,7 @@ def apply_commands(state: DataFrame, commands: DataFrame, machine: str) -> tuple
 
     state has id, status and row_version. Of several commands for one id the first by sequence is applied, the others are
     SUPERSEDED. The rest of the ladder: REASON_REQUIRED, NOT_ALLOWED, NOT_FOUND, STALE_VERSION, STALE_STATUS, APPLIED.
+    Where state has closed_at and commands say when (at), a terminal status is stamped with it, and others clear it.
     """
     spark = state.sparkSession
     first = F.row_number().over(Window.partitionBy("id").orderBy("sequence"))
@@ -107,11 +108,14 @@ def apply_commands(state: DataFrame, commands: DataFrame, machine: str) -> tuple
         .when(F.col("_status") != F.col("from_status"), "STALE_STATUS")
         .otherwise("APPLIED")
     )
-    outcomes = judged.select("id", "sequence", "from_status", "to_status", "reason", outcome.alias("outcome"))
-    history = outcomes.where("outcome = 'APPLIED'").select("id", "from_status", "to_status", "reason")
-    moved = history.select("id", F.col("to_status").alias("_to"))
+    when = ["at"] if "at" in commands.columns else []
+    outcomes = judged.select("id", "sequence", "from_status", "to_status", "reason", *when, outcome.alias("outcome"))
+    history = outcomes.where("outcome = 'APPLIED'").select("id", "from_status", "to_status", "reason", *when)
+    moved = history.select("id", F.col("to_status").alias("_to"), *[F.col(c).alias(f"_{c}") for c in when])
     new = state.join(moved, "id", "left")
     changed = {"status": F.coalesce("_to", "status"), "row_version": F.col("row_version") + F.col("_to").isNotNull().cast("long")}
+    if when:
+        changed["closed_at"] = F.when(F.col("_to").isNull(), F.col("closed_at") if "closed_at" in state.columns else None).when(~F.col("_to").isin(*TRANSITIONS[machine]), F.col("_at"))
     return new.select(*[changed.get(c, F.col(c)).alias(c) for c in state.columns]), history, outcomes
 
 

@@ -69,6 +69,22 @@ def best_unique(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return winners.where("n = 1").drop("n")
 
 
+def containments(items: DataFrame, sets: DataFrame, item: str, candidate: str, words: str, least: float) -> DataFrame:
+    """item, candidate and score: the share of a candidate's words that an item holds, where it is ``least`` or more.
+
+    words: an array without repeats on either side. An item that holds enough of a candidate's words holds one of its
+    rarest, as many as it may miss and one more; so only items with such a word are compared, whole set by whole set.
+    """
+    often = items.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = sets.select(candidate, F.explode(words).alias("word")).join(often, "word", "left")
+    ranked = each.groupBy(candidate).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
+    misses = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(least) - 1e-9).cast("int")
+    seeds = ranked.select(candidate, F.explode(F.slice("ranked", F.lit(1), misses + 1)).alias("s")).select(candidate, "s.word")
+    pairs = items.select(item, F.explode(words).alias("word")).join(seeds, "word").select(item, candidate).distinct()
+    held = pairs.join(items.select(item, F.col(words).alias("_own")), item).join(sets.select(candidate, F.col(words).alias("_wanted")), candidate)
+    return held.select(item, candidate, (F.size(F.array_intersect("_own", "_wanted")) / F.size("_wanted")).alias("score")).where(F.col("score") >= least)
+
+
 def decisive(scores: DataFrame, item: str, candidate: str, floor: float = 0.95, margin: float = 0.2) -> DataFrame:
     """item, candidate, score and verdict of each item's best candidate: ok, no_match under the floor, or ambiguous where
     the next is too near. A candidate is named for ok only."""

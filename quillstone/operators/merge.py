@@ -134,3 +134,10 @@ def staged_import(items: DataFrame, rows: DataFrame, upload: int, columns: Seque
     first = {"org": F.col("org"), "id": F.col("new_id"), "upload": F.lit(upload), "lifecycle": fresh} | {c: F.col(c) for c in columns}
     inserted = rows.where(F.col("id").isNull()).join(live, "org", "left").select(*[first.get(c, F.lit(None)).cast(types[c]).alias(c) for c in items.columns])
     return joined.select(*[new.get(c, F.col(c)).cast(types[c]).alias(c) for c in items.columns]).unionByName(inserted)
+
+
+def write_back(parents: DataFrame, chosen: DataFrame, key: str, column: str, choice: str) -> DataFrame:
+    """parents with ``column`` as their chosen child says, null where none is left, and changed: whether that is news."""
+    joined = parents.join(chosen.select(key, F.col(choice).alias("_choice")), key, "left")
+    changed = (~F.col(column).eqNullSafe(F.col("_choice"))).alias("changed")
+    return joined.select(*[F.col("_choice").alias(c) if c == column else F.col(c) for c in parents.columns], changed)

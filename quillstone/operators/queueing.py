@@ -78,6 +78,12 @@ def outcomes(events: DataFrame, connections: DataFrame, items: DataFrame, handle
     return held.select(*events.columns, outcome.alias("outcome"))
 
 
+def dead_letters(judged: DataFrame) -> DataFrame:
+    """The events of ``outcomes`` that will not be tried again, with reason (of a refusal) and exhausted (out of attempts)."""
+    gone = judged.where((F.col("outcome") == "dead") | F.col("outcome").startswith("refused:"))
+    return gone.withColumns({"reason": F.split_part("outcome", F.lit(":"), F.lit(2)), "exhausted": F.col("outcome") == "dead"})
+
+
 def stamps_differ(previous: Column, current: Column) -> Column:
     """Whether a reading differs from the one before; no reading before is no change."""
     return previous.isNotNull() & ~previous.eqNullSafe(current)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,15 @@ def mean_cents(amount: Column) -> Column:
     return F.coalesce(rounded2(F.sum(cents) / F.count(cents) / 100), F.lit(0.0))
 
 
-def one_row(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Named counts of several frames in one row: tagged partial counts, summed by tag."""
-    tagged = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tag"), "n") for name, df in frames.items()]
-    every = tagged[0]
-    for df in tagged[1:]:
-        every = every.unionByName(df)
-    return every.agg(*(F.coalesce(F.sum(F.when(F.col("tag") == n, F.col("n"))), F.lit(0)).alias(n) for n in frames))
+def one_row(sources: Sequence[tuple[DataFrame, Mapping[str, Column | None]]]) -> DataFrame:
+    """Named counts of several frames in one row, each frame read once: of all its rows (None), or of those that meet a condition."""
+
+    def counted(df: DataFrame, named: Mapping[str, Column | None]) -> DataFrame:
+        each = df.agg(*((F.count("*") if c is None else F.count_if(F.coalesce(c, F.lit(False)))).alias(n) for n, c in named.items()))
+        return each.select(F.inline(F.array(*(F.struct(F.lit(n).alias("tag"), F.col(n).alias("n")) for n in named))))
+
+    every = reduce(DataFrame.unionByName, [counted(*s) for s in sources])
+    return every.agg(*(F.coalesce(F.sum(F.when(F.col("tag") == n, F.col("n"))), F.lit(0)).alias(n) for _, named in sources for n in named))
 
 
 def fold_status(groups: DataFrame, facts: DataFrame, key: str, failed: Column, passed: Column, absent: str = "not_performed") -> DataFrame:

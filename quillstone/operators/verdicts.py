@@ -146,3 +146,91 @@ def image_progress(has_image: Column, stage: Column, documents: Column, unproces
         (unreachable > 0, "source_unavailable"),
     ]
     return _ladder(rungs, "none_found")
+
+
+def evidence_state(rows: DataFrame, branches: str = "branches") -> DataFrame:
+    """rows (accepted, discovery, version, anchor and JSON ``branches``) with total, inspected, operational, waiting and state.
+
+    branches: by name, whether a source can be opened, and the result, exhaustion, version, anchor and attempts of its last
+    reading. A source that can't be opened counts as inspected; a reading of another version or for another anchor is none.
+    A negative counts as inspected where the document was read, else as our own failure; a recovery that was begun is
+    under way until its second attempt. An accepted image settles all; then what was never opened, is under way, or failed
+    on our side; links that couldn't be listed withhold the end.
+    """
+    held = F.map_values(F.from_json(F.coalesce(branches, F.lit("{}")), "map<string,struct<opens:boolean,result:string,exhaustion:string,version:int,anchor:string,attempts:int>>"))
+
+    def verdict(b: Column) -> Column:
+        rungs = [
+            (~b["opens"], "inspected"),
+            (b["result"].isNull() | ~b["version"].eqNullSafe(F.col("version")) | ~b["anchor"].eqNullSafe(F.col("anchor")), "open"),
+            ((b["result"] == "no_deterministic_image") & (b["exhaustion"] == "inspected"), "inspected"),
+            (b["result"] == "no_deterministic_image", "operational"),
+            ((b["result"] == "package_recovery_attempt") & (b["attempts"] < 2), "in_flight"),
+            (b["result"] == "package_recovery_attempt", "operational"),
+        ]
+        return _ladder(rungs, "open")
+
+    judged = rows.withColumn("_verdicts", F.transform(held, verdict))
+    many = lambda *kinds: F.size(F.filter("_verdicts", lambda v: v.isin(*kinds)))
+    counted = judged.withColumns({"total": F.size("_verdicts"), "inspected": many("inspected"), "operational": many("operational"), "waiting": many("open")})
+    unlisted = F.coalesce(F.col("discovery") == "unavailable", F.lit(False))
+    rungs = [
+        (F.col("accepted"), "found"),
+        ((F.col("total") == 0) & ~unlisted, "no_evidence"),
+        (F.col("waiting") > 0, "pending"),
+        (many("in_flight") > 0, "processing"),
+        ((F.col("operational") > 0) | unlisted, "retryable_failure"),
+    ]
+    return counted.withColumn("state", _ladder(rungs, "exhausted")).drop("_verdicts")
+
+
+# The routes on which a partner may be told, and those of them on which it relies on the origin's work.
+ROUTES = ("reliance", "outsourced_cdd", "independent_cdd", "information_share_only")
+RELIANCE_ROUTES = ("reliance", "outsourced_cdd")
+#: What is still to be made along the way stops nothing.
+SOFT_BLOCKERS = ("DISCLOSURE_CONFIGURATION_REQUIRED", "EVIDENCE_AVAILABILITY_INCOMPLETE")
+
+
+def distribution_readiness(rows: DataFrame, as_of: Column) -> DataFrame:
+    """rows, a candidate each with the facts of its own, with blockers (in order), ready and state.
+
+    Facts: enabled, attestation, issued_at, superseded_at, obligations, passport_state, gate, route, consent, partner,
+    membership, member_partner, portal_user, link (verdict of ``link_verdict``), link_active, classification,
+    arrangement_partner, arrangement (verdict of ``arrangement_verdict``), evidence, manifest, granted, revoked_at,
+    refresh_at, expires_at and granted_attestation. What only reliance needs is asked of its routes alone. A candidate
+    without hard blockers is told where a grant it may have stands.
+    """
+    c, no = F.col, lambda x: ~F.coalesce(x, F.lit(False))
+    known, relies = F.coalesce(c("route").isin(*ROUTES), F.lit(False)), F.coalesce(c("route").isin(*RELIANCE_ROUTES), F.lit(False))
+    issued = c("attestation").isNotNull() & c("issued_at").isNotNull()
+    member = (c("membership") == "active") & c("portal_user").isNotNull() & (c("partner").isNull() | (c("member_partner") == c("partner")))
+    verdict = c("arrangement")
+    facts = [
+        (no(c("enabled")), "DISTRIBUTION_NOT_ENABLED"),
+        (~issued, "PASSPORT_NOT_ISSUED"),
+        (issued & c("superseded_at").isNotNull(), "PASSPORT_SUPERSEDED"),
+        (c("obligations") > 0, "PASSPORT_REFRESH_REQUIRED"),
+        (c("passport_state").isin("suspended", "revoked") | c("gate").isin("terminated", "locked"), "PASSPORT_SUSPENDED"),
+        (~known, "LEGAL_ROUTE_NOT_RECORDED"),
+        (c("consent").isNull(), "CLIENT_SHARING_CONSENT_REQUIRED"),
+        (no(member), "PORTAL_MEMBERSHIP_REQUIRED"),
+        (F.when(relies, no(c("link") == "ok")).otherwise(known & no(c("link_active"))), "PARTNER_LINK_REQUIRED"),
+        (relies & no(c("classification") == "completed"), "PARTNER_CLASSIFICATION_REQUIRED"),
+        (relies & (c("arrangement_partner") != c("partner")), "CDD_ARRANGEMENT_REQUIRED"),
+        (relies & verdict.isin("review_overdue", "assessment_overdue"), "ARRANGEMENT_REVIEW_OVERDUE"),
+        (relies & verdict.isin("assessment_missing", "assessment_unsuitable"), "ARRANGEMENT_ASSESSMENT_REQUIRED"),
+        (relies & ~verdict.isin("ok", "review_overdue", "assessment_overdue", "assessment_missing", "assessment_unsuitable"), "CDD_ARRANGEMENT_REQUIRED"),
+        (no(c("evidence") > 0), "EVIDENCE_AVAILABILITY_INCOMPLETE"),
+        (no(c("manifest")), "DISCLOSURE_CONFIGURATION_REQUIRED"),
+    ]
+    blockers = F.array_distinct(F.array_compact(F.array(*(F.when(x, name) for x, name in facts))))
+    judged = rows.withColumn("blockers", blockers).withColumn("ready", F.size(F.array_except("blockers", F.array(*map(F.lit, SOFT_BLOCKERS)))) == 0)
+    rungs = [
+        (~c("ready"), "ACTION_REQUIRED"),
+        (no(c("granted")), "READY"),
+        (c("revoked_at").isNotNull(), "GRANT_REVOKED"),
+        (c("refresh_at").isNotNull(), "REFRESH_REQUIRED"),
+        (c("expires_at") < as_of, "GRANT_EXPIRED"),
+        (c("attestation").isNotNull() & ~c("granted_attestation").eqNullSafe(c("attestation")), "NEW_VERSION_AVAILABLE"),
+    ]
+    return judged.withColumn("state", _ladder(rungs, "ALREADY_CURRENT"))

@@ -58,10 +58,16 @@ _GRANTED = (
 )
 
 
+# A membership's own decision for a project, for each level.
+_BY_PROJECT = {x: f"CASE WHEN o_orderkey % 17 = {n} THEN 'deny' WHEN o_orderkey % 19 = {n} THEN 'allow' ELSE 'inherit' END" for n, x in enumerate(("view", "edit", "delete"))}
+_PROJECT = "CASE level " + " ".join(f"WHEN '{x}' THEN {d}" for x, d in _BY_PROJECT.items()) + " END"
+
+
 @query(
-    f"SELECT o_orderkey AS project FROM orders JOIN customer ON o_custkey = c_custkey JOIN {_MEMBERS} m ON m.\"user\" = c_custkey AND m.org = c_nationkey "
+    f"SELECT o_orderkey AS project, level FROM orders JOIN customer ON o_custkey = c_custkey JOIN {_MEMBERS} m ON m.\"user\" = c_custkey AND m.org = c_nationkey CROSS JOIN {_LEVELS} JOIN {_KEYS} ON k.permission = 'units' "
     f"LEFT JOIN {_DEFAULTS} ON d.role = m.role AND d.permission = 'units' LEFT JOIN {_OVERRIDES} o ON o.membership_id = m.membership_id "
-    f"WHERE {_GRANTED} AND CASE WHEN o_orderkey % 11 = 0 THEN false WHEN o_orderkey % 13 = 0 THEN true WHEN view_decision = 'deny' THEN false ELSE coalesce(can_view, false) END"
+    f"WHERE {_GRANTED} AND CASE WHEN {_PROJECT} = 'deny' OR (level = 'view' AND o_orderkey % 11 = 0) THEN false WHEN o_orderkey % 23 = 0 AND level <> 'view' THEN false "
+    f"WHEN {_PROJECT} = 'allow' OR (level = 'view' AND o_orderkey % 13 = 0) THEN true ELSE {_LADDER} END"
 )
 def accessible_entities(t: Tables) -> DataFrame:
     orders = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
@@ -69,12 +75,12 @@ def accessible_entities(t: Tables) -> DataFrame:
     json = F.when(F.col("o_orderkey") % 11 == 0, '{"units":{"view":"deny"}}').when(F.col("o_orderkey") % 13 == 0, '{"units":{"view":"allow"}}').otherwise("{}")
     grants = orders.select(
         F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.col("c_nationkey").alias("org"), F.col("o_orderdate").alias("valid_from"), until.alias("valid_until"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("revoked_at"), F.lit("editor").alias("access_role"), json.alias("permissions"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderdate")).alias("revoked_at"), F.when(F.col("o_orderkey") % 23 == 0, "read_only").otherwise("editor").alias("access_role"), json.alias("permissions"),
     )
-    asked = orders.select(F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission"), F.lit("view").alias("level"))
+    asked = orders.select(F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission")).crossJoin(F.broadcast(_sql(t, _LEVELS)))
+    by_project = orders.select((F.col("c_custkey") * 10).alias("membership_id"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission"), *[F.expr(d).alias(f"{x}_decision") for x, d in _BY_PROJECT.items()])
     keys, members, defaults, overrides = _frames(t)
-    none = overrides.withColumn("project", F.lit(None).cast("long")).where("false")
-    return A.project_permission(asked, grants, keys, members, defaults, overrides, none, at(AS_OF)).where("allowed").select("project")
+    return A.project_permission(asked, grants, keys, members, defaults, overrides, by_project, at(AS_OF)).where("allowed").select("project", "level")
 
 
 @query(

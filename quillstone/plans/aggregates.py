@@ -105,16 +105,15 @@ def completion_ratio(t: Tables) -> DataFrame:
 def workspace_summary(t: Tables) -> DataFrame:
     mine = J.within(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus"), accessible_customers(t), "c_custkey")
     return S.one_row(
-        {
-            "orders": mine,
-            "open_orders": mine.where("o_orderstatus = 'O'"),
-            "customers": accessible_customers(t),
-            "errors": t.events.where("event_type = 'error'"),
-            "documents": t.documents,
-            "rejected": t.labels.where("quality = 0"),
-            "parts": t.part,
-            "indebted": t.supplier.where("s_acctbal < 0"),
-        }
+        [
+            (mine, {"orders": None, "open_orders": F.col("o_orderstatus") == "O"}),
+            (accessible_customers(t), {"customers": None}),
+            (t.events.where("event_type = 'error'"), {"errors": None}),
+            (t.documents, {"documents": None}),
+            (t.labels.where("quality = 0"), {"rejected": None}),
+            (t.part, {"parts": None}),
+            (t.supplier.where("s_acctbal < 0"), {"indebted": None}),
+        ]
     )
 
 

@@ -88,16 +88,43 @@ def inbound_apply_outcomes(t: Tables) -> DataFrame:
     return judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"SELECT event_id, outcome, split_part(outcome, ':', 2) AS reason, outcome = 'dead' AS exhausted FROM (SELECT e.event_id, CASE WHEN c.state IS NULL OR c.state = 'revoked' THEN 'refused:connection_revoked' WHEN e.event_type NOT IN ('view', 'click', 'purchase') THEN 'refused:unhandled_event_type:' || substr(e.event_type, 1, 60) "
+    "WHEN e.item IS NULL THEN 'refused:invalid_payload' WHEN e.status <> 'selected' THEN 'refused:invalid_status:' || substr(e.status, 1, 40) WHEN i.org IS NULL OR i.org <> c.org THEN 'refused:stock_item_not_ours' "
+    "WHEN e.failed AND e.attempts + 1 >= 5 THEN 'dead' WHEN e.failed THEN 'deferred' ELSE 'applied' END AS outcome "
+    f"FROM ({_INBOUND}) e LEFT JOIN ({_CONNECTIONS}) c ON e.connection = c.connection LEFT JOIN ({_OWNED}) i ON e.item = i.item) x WHERE outcome NOT IN ('applied', 'deferred')"
+)
+def inbound_dead_letters(t: Tables) -> DataFrame:
+    for name in ("events", "nation", "part"):
+        getattr(t, name).createOrReplaceTempView(name)
+    sql = t.spark.sql
+    judged = Q.outcomes(sql(_INBOUND), sql(_CONNECTIONS), sql(_OWNED), ["view", "click", "purchase"], ["selected", "progressed", "completed", "withdrawn"])
+    return Q.dead_letters(judged).select("event_id", "outcome", "reason", "exhausted")
+
+
 def _timed(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros")).withColumn("at", F.col("micros") / 1e6)
 
 
-@query()
+# Each user's events in order; a recursive query goes through them one by one.
+_ORDERED = "e AS (SELECT user_id, event_id, event_type <> 'error' AS ok, epoch_us(ts) / 1e6 AS at_s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL)"
+
+
+@query(
+    f"WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, event_id, rn, at_s, at_s AS began, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, e.at_s, CASE WHEN e.at_s - began >= 86400 THEN e.at_s ELSE began END, "
+    "CASE WHEN e.at_s - began >= 86400 THEN 1 ELSE n + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) "
+    "SELECT user_id, event_id, n <= 5 AS allowed, n::BIGINT AS count, greatest(5 - n, 0)::BIGINT AS remaining, greatest(0, ceil(began + 86400 - at_s))::BIGINT AS retry_after FROM r"
+)
 def rate_limit_fold(t: Tables) -> DataFrame:
     return folds.fold(_timed(t).select("user_id", "event_id", "at"), "user_id", "at", "event_id", *folds.rate_limit(5, 86400.0))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_ORDERED}, r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS rn, 0 AS held, NULL::DOUBLE AS until_s, false AS is_open, 0 AS failures, false AS tripped FROM e UNION ALL "
+    "SELECT e.user_id, e.event_id, e.rn, CASE WHEN ok OR held + 1 >= 3 THEN 0 ELSE held + 1 END, CASE WHEN ok THEN NULL WHEN held + 1 >= 3 THEN e.at_s + 7200 ELSE until_s END, coalesce(until_s > e.at_s, false), "
+    "CASE WHEN ok OR held + 1 >= 3 THEN 0 ELSE held + 1 END, NOT ok AND held + 1 >= 3 FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) "
+    "SELECT user_id, event_id, is_open, failures::BIGINT AS failures, tripped FROM r WHERE rn > 0"
+)
 def circuit_breaker_fold(t: Tables) -> DataFrame:
     rows = _timed(t).select("user_id", "event_id", "at", (F.col("event_type") != "error").alias("ok"))
     return folds.fold(rows, "user_id", "at", "event_id", *folds.circuit_breaker(3, 7200.0))

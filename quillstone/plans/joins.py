@@ -137,13 +137,13 @@ def lateral_posexplode(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS line FROM orders WHERE o_orderkey < 50 UNION ALL "
-    "SELECT 'customer', c_name FROM customer WHERE c_custkey < 50 UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'region', r_name FROM region"
+    "SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS line FROM orders UNION ALL "
+    "SELECT 'customer', c_name FROM customer UNION ALL SELECT 'nation', n_name FROM nation UNION ALL SELECT 'region', r_name FROM region"
 )
 def union_all_tagged(t: Tables) -> DataFrame:
     parts = [
-        t.orders.where("o_orderkey < 50").select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("line")),
-        t.customer.where("c_custkey < 50").select(F.lit("customer").alias("kind"), F.col("c_name").alias("line")),
+        t.orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("line")),
+        t.customer.select(F.lit("customer").alias("kind"), F.col("c_name").alias("line")),
         t.nation.select(F.lit("nation").alias("kind"), F.col("n_name").alias("line")),
         t.region.select(F.lit("region").alias("kind"), F.col("r_name").alias("line")),
     ]

@@ -57,6 +57,46 @@ def transition_apply(t: Tables) -> DataFrame:
     return outcomes.select("id", "outcome").join(new, "id", "left").select("id", "outcome", F.col("status").alias("new_status"), F.col("row_version").alias("new_version"))
 
 
+_HOLDS = (
+    "SELECT o_orderkey AS id, o_custkey AS sequence, o_orderkey % 3 AS expected_version, 'active' AS from_status, CASE o_orderkey % 4 WHEN 0 THEN 'contracted' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'expired' ELSE 'active' END AS to_status, "
+    "o_orderpriority AS reason, o_orderdate AS at FROM orders"
+)
+
+
+@query(
+    "SELECT o_orderkey AS id, 'active' AS from_status, CASE o_orderkey % 4 WHEN 0 THEN 'contracted' WHEN 1 THEN 'cancelled' ELSE 'expired' END AS to_status, o_orderpriority AS reason, o_orderdate AS closed_at, o_orderkey % 2 + 1 AS row_version FROM orders "
+    "WHERE o_orderkey % 4 < 3 AND o_orderkey % 2 = o_orderkey % 3 AND o_orderstatus <> 'F'"
+)
+def transition_history(t: Tables) -> DataFrame:
+    t.orders.createOrReplaceTempView("orders")
+    k = F.col("o_orderkey")
+    state = t.orders.select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "lapsed").otherwise("active").alias("status"), (k % 2).alias("row_version"), F.lit(None).cast(dict(t.orders.dtypes)["o_orderdate"]).alias("closed_at"))
+    new, history, _ = L.apply_commands(state, t.spark.sql(_HOLDS), "reservation")
+    return history.drop("at").join(new.select("id", "closed_at", "row_version"), "id")
+
+
+@query(
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN 'new ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 4 < 2 THEN 2 + p_partkey % 4 ELSE 2 END::BIGINT AS version FROM part WHERE p_partkey % 5 > 0 "
+    "UNION ALL SELECT p_partkey, 'new ' || p_name, (1 + p_partkey % 4)::BIGINT FROM part WHERE p_partkey % 5 = 0"
+)
+def upsert_seeds(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    held = t.part.where(k % 5 > 0).select(k.alias("id"), F.col("p_name").alias("name"), F.lit(2).cast("long").alias("version"))
+    version = F.when((k % 5 > 0) & (k % 4 < 2), 2 + k % 4).when(k % 5 > 0, 1).otherwise(1 + k % 4)
+    return M.upsert_latest(held, t.part.select(k.alias("id"), F.concat(F.lit("new "), "p_name").alias("name"), version.cast("long").alias("version")), ["id"], "version")
+
+
+@query(
+    "SELECT o_orderkey AS id, CASE WHEN best IS NULL THEN NULL ELSE best END AS primary_part, o_orderkey % 3 <> 0 OR best IS NOT NULL AS changed FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey AS best FROM "
+    "(SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rn FROM lineitem WHERE l_returnflag <> 'R') x WHERE rn = 1) b ON l_orderkey = o_orderkey"
+)
+def primary_write_back(t: Tables) -> DataFrame:
+    parents = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.lit(-1)).cast("long").alias("primary_part"))
+    order = F.struct((-F.col("l_extendedprice")).alias("price"), "l_linenumber", "l_partkey")
+    best = t.lineitem.where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.min_by("l_partkey", order).alias("best"))
+    return M.write_back(parents, best, "id", "primary_part", "best")
+
+
 _ITEMS = (
     "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS upload, o_totalprice AS price, CASE WHEN year(o_orderdate) = 2000 THEN 'staged' WHEN year(o_orderdate) > 2000 THEN 'archived' ELSE 'active' END AS lifecycle, "
     "CASE WHEN year(o_orderdate) = 1998 AND o_orderkey % 4 = 0 THEN 2000 END AS pending_upload, CASE WHEN o_orderkey % 8 <> 0 THEN 1.0 * o_orderkey END AS patch_price FROM orders"

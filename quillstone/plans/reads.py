@@ -87,11 +87,12 @@ def regex_predicate(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, coalesce(nullif(trim(replace(substr(text, 1, 12), chr(10), ' ')), ''), lang) AS title, nullif(lang, 'en') AS other_lang FROM documents"
+    "SELECT doc_id, md5(stated) AS stated_md5, length(stated) AS n_stated, nullif(lang, 'en') AS other_lang FROM (SELECT doc_id, lang, coalesce(nullif(trim(replace(text, chr(10), ' ')), ''), lang) AS stated FROM documents) d"
 )
 def coalesce_nullif(t: Tables) -> DataFrame:
-    head = F.replace(F.substring("text", 1, 12), F.lit("\n"), F.lit(" "))
-    return t.documents.select("doc_id", F.coalesce(blank_to_null(head), "lang").alias("title"), F.nullif(F.col("lang"), F.lit("en")).alias("other_lang"))
+    stated = F.coalesce(blank_to_null(F.replace("text", F.lit("\n"), F.lit(" "))), "lang")
+    d = t.documents.select("doc_id", "lang", stated.alias("stated"))
+    return d.select("doc_id", F.md5("stated").alias("stated_md5"), F.length("stated").cast("long").alias("n_stated"), F.nullif(F.col("lang"), F.lit("en")).alias("other_lang"))
 
 
 @query(
@@ -156,13 +157,13 @@ def topk_activity(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x ORDER BY quality ASC NULLS LAST, doc_id LIMIT 300"
+    "SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x ORDER BY quality ASC NULLS LAST, doc_id"
 )
 def sort_nulls_last(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return d.orderBy(F.col("quality").asc_nulls_last(), "doc_id").limit(300)
+    return d.orderBy(F.col("quality").asc_nulls_last(), "doc_id")
 
 
-@query(f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority {_RANK} ELSE 0 END, o_orderkey LIMIT 120")
+@query(f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority {_RANK} ELSE 0 END, o_orderkey")
 def sort_by_vocabulary(t: Tables) -> DataFrame:
-    return t.orders.orderBy(R.vocabulary_rank(F.col("o_orderpriority"), PRIORITIES), "o_orderkey").limit(120).select("o_orderkey", "o_orderpriority")
+    return t.orders.orderBy(R.vocabulary_rank(F.col("o_orderpriority"), PRIORITIES), "o_orderkey").select("o_orderkey", "o_orderpriority")

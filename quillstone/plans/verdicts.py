@@ -148,3 +148,59 @@ def record_labels(t: Tables) -> DataFrame:
 )
 def csv_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", sinks.csv_line(t.documents.select("text", "doc_id")).alias("line"))
+
+
+# Each line of an order is a source of its evidence.
+_BRANCH = (
+    "CASE WHEN l_partkey % 7 = 0 THEN 'inspected' WHEN l_returnflag = 'N' OR l_suppkey % 5 = 0 THEN 'open' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'inspected' WHEN l_returnflag = 'R' THEN 'operational' "
+    "WHEN l_linenumber % 3 < 2 THEN 'in_flight' ELSE 'operational' END"
+)
+
+
+@query(
+    f"WITH b AS (SELECT l_orderkey, count(*) AS total, count(*) FILTER (v = 'inspected') AS inspected, count(*) FILTER (v = 'operational') AS operational, count(*) FILTER (v = 'open') AS waiting, count(*) FILTER (v = 'in_flight') AS flying "
+    f"FROM (SELECT l_orderkey, {_BRANCH} AS v FROM lineitem WHERE l_orderkey % 9 > 0) x GROUP BY l_orderkey) "
+    "SELECT o_orderkey, coalesce(total, 0)::INT AS total, coalesce(inspected, 0)::INT AS inspected, coalesce(operational, 0)::INT AS operational, coalesce(waiting, 0)::INT AS waiting, "
+    "CASE WHEN o_orderkey % 10 = 0 THEN 'found' WHEN total IS NULL AND o_orderkey % 4 > 0 THEN 'no_evidence' WHEN waiting > 0 THEN 'pending' WHEN flying > 0 THEN 'processing' WHEN operational > 0 OR o_orderkey % 4 = 0 THEN 'retryable_failure' ELSE 'exhausted' END AS state "
+    "FROM orders LEFT JOIN b ON l_orderkey = o_orderkey"
+)
+def evidence_states(t: Tables) -> DataFrame:
+    flag, k = F.col("l_returnflag"), F.col("o_orderkey")
+    result = F.when(flag == "R", "no_deterministic_image").when(flag == "A", "package_recovery_attempt")
+    reading = F.struct(
+        (F.col("l_partkey") % 7 > 0).alias("opens"), result.alias("result"), F.when(F.col("l_linestatus") == "F", "inspected").otherwise("operational").alias("exhaustion"),
+        F.when(F.col("l_suppkey") % 5 > 0, 3).otherwise(2).alias("version"), F.when(F.col("l_suppkey") % 10 == 0, "b").otherwise("a").alias("anchor"), (F.col("l_linenumber") % 3).alias("attempts"),
+    )
+    listed = t.lineitem.where("l_orderkey % 9 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(reading).alias("l"))
+    branches = F.to_json(F.map_from_entries(F.transform("l", lambda b, i: F.struct(F.concat(F.lit("b"), i.cast("string")), b))))
+    rows = t.orders.select("o_orderkey").join(listed.select("o_orderkey", branches.alias("branches")), "o_orderkey", "left")
+    rows = rows.withColumns({"accepted": k % 10 == 0, "discovery": F.when(k % 4 == 0, "unavailable"), "version": F.lit(3), "anchor": F.lit("a")})
+    return V.evidence_state(rows).select("o_orderkey", "total", "inspected", "operational", "waiting", "state")
+
+
+_HARD = (
+    "concat_ws(',', CASE WHEN k % 31 = 0 THEN 'DISTRIBUTION_NOT_ENABLED' END, CASE WHEN k % 17 = 0 THEN 'PASSPORT_NOT_ISSUED' WHEN k % 19 = 0 THEN 'PASSPORT_SUPERSEDED' END, CASE WHEN k % 23 = 0 THEN 'PASSPORT_REFRESH_REQUIRED' END, "
+    "CASE WHEN k % 29 = 0 OR k % 37 = 0 THEN 'PASSPORT_SUSPENDED' END, CASE WHEN k % 6 = 5 THEN 'LEGAL_ROUTE_NOT_RECORDED' END, CASE WHEN k % 41 = 0 THEN 'CLIENT_SHARING_CONSENT_REQUIRED' END, CASE WHEN k % 13 < 2 THEN 'PORTAL_MEMBERSHIP_REQUIRED' END, "
+    "CASE WHEN k % 6 < 3 AND k % 7 = 0 OR k % 6 IN (3, 4) AND k % 8 = 0 THEN 'PARTNER_LINK_REQUIRED' END, CASE WHEN k % 6 < 3 AND k % 5 = 0 THEN 'PARTNER_CLASSIFICATION_REQUIRED' END, CASE WHEN k % 6 < 3 AND k % 11 = 0 THEN 'CDD_ARRANGEMENT_REQUIRED' END, "
+    "CASE WHEN k % 6 < 3 THEN CASE k % 9 WHEN 0 THEN 'ARRANGEMENT_REVIEW_OVERDUE' WHEN 1 THEN 'ARRANGEMENT_ASSESSMENT_REQUIRED' WHEN 2 THEN CASE WHEN k % 11 > 0 THEN 'CDD_ARRANGEMENT_REQUIRED' END END END)"
+)
+
+
+@query(
+    f"SELECT k AS o_orderkey, concat_ws(',', nullif(hard, ''), CASE WHEN k % 3 = 0 THEN 'EVIDENCE_AVAILABILITY_INCOMPLETE' END, CASE WHEN k % 4 = 0 THEN 'DISCLOSURE_CONFIGURATION_REQUIRED' END) AS blockers, "
+    f"CASE WHEN hard <> '' THEN 'ACTION_REQUIRED' WHEN k % 10 < 3 THEN 'READY' WHEN k % 10 = 3 THEN 'GRANT_REVOKED' WHEN k % 10 = 4 THEN 'REFRESH_REQUIRED' WHEN o_orderdate < {_DAY} THEN 'GRANT_EXPIRED' WHEN k % 10 < 8 THEN 'NEW_VERSION_AVAILABLE' ELSE 'ALREADY_CURRENT' END AS state "
+    f"FROM (SELECT o_orderkey AS k, o_orderdate, {_HARD.replace('k %', 'o_orderkey %')} AS hard FROM orders) x"
+)
+def distribution_readiness(t: Tables) -> DataFrame:
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    rows = t.orders.select(
+        "o_orderkey", (k % 31 != 0).alias("enabled"), F.lit("a2").alias("attestation"), F.when(k % 17 != 0, at).alias("issued_at"), F.when(k % 19 == 0, at).alias("superseded_at"), F.when(k % 23 == 0, 1).otherwise(0).alias("obligations"),
+        F.when(k % 29 == 0, "revoked").otherwise("current").alias("passport_state"), F.when(k % 37 == 0, "locked").otherwise("approved").alias("gate"), pick(6, "reliance", "outsourced_cdd", "reliance", "independent_cdd", "information_share_only", "other").alias("route"),
+        F.when(k % 41 != 0, k).alias("consent"), F.lit(7).alias("partner"), F.when(k % 13 == 0, "ended").otherwise("active").alias("membership"), F.when(k % 13 == 1, 8).otherwise(7).alias("member_partner"), F.lit(1).alias("portal_user"),
+        F.when(k % 7 == 0, "partner_link_missing").otherwise("ok").alias("link"), (k % 8 != 0).alias("link_active"), F.when(k % 5 != 0, "completed").alias("classification"), F.when(k % 11 == 0, 8).when(k % 2 == 0, 7).alias("arrangement_partner"),
+        F.when(k % 9 == 0, "review_overdue").when(k % 9 == 1, "assessment_missing").when(k % 9 == 2, "agreement_expired").otherwise("ok").alias("arrangement"), (k % 3).alias("evidence"), (k % 4 != 0).alias("manifest"), (k % 10 > 2).alias("granted"),
+        F.when(k % 10 == 3, at).alias("revoked_at"), F.when(k % 10 == 4, at).alias("refresh_at"), at.alias("expires_at"), F.when(k % 10 < 8, "a1").otherwise("a2").alias("granted_attestation"),
+    )
+    as_of = F.lit("1998-01-01 12:00:00").cast(dict(t.orders.dtypes)["o_orderdate"])
+    return V.distribution_readiness(rows, as_of).select("o_orderkey", F.array_join("blockers", ",").alias("blockers"), "state")

@@ -6,6 +6,7 @@ import csv
 import html as entities
 import io
 import re
+from itertools import islice
 from urllib.parse import parse_qs, urlsplit
 
 import pandas as pd
@@ -18,6 +19,10 @@ from quillstone.session import ship
 # Elements that are never content, and entities.
 CHROME = "script style noscript template svg canvas iframe nav header footer aside form button select video audio".split()
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
+BLOCKS = "p div section article main ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre dl dt dd".split()
+# What a reader takes of a page, and of a published sheet.
+TEXT_CAP = 120_000
+SHEET_ROWS, SHEET_CELLS = 20_000, 400_000
 DELIMITERS = [",", "\t", ";", "|"]
 
 
@@ -68,13 +73,49 @@ def html_title(html: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Readable text: comments, chrome and tags off, entities decoded, white space squashed."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in CHROME:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    return F.trim(F.regexp_replace(_decoded(F.regexp_replace(without_chrome(html), r"<[^>]*>", " ")), r"\s+", " "))
+
+
+def without_chrome(html: Column) -> Column:
+    """A page without its comments and the elements that are never content."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), rf"(?is)<({'|'.join(CHROME)})\b[^>]*>.*?</\1>", " ")
+
+
+def _decoded(text: Column) -> Column:
     for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def html_lines(html: Column, most: int = TEXT_CAP) -> Column:
+    """Readable text whose lines are those of the page's blocks, each squashed, blank ones gone; ``most`` characters of it."""
+    broken = F.regexp_replace(F.regexp_replace(without_chrome(html), r"\s+", " "), rf"(?i)<br\b[^>]*>|</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
+    lines = F.transform(F.split(_decoded(F.regexp_replace(broken, "<[^>]*>", " ")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), 1, most)
+
+
+def resolved(address: Column, page: Column) -> Column:
+    """An address as it stands in a page, as an absolute one of the web; null for data, scripts, mail and places in the page."""
+    origin, scheme = F.regexp_extract(page, "(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(page, "(?i)^(https?):", 1)
+    folder = F.regexp_extract(F.regexp_replace(page, "[?#].*$", ""), "(?i)^(https?://[^/]+(?:/.*/|/|$))", 1)
+    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    at = F.trim(address)
+    return (
+        F.when((at == "") | at.startswith("#") | (origin == ""), None)
+        .when(at.rlike("(?i)^https?://"), at)
+        .when(at.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(at.startswith("//"), F.concat(scheme, F.lit(":"), at))
+        .when(at.startswith("/"), F.concat(origin, at))
+        .otherwise(F.concat(folder, F.regexp_replace(at, r"^(?:\./)+", "")))
+    )
+
+
+def html_images(pages: DataFrame, key: str, html: str, url: str, most: int = 60) -> DataFrame:
+    """key, place and image of the first ``most`` different images of each page, as absolute addresses; chrome has none."""
+    tags = F.regexp_extract_all(without_chrome(F.col(html)), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    source = lambda x: F.nullif(F.regexp_extract(x, r"""(?is)\s(?:data-)?src\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    images = F.array_distinct(F.filter(F.transform(tags, lambda x: resolved(source(x), F.col(url))), lambda x: x.isNotNull()))
+    return pages.select(key, F.posexplode(F.slice(images, 1, most)).alias("place", "image"))
 
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -83,9 +124,7 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     Comments and chrome count for nothing, rows without cells aren't rows, and a table of fewer than two rows is layout.
     A table ends at the first end tag, so the cells of a table within a table belong to the outer one.
     """
-    clean = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", " ")
-    for tag in CHROME:
-        clean = F.regexp_replace(clean, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    clean = without_chrome(F.col(html))
     taken = lambda text, pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     cells = lambda row: F.transform(taken(row, r"(?is)<(t[hd])\b[^>]*>(.*?)</\1>", 2), html_text)
     rows = lambda table: F.filter(F.transform(taken(table, r"(?is)<tr\b.*?</tr>"), cells), lambda r: F.size(r) > 0)
@@ -113,12 +152,13 @@ def sheet_cells(page: str | None) -> list[tuple[int, int, str | None, str | None
     """row, col, value and link of the first table of a published sheet; the gutters of row and column names are no cells.
 
     A cell that covers several columns has its value in the first of them, and one that covers several rows keeps its
-    columns in the rows below, so that columns are those of the sheet. Cells without value and link go.
+    columns in the rows below, so that columns are those of the sheet. Cells without value and link go. Rows beyond
+    SHEET_ROWS are not read; a sheet of more than SHEET_CELLS cells is refused as a whole, and has none.
     """
     table = re.search(r"(?s)<table.*?(?:</table>|$)", page or "")
     below: dict[int, int] = {}
-    out = []
-    for r, row in enumerate(re.findall(r"(?s)<tr[^>]*>(.*?)</tr>", table[0] if table else "")):
+    out, taken = [], 0
+    for r, row in enumerate(m[1] for m in islice(re.finditer(r"(?s)<tr[^>]*>(.*?)</tr>", table[0] if table else ""), SHEET_ROWS)):
         col, held = 0, dict(below)
         below = {c: n - 1 for c, n in held.items() if n > 1}
         for tag, attributes, body in re.findall(r"(?s)<(td|th)\b([^>]*)>(.*?)</\1>", row):
@@ -127,6 +167,9 @@ def sheet_cells(page: str | None) -> list[tuple[int, int, str | None, str | None
             while col in held:
                 col += 1
             columns, rows = _spans(attributes)
+            taken += columns
+            if taken > SHEET_CELLS:
+                return []
             value, link = " ".join(entities.unescape(re.sub("<[^>]*>", " ", body)).split()) or None, _link(body)
             if value or link:
                 out.append((r, col, value, link))

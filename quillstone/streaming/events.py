@@ -46,6 +46,34 @@ def apply_into(events: DataFrame, folder: str, checkpoint: str, keys: list[str],
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def apply_judged(events: DataFrame, connections: DataFrame, items: DataFrame, handled: list[str], vocabulary: list[str], folder: str, checkpoint: str) -> StreamingQuery:
+    """Judge micro-batches of inbound events and apply them in order: applied ones to versioned state, dead ones to a folder.
+
+    Each batch goes through ``queueing.outcomes``. What is applied becomes the item's status in state=n, as by
+    ``apply_into``, where the last event of an item wins; what is refused or out of attempts goes to dead=n with its
+    reason, and what is deferred to deferred=n, for its next attempt. A batch that runs again writes the same files.
+    """
+    from quillstone.operators import queueing
+    from quillstone.operators.merge import upsert_latest
+
+    shape = "item LONG, event_id LONG, status STRING"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        judged = queueing.outcomes(batch, connections, items, handled, vocabulary).persist()
+        try:
+            last = F.max_by(F.struct("event_id", "status"), "event_id").alias("b")
+            best = judged.where("outcome = 'applied'").groupBy("item").agg(last).select("item", "b.*")
+            held = spark.read.schema(shape).parquet(f"{folder}/state={number - 1}") if number else spark.createDataFrame([], shape)
+            upsert_latest(held, best, ["item"], "event_id").write.mode("overwrite").parquet(f"{folder}/state={number}")
+            queueing.dead_letters(judged).write.mode("overwrite").parquet(f"{folder}/dead={number}")
+            judged.where("outcome = 'deferred'").withColumn("attempts", F.col("attempts") + 1).write.mode("overwrite").parquet(f"{folder}/deferred={number}")
+        finally:
+            judged.unpersist()
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class WindowCounter(StatefulProcessor):
     """The rate limiter's window, anchored at a key's first event, as keyed state that ends with its time to live."""
 

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import coerce, headers, privacy
-from quillstone.queries import QUERIES
 from quillstone.sources import readers
 
 
@@ -72,25 +71,61 @@ def test_address(spark, line, fields):
 
 
 def test_privacy_paths():
-    assert privacy.paths_in({"item": {"pricing": {"margin": 0.2}}, "rows": [{"client_id": "c1"}]}) == ["item.pricing.margin", "rows[0].client_id"]
-    assert [p for k in ("clientEmail", "internalNote", "selectedByUserId") for p in privacy.paths_in({k: 1})] == ["clientEmail", "internalNote", "selectedByUserId"]
+    assert privacy.key_paths({"item": {"pricing": {"margin": 0.2}}, "rows": [{"client_id": "c1"}]}, privacy.is_forbidden, False) == ["item.pricing.margin", "rows[0].client_id"]
+    assert [p for k in ("clientEmail", "internalNote", "selectedByUserId") for p in privacy.key_paths({k: 1}, privacy.is_forbidden, False)] == ["clientEmail", "internalNote", "selectedByUserId"]
+
+
+CSV = "\ufeffStock list,,\n\nLot,Address,Price\n1,\"12 High St, Lara\",\"$749,000\"\n2,\"The \"\"Oaks\"\"\nRear\",POA\n,,\n"
 
 
 def test_delimited(spark):
-    rows = QUERIES["ingest_delimited"](spark, "").collect()
-    first = {(r.row, r.heading): r.cell for r in rows if r.file == 1}
+    files = spark.createDataFrame([(1, CSV), (2, "a;b\n1;2\n"), (3, "Lot\tSuburb\n7\tLara\n")], "file int, body string").withColumn("mark", readers.sniffed(F.col("body")))
+    grids = files.select("file", readers.cells(F.col("body"), F.col("mark")).alias("rows"))
+    first = {(r.row, r.heading): r.cell for r in readers.keyed_rows(grids, "file", "rows").collect() if r.file == 1}
     assert first == {(2, "Lot"): "1", (2, "Address"): "12 High St, Lara", (2, "Price"): "$749,000", (3, "Lot"): "2", (3, "Address"): 'The "Oaks"\nRear', (3, "Price"): "POA"}
-    assert {r.file: r.mark for r in QUERIES["sniff_delimiter"](spark, "").collect()} == {1: ",", 2: ";", 3: "\t"}
-    assert {r.file: r.header_row for r in QUERIES["header_row"](spark, "").collect()} == {1: 1, 3: 0}
+    assert {r.file: r.mark for r in files.collect()} == {1: ",", 2: ";", 3: "\t"}
+    assert {r.file: r.header_row for r in readers.header_rows(grids, "file", "rows").collect()} == {1: 1, 3: 0}
 
 
 def test_grids_and_maps(spark):
-    cells = {(r.row, r.col): (r.value, r.link) for r in QUERIES["json_grid"](spark, "").collect()}
+    one_body = lambda body: spark.createDataFrame([(1, body)], "file int, body string")
+    grid = '{"sheets":[{"properties":{"title":" Lots "},"data":[{"startRow":1,"startColumn":2,"rowData":[{"values":[{"formattedValue":"Lot"},{"formattedValue":"Plan","hyperlink":"https://example.org/p"}]},{"values":[{},{"formattedValue":"7"}]}]}]}]}'
+    cells = {(r.row, r.col): (r.value, r.link) for r in readers.grid_cells(one_body(grid), "file", "body").collect()}
     assert cells == {(1, 2): ("Lot", None), (1, 3): ("Plan", "https://example.org/p"), (2, 3): ("7", None)}
-    rows = {(r.row_id, r.column): r.value for r in QUERIES["recordmap_table"](spark, "").collect()}
+    record = '{"schema":{"a":{"name":"Lot"},"b":{"name":"Price"}},"view":["r2","r1","gone"],"blocks":{"r1":{"alive":true,"properties":{"a":"1","b":"$5","z":"?"}},"r2":{"alive":true,"properties":{"a":"2"}},"r3":{"alive":true,"properties":{"a":"3"}},"gone":{"alive":false,"properties":{"a":"4"}}}}'
+    rows = {(r.row_id, r.column): r.value for r in readers.record_table(one_body(record), "file", "body").collect()}
     assert rows == {("r1", "Lot"): "1", ("r1", "Price"): "$5", ("r2", "Lot"): "2"}
 
 
+def test_keys_at_any_depth(spark):
+    texts = ['{"a":[{"b":{"cost":1}}]}', '{"a":"\\"cost\\": 1"}', '{"a":"cost"}', '{"cost" : null}', None, '{"costs":1,"xcost":2}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+    assert {r.n: r.v for r in df.select("n", privacy.has_key(F.col("x"), "cost", "k").alias("v")).collect()} == {0: True, 1: False, 2: False, 3: True, 4: None, 5: False}
+
+
+@pytest.mark.parametrize(
+    "address,at,found",
+    [("a.png", "https://x.org", "https://x.org/a.png"), ("a.png", "https://x.org/d/e?q=/f", "https://x.org/d/a.png"), ("/a.png", "https://x.org/d/e", "https://x.org/a.png"), ("//y.org/a", "http://x.org/", "http://y.org/a"), ("HTTP://y.org/a", "http://x.org/", "HTTP://y.org/a")]
+    + [("data:image/png,1", "http://x.org/", None), ("#a", "http://x.org/", None), (" ", "http://x.org/", None), ("a", "no address", None)],
+)
+def test_resolved(spark, address, at, found):
+    assert spark.createDataFrame([(address, at)], "a string, p string").select(readers.resolved(F.col("a"), F.col("p")).alias("v")).first().v == found
+
+
+def test_lines_of_pages(spark):
+    page = "<body><h1>Lots  &amp;\nplans</h1><ul><li>One<b> two</b></li><li> </li></ul>tail<br/>end<nav>x</nav><script>p<p></script></body>"
+    assert one(spark, readers.html_lines, page) == "Lots & plans\nOne two\ntail\nend"
+    assert one(spark, lambda x: readers.html_lines(x, 6), page) == "Lots &"
+
+
+def test_sheet_caps(monkeypatch):
+    page = "<table>" + "<tr><td>a</td><td>b</td></tr>" * 5 + "</table>"
+    monkeypatch.setattr(readers, "SHEET_ROWS", 3)
+    assert len(readers.sheet_cells(page)) == 6
+    monkeypatch.setattr(readers, "SHEET_CELLS", 5)
+    assert readers.sheet_cells(page) == []
+
+
 def test_html(spark):
     page = "<html><head><title> A  b </title><script>x<p></script></head><body><nav>menu</nav><p>One &amp; two&nbsp;<b>three</b></p><!-- no --></body></html>"
     assert one(spark, readers.html_title, page) == "A b"

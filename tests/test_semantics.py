@@ -111,6 +111,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert state == {r.user_id: r.m for r in batch.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
 
 
+def test_judged_stream(spark, tmp_path):
+    """Micro-batches go through the same ladder as a batch: applied to state, dead with a reason, or put off."""
+    rows = [(n, n % 4, ("view", "odd")[n % 11 == 0], (None if n % 7 == 0 else n % 5), ("selected", "bad")[n % 13 == 0], n % 6, n % 8 == 0) for n in range(1, 200)]
+    shape = "event_id long, connection long, event_type string, item long, status string, attempts int, failed boolean"
+    batch = spark.createDataFrame(rows, shape)
+    batch.repartitionByRange(3, "event_id").write.parquet(str(tmp_path / "in"))
+    links = spark.createDataFrame([(0, "active", 1), (1, "active", 1), (2, "revoked", 1)], "connection long, state string, org int")
+    owned = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 1)], "item long, org int")
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "out")
+    events.apply_judged(stream, links, owned, ["view"], ["selected"], folder, str(tmp_path / "mark")).awaitTermination()
+    judged = queueing.outcomes(batch, links, owned, ["view"], ["selected"])
+    last = max((tmp_path / "out").glob("state=*"), key=lambda p: int(p.name.split("=")[1]))
+    state = {r.item: r.event_id for r in spark.read.parquet(str(last)).collect()}
+    assert state == {r.item: r.m for r in judged.where("outcome = 'applied'").groupBy("item").agg(F.max("event_id").alias("m")).collect()} and state
+    dead = {r.event_id: (r.reason, r.exhausted) for r in spark.read.parquet(f"{folder}/dead=*").collect()}
+    assert dead == {r.event_id: (r.reason, r.exhausted) for r in queueing.dead_letters(judged).collect()} and {x for _, x in dead.values()} == {True, False}
+    assert spark.read.parquet(f"{folder}/deferred=*").count() == judged.where("outcome = 'deferred'").count() > 0
+
+
 def test_stateful_window_equals_fold(spark, tmp_path):
     batch = spark.read.parquet(f"{DATA}/events.parquet").where("user_id < 6")
     folder = str(tmp_path / "in")
