@@ -104,26 +104,31 @@ def successors(keyed: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sigs, edited, edited_sigs and next_sigs: each text, and with its last quarter from the next document.
+    """doc_id, text, sigs, edited, edited_sigs, next_doc and next_sigs: each text, and with its last quarter from the next document.
 
     Of n code points the last floor(n / 4) are replaced by the first as many (or all) of the next document by doc_id,
     for the last one of the first. Null texts read as empty; a null doc_id comes first; rows that share a doc_id are
     ordered by a hash of the text, and repeated rows come out alike.
+
+    Each text is signed once and dealt out once, by a hash of its id beside one of itself; what goes on to the document
+    before it is its head and its signatures.
     """
     keyed = _keyed(docs)
-    links = successors(keyed).withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
-    ahead = keyed.join(links, _same("doc_id", "next_doc") & _same("twin", "next_twin"))
+    links = successors(keyed).select(
+        F.xxhash64("next_doc", "next_twin").alias("own"), F.col("next_twin").alias("twin"), F.xxhash64("doc_id", "twin").alias("before"), F.col("twin").alias("twin_before"), (F.floor(F.col("n_chars") / 4)).cast("int").alias("n_head")
+    )
+    dealt = keyed.select(F.xxhash64("doc_id", "twin").alias("own"), "twin", "doc_id", "text", signatures(F.col("text")).alias("sigs")).repartition("own", "twin")
+    head = F.substring(F.col("text"), F.lit(1), F.col("n_head"))
     # Repeated rows of the next document bring the same head; one of them is enough.
-    heads = ahead.select("_doc", "_twin", F.substring(F.col("text"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")).alias("head"), signatures(F.col("text")).alias("next_sigs")).dropDuplicates(["_doc", "_twin"])
-    joined = keyed.join(heads, _same("doc_id", "_doc") & _same("twin", "_twin"))
+    heads = dealt.join(links, ["own", "twin"]).select("before", "twin_before", head.alias("head"), F.col("doc_id").alias("next_doc"), F.col("sigs").alias("next_sigs")).dropDuplicates(["before", "twin_before"])
+    joined = dealt.join(heads.withColumnsRenamed({"before": "own", "twin_before": "twin"}), ["own", "twin"])
     n = F.length("text")
     changed = F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head"))
-    whole = joined.select("doc_id", "text", changed.alias("edited"), "next_sigs")
-    return whole.select("doc_id", "text", "edited", "next_sigs", signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"))
+    return joined.select("doc_id", "text", changed.alias("edited"), "sigs", "next_doc", "next_sigs").select("*", signatures(F.col("edited")).alias("edited_sigs"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every row's text and edited text, and their likeness: to each other, and to the next document's."""
+    """Fingerprints of every row's text and edited text, and their likeness: to each other, and to the next document's, next_doc."""
     e = edited(docs)
     return e.select(
         "doc_id",
@@ -133,6 +138,7 @@ def report(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        "next_doc",
     )
 
 
