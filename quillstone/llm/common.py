@@ -41,11 +41,19 @@ def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     del df
     back = spark.read.schema(schema).parquet(path)
+    back.cut_path = path
     if tidy:
         release(spark)
     return back
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that nothing will read again; what was cut from them since stands by itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null read as empty), whatever other columns there are."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

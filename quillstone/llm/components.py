@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, drop
 
 
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
@@ -25,16 +25,23 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         while True:
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = cut(parents.join(above, "root").select("node", F.col("root").alias("was"), F.col("next").alias("root")), f"{name}-parents")
+            drop(parents)
+            moved = jumped.where(F.col("was") != F.col("root")).limit(1).count()
             parents = jumped.select("node", "root")
-            if not jumped.where(F.col("was") != F.col("root")).limit(1).count():
+            parents.cut_path = jumped.cut_path
+            if not moved:
                 break
+        last = found
         if found is None:
             found = parents
         else:
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("next"))
             found = cut(found.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{name}-found")
+            drop(last)
         of = lambda end: parents.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         across = left.join(of("a"), "a").join(of("b"), "b").where(F.col("root_a") != F.col("root_b"))
-        left = cut(across.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), f"{name}-edges")
+        rest = cut(across.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), f"{name}-edges")
+        drop(left)
+        left = rest
         if not left.limit(1).count():
             return found

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import textkit as K
-from quillstone.llm.common import cut, release
+from quillstone.llm.common import cut, drop, release
 from quillstone.session import ship
 
 WINDOW = 20
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         named = right.withColumnRenamed("doc_id", "_doc").withColumnRenamed("twin", "_twin")
         return left.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin")), how).drop("_doc", "_twin")
 
-    same = cut(base.select("doc_id", "twin", F.xxhash64("text").alias("same"), F.length("text").alias("size")), "repeats-sizes")
+    same = cut(base.select("doc_id", "twin", F.xxhash64("text").alias("same"), F.length("text").alias("size")), "repeats-sizes", tidy=True)
     firsts = cut(same.groupBy("same", "twin", "size").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-firsts-of")
     copies = same.join(firsts.drop("n"), ["same", "twin", "size"]).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "twin").distinct()
     copies = cut(copies, "repeats-copies")
@@ -196,13 +196,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     picked = cut(dealt.select("shard", "text").mapInArrow(_anchor_batches, "high long, low long, shard int, n long"), "repeats-anchors", tidy=True)
     recurring = picked.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
-    confirmed = picked.drop("n").join(recurring, ["high", "low"], "left_semi")
+    confirmed = cut(picked.drop("n").join(recurring, ["high", "low"], "left_semi"), "repeats-confirmed", tidy=True)
+    drop(picked, same, firsts)
     streamed = confirmed.unionByName(dealt, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("text").isNotNull())
     windows = cut(streamed.mapInArrow(_window_batches, f"doc_id {kind}, twin int, starts array<int>, wide array<long>, more array<long>"), "repeats-windows", tidy=True)
+    drop(confirmed)
 
     each = windows.select("doc_id", "twin", F.explode(F.arrays_zip("wide", "more", "starts")).alias("w")).select("w.wide", "w.more", "doc_id", "twin", F.col("w.starts").alias("start"))
     first = each.groupBy("wide", "more").agg(F.min(F.struct("doc_id", "twin", "start")).alias("f")).select("f.*")
-    kept = cut(first.groupBy("doc_id", "twin").agg(F.collect_list("start").alias("firsts")), "repeats-firsts")
+    kept = cut(first.groupBy("doc_id", "twin").agg(F.collect_list("start").alias("firsts")), "repeats-firsts", tidy=True)
     gone = on(windows.select("doc_id", "twin", "starts"), kept, "left").select(
         "doc_id", "twin", F.when(F.col("firsts").isNull(), F.col("starts")).otherwise(F.array_except("starts", "firsts")).alias("gone"), F.lit(False).alias("whole")
     )
