@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +17,26 @@ from quillstone.session import ship
 
 
 def fold(events: DataFrame, key: str, at: str, tie: str, start: Callable, step: Callable, outputs: str) -> DataFrame:
-    """key, tie and the fields of ``outputs`` for each event: step(state, row) -> (state, values), in order of at and tie."""
+    """key, tie and the fields of ``outputs`` for each event: step(state, rows) -> (state, arrays) over runs of a key's rows,
+    in order of at and tie. A run is what a batch holds of one key."""
     ship(events.sparkSession)
     names = [f.split()[0] for f in outputs.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                if current is None or getattr(row, key) != current:
-                    current, state = getattr(row, key), start()
-                state, values = step(state, row)
-                rows.append((current, getattr(row, tie), *values))
-            yield pd.DataFrame(rows, columns=[key, tie, *names])
+            keys = batch[key].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            parts = []
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if current is None or keys[a] != current:
+                    current, state = keys[a], start()
+                state, arrays = step(state, batch.iloc[a:z])
+                parts.append(arrays)
+            columns = [np.concatenate(x) for x in zip(*parts)] if parts else [[] for _ in names]
+            yield pd.DataFrame({key: batch[key], tie: batch[tie], **dict(zip(names, columns))})
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     dealt = events.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, at, tie)
@@ -41,13 +48,25 @@ def rate_limit(most: int, window: float, restart_at_end: bool = True) -> tuple[C
 
     restart_at_end: an event exactly at the end begins a new window.
     """
+    over = (lambda gap: gap >= window) if restart_at_end else (lambda gap: gap > window)
 
-    def step(state, row):
+    def step(state, rows):
+        at = rows["at"].to_numpy(float)
         began, count = state
-        over = began is None or (row.at - began >= window if restart_at_end else row.at - began > window)
-        began, count = (row.at, 1) if over else (began, count + 1)
-        retry = max(0, -int(-(began + window - row.at) // 1))
-        return (began, count), (count <= most, count, max(most - count, 0), retry)
+        first, counts, i = np.zeros(len(at)), np.zeros(len(at), np.int64), 0
+        while i < len(at):
+            if began is None or over(at[i] - began):
+                began, count = at[i], 0
+            # All events of the window at once; the bound is settled by the same difference that decides.
+            j = max(i + 1, int(np.searchsorted(at, began + window)))
+            while j < len(at) and not over(at[j] - began):
+                j += 1
+            while j > i + 1 and over(at[j - 1] - began):
+                j -= 1
+            first[i:j], counts[i:j] = began, count + np.arange(1, j - i + 1)
+            count, i = count + j - i, j
+        retry = np.maximum(0, np.ceil(first + window - at)).astype(np.int64)
+        return (began, count), (counts <= most, counts, np.maximum(most - counts, 0), retry)
 
     return (lambda: (None, 0)), step, "allowed boolean, count long, remaining long, retry_after long"
 
@@ -55,14 +74,20 @@ def rate_limit(most: int, window: float, restart_at_end: bool = True) -> tuple[C
 def circuit_breaker(threshold: int, open_for: float) -> tuple[Callable, Callable, str]:
     """So many failures open the circuit for a time and begin the count anew; a success clears all."""
 
-    def step(state, row):
-        failures, until = state
-        was_open = until is not None and until > row.at
-        if row.ok:
-            return (0, None), (was_open, 0, False)
-        failures += 1
-        if failures >= threshold:
-            return (0, row.at + open_for), (was_open, 0, True)
-        return (failures, until), (was_open, failures, False)
+    def step(state, rows):
+        at, ok = rows["at"].to_numpy(float), rows["ok"].to_numpy(bool)
+        held, until = state
+        place = np.arange(len(at))
+        cleared = np.maximum.accumulate(np.where(ok, place, -1))
+        failures = np.cumsum(~ok)
+        # Failures since the last success; those carried in count until the first one.
+        since = failures - np.where(cleared >= 0, failures[cleared], -held)
+        tripped = ~ok & (since % threshold == 0)
+        tripping = np.maximum.accumulate(np.where(tripped, place, -1))
+        before = lambda x: np.concatenate([[-1], x[:-1]])
+        last = before(tripping)
+        ends = np.where(last > before(cleared), at[last] + open_for, np.where(before(cleared) >= 0, -np.inf, -np.inf if until is None else until))
+        left = (0, None) if ok[-1] else (int(since[-1] % threshold), at[tripping[-1]] + open_for if tripping[-1] > cleared[-1] else until if cleared[-1] < 0 else None)
+        return left, (ends > at, np.where(ok, 0, since % threshold), tripped)
 
     return (lambda: (0, None)), step, "is_open boolean, failures long, tripped boolean"
