@@ -13,10 +13,12 @@ _own: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one of a local session's machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='quillstone-work-')}")
     return _own[0]

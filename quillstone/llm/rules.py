@@ -19,6 +19,8 @@ REPEAT = 5
 FIT_ROWS = 20_000
 #: Thresholds tried for each statistic: that many quantiles of the labelled rows.
 CUTS = 48
+#: The longest list, and the most thresholds of a rule.
+RULES, TERMS = 16, 4
 FEATURES = "n_words mean_word symbol_share dup_line_share repeat_share upper_share distinct_share digit_share".split()
 
 
@@ -98,8 +100,8 @@ class Rule:
         return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], most: int = 4) -> Rule:
-    """Add the threshold of highest information gain until no good document is covered."""
+def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], most: int = TERMS) -> Rule:
+    """Add the threshold of highest information gain until no good document is covered, ``most`` of them at most."""
     rule, inside = Rule(()), np.ones(len(x), bool)
     while len(rule.terms) < most and (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
@@ -129,12 +131,12 @@ def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
 def cover(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, least: float = 0.8) -> list[Rule]:
     """Ordered rules for the bad rows: grow on two thirds, prune on ``prune``, remove what is covered, repeat.
 
-    The list ends when a rule's precision on all rows left falls under ``least``. Without bad or good rows it is empty.
+    The list ends when a rule's precision on all rows left falls under ``least``, or with RULES of them. Without bad or good rows it is empty.
     """
     rules: list[Rule] = []
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 2)[1:-1])) for j in range(x.shape[1])] if len(x) else []
     left = np.ones(len(x), bool)
-    while (left & bad & ~prune).any() and (left & ~bad).any() and len(rules) < 16:
+    while (left & bad & ~prune).any() and (left & ~bad).any() and len(rules) < RULES:
         rule = _grow(x[left & ~prune], bad[left & ~prune], cuts)
         held = left & prune
         while len(rule.terms) > 1:

@@ -1,6 +1,7 @@
 """Plain Python versions of what the queries return, over a list of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -135,3 +136,98 @@ def op8(docs):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def murmur(words, seed=42):
+    """Spark's hash of several strings: Murmur3 of each, seeded with the one before."""
+    mask, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    for word in words:
+        data = word.encode()
+        whole = len(data) // 4 * 4
+        blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [b - 256 if b > 127 else b for b in data[whole:]]
+        for k in blocks:
+            k = turn((k & mask) * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+            h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & mask
+        h ^= len(data)
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+    return h
+
+
+def signatures(text, anchors, chain=2, reach=8):
+    """The set of signatures of a text, as unsigned numbers."""
+    w = LETTERED.findall((text or "").lower())
+    n, stop = len(w), set(anchors)
+    places, out = [i for i, x in enumerate(w) if x in stop], set()
+    triples = lambda a, z: {murmur(w[i : i + 3]) for i in range(a, z - 2)}
+    for i in places:
+        content = [x for x in w[i + 1 : i + 1 + reach] if x not in stop][:chain]
+        if len(content) == chain:
+            out.add(murmur([w[i], *content]))
+        elif i + 3 <= n:
+            out.add(murmur(w[i : i + 3]))
+    for begin, end in zip([0, *(i + reach + 1 for i in places)], [*places, n]):
+        out |= triples(begin, end)
+    if not out:
+        out = triples(0, n) if n >= 3 else {murmur(w)} if n else set()
+    return out
+
+
+def secret_features(value, before, after, path, keywords, dictionary):
+    """The numbers by which a candidate is judged."""
+    n = max(len(value), 1)
+    gone = lambda pattern, text: (len(text) - len(re.sub(pattern, "", text))) / n
+    shape = re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", value)))
+    harmless = r"(?i)(?:sha-?\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|example|placeholder|sample|isbn|version|integrity)"
+    digits = gone("[0-9]", value)
+    flags = [
+        re.search("^[0-9a-f]+$", value) or re.search("^[0-9A-F]+$", value),
+        re.search("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", value),
+        re.search(r"^[A-Za-z0-9._-]*/[A-Za-z0-9._/-]*[a-z]{3,}", value) and digits < 0.2,
+        re.search(rf"(?i)(?:{keywords}|bearer|authorization)", before),
+        re.search(harmless, before) or re.search(harmless, after),
+        re.search(r"(?i)(?:test|spec|fixture|mock|example|sample|docs?)", path),
+    ]
+    return [len(value), (len(shape) - 1) / n, gone("|".join(dictionary), value.lower()), digits, gone("[A-Z]", value), len(set(value)) / n, *(float(bool(f)) for f in flags)]
+
+
+def candidates(text, candidate, assigned, near=48):
+    """(start, end, value, before, after) of the places that look like a secret."""
+    found, last, name = [], 0, ""
+    matches = list(re.finditer(candidate, text))
+    for k, m in enumerate(matches):
+        inner = re.fullmatch(assigned, m[0])
+        value = inner[1] if inner else m[0]
+        gap = text[last : m.start()]
+        lead = name if k and gap == "=" else ""
+        after = text[m.end() : matches[k + 1].start() if k + 1 < len(matches) else len(text)][:near]
+        found.append((m.end() - len(value), m.end(), value, lead + gap[-near:] + m[0][: len(m[0]) - len(value)], after))
+        last, name = m.end(), m[0]
+    return found
+
+
+def gam_features(text):
+    """The twelve statistics of a text that the quality model reads, by name."""
+    w, lines, n = words(text), [x for x in (text or "").split("\n") if x], len((text or "").encode())
+    data = (text or "").encode()
+    body = sum(len(x.encode()) for x in w)
+    held = lambda chars: sum(b in chars for b in data)
+    share = lambda a, b: a / max(b, 1)
+    again = lambda xs: len(xs) - len(set(xs))
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in data)
+    values = [
+        math.log1p(len(w)), share(body, len(w)), share(held(b"#*$%&<>~^=_\\@{}[]"), body), share(sum(65 <= b <= 90 for b in data), letters), share(held(b"0123456789"), body),
+        share(held(b".,;:'\"()-"), len(w)), share(len(set(w)), len(w)), share(again([tuple(w[i : i + 3]) for i in range(len(w) - 2)]), len(w)), share(again(lines), len(lines)),
+        share(sum(len(x.encode()) > 14 for x in w), len(w)), share(held(b"|"), len(w)), share(held(b"!?"), len(w)),
+    ]
+    return values if n else [0.0] * 12
+
+
+def gam_score(x, model):
+    """One lookup after another."""
+    at = lambda cuts, v: sum(c <= v for c in cuts)
+    total = model.intercept + sum(t[at(c, v)] for c, t, v in zip(model.cuts, model.tables, x))
+    total += sum(t[at(model.pair_cuts[i], x[i]), at(model.pair_cuts[j], x[j])] for i, j, t in model.pairs)
+    return 1 / (1 + math.exp(-min(max(total, -30), 30)))

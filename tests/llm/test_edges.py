@@ -1,16 +1,21 @@
 """Nulls in every column, empty tables, repeated rows, ties, long texts, and extra columns with clashing names."""
 
+import hashlib
+import math
+
+import brute
 import corpus_pipeline as pipeline
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillstone.llm import components, gam, licenses, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs
+from quillstone.llm.common import cut
 
 #: Names that the operators use inside.
 CLASHES = (
     "n_words kept whole gone twin starts wide more anchor place first found n words lines rule base_failed bad prune print least root component_id "
-    "fingerprint sigs edited next_sigs range ahead row rate copy mix_key copies label score value before after spans base terms entity term all held "
+    "fingerprint sigs edited next_sigs next_doc own before n_head range ahead row rate copy mix_key copies label score value before after spans base terms entity term all held "
     "start high low shard same size length offset sequence_id blocks met containment _pieces _matches _found _row _text _doc _twin"
 ).split()
 LABELS = "doc_id long, quality int"
@@ -93,6 +98,51 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert tokens.agg(F.max("n")).first()[0] <= 2048
 
 
+def test_pipeline_by_brute_force(spark):
+    """Every stage recomputed from what the one before kept: who stays, what each text becomes, how many copies there are."""
+    from pyspark.ml.linalg import Vectors
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = gam.learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    good = {d: r.text for d, r in rows.items() if brute.gam_score(brute.gam_features(r.text), model) >= 0.5}
+    groups = brute.grouped({d: brute.fingerprint(t) for d, t in good.items()})
+    one = {d: t for d, t in good.items() if groups[d] == d}
+    assert len(one) < len(good) < len(rows)
+
+    forest = secrets.train(secrets.labelled_findings(spark))
+    clean = {}
+    for d, text in one.items():
+        out, last = "", 0
+        for a, z, value, before, after in brute.candidates(text or "", secrets.CANDIDATE, secrets.ASSIGNED):
+            x = Vectors.dense(brute.secret_features(value, before, after, rows[d].source or "", secrets.KEYWORDS, secrets.DICTIONARY))
+            if value.startswith("-----BEGIN") or sum(t.predict(x) for t in forest.trees) >= len(forest.trees) / 2:
+                out, last = out + (text or "")[last:a] + secrets.REPLACEMENT, z
+        clean[d] = out + (text or "")[last:]
+
+    kept = docs
+    for (_, stage), wanted in zip(pipeline.STAGES[:3], (good, one, clean)):
+        kept = cut(stage(spark, kept, DATA), "test-stage")
+        assert {r.doc_id: r.text or "" for r in kept.collect()} == {d: t or "" for d, t in wanted.items()}
+
+    mass = {}
+    for d, t in clean.items():
+        mass[rows[d].source] = mass.get(rows[d].source, 0) + len(t)
+    copies = {}
+    for d in clean:
+        rate = sum(mass.values()) / sum(m > 0 for m in mass.values()) / mass[rows[d].source]
+        u = int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, math.exp(-rate)
+        below = p
+        while u >= below:
+            k += 1
+            p *= rate / k
+            below += p
+        copies[d] = k
+    tokens = {r.doc_id: (r.n, r.d) for r in pipeline.run(spark, DATA).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()}
+    assert {d: n // t for d, (n, t) in tokens.items()} == {d: k for d, k in copies.items() if k} and all(n % t == 0 for n, t in tokens.values())
+
+
 def test_components(spark):
     """A long chain, a star, a dense group, loops, nulls and repeated edges."""
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(a, b) for a in range(20) for b in range(20)] + [(None, 3), (700, 700), (900, 800), (800, 900)]
