@@ -77,6 +77,55 @@ def visible_activity(activity: DataFrame, allowed_types: DataFrame, parents: Dat
     return activity.join(allowed_types.select("entity_type"), "entity_type", "left_semi").join(parents.select("entity_id"), "entity_id", "left_semi")
 
 
+# The entity types whose activity can be seen, each with what governs it and the permission asked there.
+GOVERNED = {
+    "project": ("project", "projects"),
+    "project_party": ("project", "projects"),
+    "stage": ("project", "inventory"),
+    "building": ("project", "inventory"),
+    "lot": ("project", "inventory"),
+    "unit": ("unit", "inventory"),
+    "unit_price": ("unit", "pricing"),
+    "unit_hold": ("unit", "inventory"),
+    "reservation": ("unit", "reservations"),
+    "allocation": ("unit", "inventory"),
+    "transaction": ("transaction", "transactions"),
+    "transaction_party": ("transaction", "transactions"),
+    "construction_case": ("construction_case", "construction"),
+    "construction_stage": ("construction_case", "construction"),
+    "milestone": ("construction_case", "construction"),
+    "progress_update": ("construction_case", "construction"),
+    "photograph": ("construction_case", "construction"),
+    "variation": ("construction_case", "construction"),
+    "variation_approval": ("construction_case", "construction"),
+    "progress_claim": ("construction_case", "construction"),
+    "inspection": ("construction_case", "construction"),
+    "defect": ("construction_case", "construction"),
+    "practical_completion": ("construction_case", "construction"),
+    "handover": ("construction_case", "construction"),
+    "warranty_claim": ("construction_case", "construction"),
+    "document": ("document", "documents"),
+    "document_version": ("document", "documents"),
+    "conversation": ("conversation", "messages"),
+    "message": ("conversation", "messages"),
+    "task": ("task", "tasks"),
+    "task_assignment": ("task", "tasks"),
+}
+
+
+def governed_activity(activity: DataFrame, parents: DataFrame, reach: DataFrame) -> DataFrame:
+    """Activity (entity_type, entity_id) of the entities whose governing record the caller reaches under its permission.
+
+    parents: entity_type, entity_id and parent_id of entities that something else governs; without a parent they are
+    seen by nobody, as are types that GOVERNED leaves out. reach: scope_type, permission and scope_id.
+    """
+    kinds = activity.sparkSession.createDataFrame([(k, *v) for k, v in GOVERNED.items()], "entity_type string, scope_type string, permission string")
+    known = activity.join(F.broadcast(kinds), "entity_type")
+    own = known.where("entity_type = scope_type").withColumn("scope_id", F.col("entity_id"))
+    below = known.where("entity_type <> scope_type").join(parents.select("entity_type", "entity_id", F.col("parent_id").alias("scope_id")), ["entity_type", "entity_id"])
+    return own.unionByName(below).join(reach, ["scope_type", "permission", "scope_id"], "left_semi").select(activity.columns)
+
+
 def narrowed(resolved: DataFrame, decisions: DataFrame, scopes: Mapping[str, str]) -> DataFrame:
     """resolved (membership_id, permission, level, allowed and the scopes' ids) with what narrower scopes deny taken away.
 

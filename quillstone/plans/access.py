@@ -101,6 +101,28 @@ def visible_activity(t: Tables) -> DataFrame:
     return seen.orderBy(F.col("ts").desc_nulls_last(), "event_id").limit(100).select("event_id", F.col("entity_type").alias("event_type"), F.col("entity_id").alias("user_id"))
 
 
+_TYPES = [*A.GOVERNED, "organisation", "membership"]
+_KINDS = ", ".join(f"({k}, '{t}', '{A.GOVERNED[t][0]}', '{A.GOVERNED[t][1]}')" if t in A.GOVERNED else f"({k}, '{t}', NULL, NULL)" for k, t in enumerate(_TYPES))
+_REACHED = sorted(set(A.GOVERNED.values()))
+
+
+@query(
+    f"WITH k(n, entity_type, scope_type, permission) AS (VALUES {_KINDS}), reach AS (SELECT scope_type, permission, c_custkey AS scope_id FROM customer, (VALUES "
+    + ", ".join(f"({i}, '{s}', '{p}')" for i, (s, p) in enumerate(_REACHED))
+    + ") r(i, scope_type, permission) WHERE (c_custkey + i) % 3 = 0) "
+    f"SELECT event_id, entity_type FROM (SELECT event_id, k.*, CASE WHEN entity_type = scope_type THEN user_id WHEN user_id % 11 > 0 AND c_custkey IS NOT NULL THEN user_id * 7 % 1000 END AS scope_id FROM events JOIN k ON k.n = event_id % {len(_TYPES)} LEFT JOIN customer ON c_custkey = user_id) e "
+    "WHERE EXISTS (SELECT 1 FROM reach r WHERE r.scope_type = e.scope_type AND r.permission = e.permission AND r.scope_id = e.scope_id)"
+)
+def governed_activity(t: Tables) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("event_id") % len(_TYPES) + 1).cast("int"))
+    activity = t.events.select("event_id", kind.alias("entity_type"), F.col("user_id").alias("entity_id"))
+    below = F.array(*[F.lit(x) for x, (scope, _) in A.GOVERNED.items() if x != scope])
+    parents = t.customer.where("c_custkey % 11 > 0").select(F.explode(below).alias("entity_type"), F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 7 % 1000).alias("parent_id"))
+    reached = F.array(*(F.struct(F.lit(s).alias("scope_type"), F.lit(p).alias("permission"), F.lit(i).alias("i")) for i, (s, p) in enumerate(_REACHED)))
+    reach = t.customer.select(F.col("c_custkey").alias("scope_id"), F.inline(reached)).where((F.col("scope_id") + F.col("i")) % 3 == 0).drop("i")
+    return A.governed_activity(activity, parents, reach).select("event_id", "entity_type")
+
+
 _SCOPED = "(SELECT c_custkey * 10 AS membership_id, CASE c_custkey % 3 WHEN 0 THEN 'stage' WHEN 1 THEN 'unit' ELSE 'elsewhere' END AS scope_type, c_custkey % 5 AS scope_id, CASE WHEN c_custkey % 2 = 0 THEN 'deny' ELSE 'allow' END AS decision FROM customer)"
 
 
