@@ -122,9 +122,36 @@ def address_line(given: Column, unit: Column, lot: Column, place: Column) -> Col
     return F.when(blank_to_null(given).isNull() & blank_to_null(place).isNotNull(), F.concat_ws(" ", number, blank_to_null(place)))
 
 
-def precision(a: Column) -> Column:
-    """How exactly the parts of an address (lot, unit, number, name, suburb, state) place it: street, lot, suburb, state or none."""
-    held = lambda *names: F.coalesce(*(a[n] for n in names)).isNotNull()
-    return (
-        F.when(held("number") & held("name"), "street").when(held("lot", "unit"), "lot").when(held("suburb", "postcode"), "suburb").when(held("state"), "state").otherwise("none")
+
+def _names_street(line: Column, parts: Sequence[Column]) -> Column:
+    """Whether a line's first segment says more than its locality does."""
+    head = F.split(line, ",")[0]
+    for part in parts:
+        pattern = F.concat(F.lit(r"(?i)\b"), F.regexp_replace(part, r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(r"\b"))
+        head = F.coalesce(F.regexp_replace(head, pattern, F.lit(" ")), head)
+    return F.coalesce(F.regexp_replace(head, r"(?iU)\b(?:australia|nsw|vic|qld|wa|sa|tas|act|nt|\d{4})\b|[^\p{L}\p{N}]+", "") != "", F.lit(False))
+
+
+def composed_address(a: Column, given: Column, formatted: Column) -> Column:
+    """struct(street, line, precision) of a record with parts unit, number, name, type, suburb, state and postcode.
+
+    The street is made of the parts; a unit counts only before a number. Without a street name it is the record's own
+    line, else a geocoder's, where that names more than the locality. precision is address where the parts or the own line
+    give a street number, else street, locality or none: what a geocoder says is no evidence of a number.
+    """
+    own, other = blank_to_null(given), blank_to_null(formatted)
+    number = F.when(a["unit"].isNotNull() & a["number"].isNotNull(), F.concat(a["unit"], F.lit("/"), a["number"])).otherwise(a["number"])
+    made = F.when(a["name"].isNotNull(), F.concat_ws(" ", number, a["name"], a["type"]))
+    locality = F.nullif(F.concat_ws(" ", a["suburb"], a["state"], a["postcode"]), F.lit(""))
+    places = [a["suburb"], a["state"], a["postcode"]]
+    mine = made.isNull() & _names_street(own, places)
+    street = F.when(made.isNotNull(), made).when(mine, own).when(_names_street(other, places), other)
+    numbered = (made.isNotNull() & a["number"].isNotNull()) | (mine & own.rlike(r"(?i)^\d+[a-z]?(?:\s*[-/]\s*\d+[a-z]?)?\s+\S"))
+    return let(
+        F.struct(street.alias("street"), locality.alias("locality"), numbered.alias("numbered"), a["suburb"].alias("suburb")),
+        lambda x: F.struct(
+            x["street"].alias("street"),
+            F.nullif(F.concat_ws(", ", x["street"], x["locality"]), F.lit("")).alias("line"),
+            F.when(x["numbered"], "address").when(x["street"].isNotNull(), "street").when(x["suburb"].isNotNull(), "locality").otherwise("none").alias("precision"),
+        ),
     )

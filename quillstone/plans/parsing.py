@@ -93,13 +93,24 @@ _PARTS = {
     "estate": ["NULL", "NULL", "'Coridale Estate'", "NULL", "NULL", "NULL", "NULL"],
     "design": ["NULL", "NULL", "'Aura 19'", "NULL", "NULL", "NULL", "NULL"],
 }
-_PRECISION = ["'street'", "'lot'", "'lot'", "'street'", "'lot'", "'suburb'", "'lot'"]
+_PRECISION = ["'address'", "'street'", "'street'", "'address'", "'street'", "'locality'", "'street'"]
+_COMPOSED = [
+    f"{_M} || ' Satinwood Crescent, Donnybrook VIC 3064'",
+    "'Basalt Street, Beveridge VIC 3753'",
+    f"'Lot ' || {_N} || ' - Coridale Estate, Lara 3212 VIC [178 m2] Aura 19, Lara VIC 3212'",
+    f"{_N} || '/' || {_M} || ' Rose Street, Yamanto QLD 4305'",
+    "'Slide Place, Lara'",
+    "'Armstrong Creek VIC'",
+    "'Avenue Road, NSW'",
+]
 
 
-@query("SELECT c_custkey, " + ", ".join(f"{_pick('c_custkey', x)} AS {n}" for n, x in _PARTS.items()) + f", {_pick('c_custkey', _PRECISION)} AS \"precision\" FROM customer")
+@query("SELECT c_custkey, " + ", ".join(f"{_pick('c_custkey', x)} AS {n}" for n, x in _PARTS.items()) + f", {_pick('c_custkey', _COMPOSED)} AS line, {_pick('c_custkey', _PRECISION)} AS \"precision\" FROM customer")
 def parse_addresses(t: Tables) -> DataFrame:
-    a = t.customer.select("c_custkey", coerce.address(F.expr(_pick("c_custkey", _ADDRESSES))).alias("a"))
-    return a.select("c_custkey", *[F.col(f"a.{n}").alias(n) for n in _PARTS], L.precision(F.col("a")).alias("precision"))
+    cells = t.customer.select("c_custkey", F.expr(_pick("c_custkey", _ADDRESSES)).alias("cell"))
+    a = cells.select("c_custkey", "cell", coerce.address(F.col("cell")).alias("a"))
+    composed = a.select("c_custkey", "a", L.composed_address(F.col("a"), F.col("cell"), F.lit("Australia")).alias("c"))
+    return composed.select("c_custkey", *[F.col(f"a.{n}").alias(n) for n in _PARTS], "c.line", "c.precision")
 
 
 @query(

@@ -122,3 +122,21 @@ def test_grants_after_commands(spark):
     new, outcomes = access.scope_commands(connections, grants, commands, spark.createDataFrame([("a",), ("b",)], "scope string"))
     assert {r.command: r.outcome for r in outcomes.collect()} == {1: "SUPERSEDED", 2: "REVOKED", 3: "CONNECTION_NOT_ACTIVE", 4: "SUPERSEDED", 5: "GRANTED"}
     assert sorted(tuple(r) for r in new.collect()) == [(1, "b"), (2, "a")]
+
+
+@pytest.mark.parametrize(
+    "parts,given,formatted,line,precision",
+    [
+        (("23", "15", "Smith", "Street", "Lara", "VIC", "3212"), None, None, "23/15 Smith Street, Lara VIC 3212", "address"),
+        (("23", None, "Smith", "Street", None, None, None), None, None, "Smith Street", "street"),
+        ((None, None, None, None, "Lara", "VIC", "3212"), "30 Callistemon Approach, Lara", None, "30 Callistemon Approach, Lara, Lara VIC 3212", "address"),
+        ((None, None, None, None, "Lara", "VIC", "3212"), "Lara VIC 3212 Australia", "12 High St, Lara", "12 High St, Lara, Lara VIC 3212", "street"),
+        ((None, None, None, None, "Lara", None, None), " ", None, "Lara", "locality"),
+        ((None,) * 7, None, None, None, "none"),
+    ],
+)
+def test_composed_address(spark, parts, given, formatted, line, precision):
+    a = "struct<unit:string,number:string,name:string,type:string,suburb:string,state:string,postcode:string>"
+    df = spark.createDataFrame([(parts, given, formatted)], f"a {a}, g string, f string")
+    found = df.select(T.composed_address(F.col("a"), F.col("g"), F.col("f")).alias("c")).first().c
+    assert (found.precision, found.line) == (precision, line)
