@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -231,3 +232,13 @@ def gam_score(x, model):
     total = model.intercept + sum(t[at(c, v)] for c, t, v in zip(model.cuts, model.tables, x))
     total += sum(t[at(model.pair_cuts[i], x[i]), at(model.pair_cuts[j], x[j])] for i, j, t in model.pairs)
     return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+
+def rule_features(text):
+    """The shares by which the rules judge a text, in their order."""
+    text = text or ""
+    w, lines = words(text), [x for x in text.split("\n") if words(x)]
+    (_, (n, chars, symbols, dup_lines, repeats, _)), *_ = op2([(0, text)]).items()
+    share = lambda a, b: a / b if b else 0.0
+    upper, digits = (sum(test(c) for c in text) for test in (lambda c: unicodedata.category(c) == "Lu", lambda c: c in "0123456789"))
+    return [n, share(chars, n), share(symbols, chars), share(dup_lines, len(lines)), share(repeats, n), share(upper, chars), share(len(set(w)), n), share(digits, chars)]

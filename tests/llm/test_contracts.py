@@ -111,6 +111,19 @@ def test_rules(spark, docs, odd):
     assert np.mean(right) >= 0.85 and np.mean(good) >= 0.9
 
 
+def test_rule_verdicts(spark, docs, odd):
+    """The first rule that a text meets rejects it: every verdict of whole tables, term by term."""
+    listed = rules.learn(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert 0 < len(listed) <= rules.RULES and all(0 < len(r.terms) <= rules.TERMS for r in listed)
+    for rows, df in ((docs, queries.op2_rules(spark, DATA)), (ODD, rules.judge(odd, listed))):
+        found = by_id(df, "base_failed", "kept", "rule")
+        for d, text in rows:
+            x = dict(zip(rules.FEATURES, brute.rule_features(text)))
+            met = [k for k, r in enumerate(listed, 1) if all(x[n] <= c if sign == "<=" else x[n] > c for n, sign, c in r.terms)]
+            failed = brute.op2([(d, text)])[d][-1]
+            assert found[d] == (failed, not failed and not met, met[0] if met else 0), d
+
+
 def test_decision_list_finds_conjunction():
     rng = np.random.default_rng(3)
     x = rng.random((4000, len(rules.FEATURES)))
@@ -284,6 +297,18 @@ def test_packing(spark, docs, odd):
     check_packing(pieces(packing.pack(odd.union(spark.createDataFrame(extra, "doc_id long, text string")).coalesce(1))), ODD + extra, encode)
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """The ranks file and the tokenizer file give the same ids for every document of sf0.01 and for odd texts."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    tool, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder()
+    texts = pq.read_table(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text in [*(t for t in texts if t), *(t for _, t in ODD if t)]:
+        assert own.encode(text).tolist() == [*tool.encode(text, add_special_tokens=False).ids, packing.END]
+
+
 def test_packing_balances_cost():
     """Descending documents go to the cheapest sequence with room, so costs of equally long sequences lie close."""
     rng = np.random.default_rng(1)
