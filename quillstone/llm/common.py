@@ -30,6 +30,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes with the session's JVM at the latest."""
+    path = f"{work_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path
+
+
 def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost.
 
@@ -39,7 +47,7 @@ def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     if tidy:
         release(spark)
-    path = f"{work_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     del df
     back = spark.read.schema(schema).parquet(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from quillstone.llm import licenses, mixing, repeats
+from quillstone.llm import licenses, merkle, mixing, repeats
 
 #: Documents whose windows of words start anywhere but at their first place in the corpus lose the words of those windows.
 REPEATS = rf"""
@@ -82,4 +82,52 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy, md5('or
 FROM rated d JOIN copies c ON d.own = c.own AND d.source IS NOT DISTINCT FROM c.source, unnest(range(1, n::BIGINT + 1)) AS r(copy)
 """
 
-ORACLES: dict[str, str] = {"op1_repeats": REPEATS, "op5_licenses": _licenses(), "op10_mixing": MIXING}
+
+def _crc_table() -> list[int]:
+    """The remainders of all bytes by the reversed polynomial of CRC-32."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+def _merkle(levels: int) -> str:
+    """Both trees level by level, and every leaf's siblings and fold along its way up; enough levels for any table here."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1]::BIGINT))"
+    parts = [
+        rf"""WITH rows AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS forged FROM documents),
+placed AS MATERIALIZED (
+  SELECT doc_id, leaf, coalesce(forged, leaf) AS value, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM rows
+),
+s0 AS MATERIALIZED (SELECT g, pos, n, leaf AS node FROM placed),
+f0 AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, leaf, g, pos, value, '' AS path FROM placed)"""
+    ]
+
+    def climb(tree: str, asking: str, k: int) -> str:
+        return f""",
+{tree}{k} AS MATERIALIZED (
+  SELECT g, pos // {merkle.FAN} AS pos, CASE WHEN any_value(n) = 1 THEN 1 ELSE (any_value(n) + {merkle.FAN - 1}) // {merkle.FAN} END AS n,
+    CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node FROM {tree}{k - 1} GROUP BY g, pos // {merkle.FAN}
+),
+{asking}{k} AS MATERIALIZED (
+  SELECT a.id, a.doc_id, a.leaf, a.g, a.pos // {merkle.FAN} AS pos, CASE WHEN any_value(t.n) = 1 THEN any_value(a.value) ELSE sha256(string_agg(CASE WHEN t.pos = a.pos THEN a.value ELSE t.node END, '' ORDER BY t.pos)) END AS value,
+    any_value(a.path) || coalesce(string_agg(CASE WHEN t.pos <> a.pos THEN t.node END, '' ORDER BY t.pos), '') AS path
+  FROM {asking}{k - 1} a JOIN {tree}{k - 1} t ON t.g = {"a.g" if tree == "s" else "0"} AND t.pos // {merkle.FAN} = a.pos // {merkle.FAN} GROUP BY a.id, a.doc_id, a.leaf, a.g, a.pos // {merkle.FAN}, a.pos
+)"""
+
+    parts += [climb("s", "f", k) for k in range(1, levels + 1)]
+    parts.append(f""",
+t0 AS MATERIALIZED (SELECT 0 AS g, g AS pos, (SELECT count(*) FROM s{levels}) AS n, node FROM s{levels}),
+u0 AS MATERIALIZED (SELECT id, doc_id, leaf, g, g AS pos, value, path FROM f{levels})""")
+    parts += [climb("t", "u", k) for k in range(1, levels + 1)]
+    parts.append(f"""
+SELECT doc_id, leaf, s{levels}.node AS subroot, t{levels}.node AS root, sha256(path) AS proof_sha256, value AS folded_root, value = t{levels}.node AS verified
+FROM u{levels} u JOIN s{levels} ON s{levels}.g = u.g, t{levels}
+""")
+    return "".join(parts)
+
+
+ORACLES: dict[str, str] = {"op1_repeats": REPEATS, "op5_licenses": _licenses(), "op10_mixing": MIXING, "op13_manifest": _merkle(12)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, licenses, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs
+from quillstone.llm import gam, licenses, merkle, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs, tokens
 from quillstone.llm.oracles import ORACLES
 from quillstone.sources.tables import table
 
@@ -66,6 +66,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, read back from the files they were written to."""
+    return tokens.report(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document under the corpus's root; half the documents are tampered with."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_rules": op2_rules,
@@ -77,4 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op12_tokens": op12_tokens,
+    "op13_manifest": op13_manifest,
 }
