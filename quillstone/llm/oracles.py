@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from quillstone.llm import licenses, merkle, mixing, repeats
+from quillstone.llm import licenses, merkle, mixing, phrases, repeats
 
 #: Documents whose windows of words start anywhere but at their first place in the corpus lose the words of those windows.
 REPEATS = rf"""
@@ -83,6 +83,31 @@ FROM rated d JOIN copies c ON d.own = c.own AND d.source IS NOT DISTINCT FROM c.
 """
 
 
+#: All runs of one to four words of the pieces are counted as they are, and the sub-phrases of a phrase are looked up.
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, w[place : place + size - 1] AS p FROM words, unnest(range(1, len(w) + 1)) AS a(place), unnest(range(1, {phrases.LONGEST + 1})) AS s(size) WHERE place + size - 1 <= len(w)),
+counted AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM runs GROUP BY lang, p),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE len(p) = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT lang, p, f AS a FROM counted WHERE len(p) > 1 AND f >= {phrases.LEAST}),
+absorbed AS (
+  SELECT DISTINCT c.lang, c.p FROM (SELECT lang, a, unnest(range(1, len(p) - size + 2)) AS place, size, p FROM frequent, unnest(range(2, {phrases.LONGEST})) AS s(size) WHERE size < len(p)) x
+  JOIN frequent c ON c.lang = x.lang AND c.p = x.p[x.place : x.place + x.size - 1] WHERE 100::HUGEINT * x.a >= {phrases.ABSORBED}::HUGEINT * c.a
+),
+cuts AS (
+  SELECT q.lang, q.p, q.a, k, l.f AS l, r.f AS r, ({phrases.SCALE}::HUGEINT * q.a) // (l.f + r.f) AS score
+  FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM frequent f ANTI JOIN absorbed USING (lang, p)) q
+  JOIN counted l ON l.lang = q.lang AND l.p = q.p[1 : k] JOIN counted r ON r.lang = q.lang AND r.p = q.p[k + 1 :]
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
 def _crc_table() -> list[int]:
     """The remainders of all bytes by the reversed polynomial of CRC-32."""
     table = list(range(256))
@@ -130,4 +155,4 @@ FROM u{levels} u JOIN s{levels} ON s{levels}.g = u.g, t{levels}
     return "".join(parts)
 
 
-ORACLES: dict[str, str] = {"op1_repeats": REPEATS, "op5_licenses": _licenses(), "op10_mixing": MIXING, "op13_manifest": _merkle(12)}
+ORACLES: dict[str, str] = {"op1_repeats": REPEATS, "op5_licenses": _licenses(), "op10_mixing": MIXING, "op11_phrases": PHRASES, "op13_manifest": _merkle(12)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import gam, licenses, merkle, mixing, packing, pii, repeats, rules, secrets, simhash, spotsigs, tokens
+from quillstone.llm import gam, licenses, merkle, mixing, packing, phrases, pii, repeats, rules, secrets, simhash, spotsigs, tokens
 from quillstone.llm.oracles import ORACLES
 from quillstone.sources.tables import table
 
@@ -66,6 +66,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's token ids, read back from the files they were written to."""
     return tokens.report(table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_phrases": op11_phrases,
     "op12_tokens": op12_tokens,
     "op13_manifest": op13_manifest,
 }
