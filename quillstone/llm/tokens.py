@@ -8,10 +8,10 @@ indexes lead a reader to the few pages it needs, and readers of the numbers neve
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ END = 2
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 #: Pieces of text whose ids a worker remembers; beyond that it begins anew.
 REMEMBERED = 400_000
-#: Characters below this code point are letters that no normal form changes, or no letters.
-PLAIN = "ɐ"
+#: Lower-case letters that the normal form and lower-casing leave as they are.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+SLICE = 2 << 20
+_END_PIECE = b" "
 
 _LETTER, _DIGIT, _SPACE, _HIGH = 1, 2, 3, 4
 _encoders: dict[str | None, Encoder] = {}
@@ -45,6 +47,15 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 
 
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """held with room for n entries at least, grown by halves."""
+    if n <= len(held):
+        return held
+    out = np.empty(max(n, len(held) * 3 // 2), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
 class Encoder:
     """Ids of texts under the public vocabulary of words.
 
@@ -61,22 +72,31 @@ class Encoder:
         self.whole = Tokenizer.from_file(f"{folder}/{VOCABULARY}" if folder else public_tokenizers.path(VOCABULARY))
         self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, int] = {}
-        self.flat, self.at = array("i"), array("q", [0])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Know nothing but what ends a text."""
+        self.known: dict[bytes, int] = {_END_PIECE: 0}
+        self.flat, self.at, self.n = np.array([END], np.int32), np.array([0, 1], np.int64), 1
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Remember the ids of new pieces: those of lower-case letters alone by the vocabulary, others by the tokenizer."""
         named = [p.decode() for p in pieces]
-        plain = [w.isalpha() and w == w.lower() and max(w) < PLAIN and unicodedata.is_normalized("NFC", w) for w in named]
+        plain = [PLAIN(w) is not None for w in named]
         words = [w for w, one in zip(named, plain) if one]
-        mapped = self.letters.pre_tokenize_str("\n".join(words))[0][0].split("Ċ") if words else []
-        model = self.whole.model
-        of_words = iter([[t.id for t in model.tokenize(w)] for w in mapped])
+        # The vocabulary spells bytes beyond ASCII its own way.
+        accented = [w for w in words if not w.isascii()]
+        spelt = dict(zip(accented, self.letters.pre_tokenize_str("\n".join(accented))[0][0].split("Ċ"))) if accented else {}
+        tokenize = self.whole.model.tokenize
+        of_words = iter([[t.id for t in tokenize(spelt.get(w, w))] for w in words])
         of_rest = iter(self.whole.encode_batch_fast([w for w, one in zip(named, plain) if not one], add_special_tokens=False))
-        for piece, one in zip(pieces, plain):
-            self.known[piece] = len(self.at) - 1
-            self.flat.extend(next(of_words) if one else next(of_rest).ids)
-            self.at.append(len(self.flat))
+        found = [next(of_words) if one else next(of_rest).ids for one in plain]
+        self.known.update(zip(pieces, range(self.n, self.n + len(pieces))))
+        ends = self.at[self.n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.at, self.n = _room(self.at, self.n + len(pieces) + 1), self.n + len(pieces)
+        self.at[self.n + 1 - len(pieces) : self.n + 1] = ends
+        self.flat = _room(self.flat, int(ends[-1]))
+        self.flat[self.at[self.n - len(pieces)] : ends[-1]] = list(chain.from_iterable(found))
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
         """The pieces of a slice of texts, and each text's range of them."""
@@ -98,27 +118,28 @@ class Encoder:
         """The ids of a slice of texts, END after each text's, and the place of each text's first id (one more entry)."""
         held, ranges = self._pieces(data, offsets)
         distinct = held.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known.clear()
-            self.flat, self.at = array("i"), array("q", [0])
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            self._learn(new)
-        which = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))[held.indices.to_numpy()]
-        at = np.array(self.at)
-        flat = np.array(self.flat, np.int32)
-        sizes = at[which + 1] - at[which]
-        places = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(at[which] - places[:-1], sizes) + np.arange(places[-1])]
-        bounds = places[ranges]
+        if self.n + len(distinct) > REMEMBERED:
+            self._forget()
+        known, first = self.known, self.n
+        places = np.array([known.get(p, -1) for p in distinct], np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            self._learn([distinct[i] for i in new.tolist()])
+            places[new] = np.arange(first, self.n)
+        texts = np.arange(len(offsets))
+        which = np.insert(places[held.indices.to_numpy()], ranges[1:], known[_END_PIECE])
+        starts = self.at[which]
+        sizes = self.at[which + 1] - starts
+        ends = np.cumsum(sizes)
+        ids = self.flat.take(np.repeat((starts - ends + sizes).astype(np.int32), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
+        bounds = np.concatenate([[0], ends])[ranges + texts]
         special = self._special(data, offsets)
         if not special:
-            n = len(offsets) - 1
-            return np.insert(ids, bounds[1:], END).astype(np.int32), bounds + np.arange(n + 1)
+            return ids, bounds
         each = [ids[a:z] for a, z in zip(bounds, bounds[1:])]
         for d in special:
-            each[d] = np.array(self.whole.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int32)
-        return np.concatenate([np.append(x, END) for x in each]).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) + 1 for x in each])])
+            each[d] = np.array([*self.whole.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids, END], np.int32)
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
     def _special(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
         """Texts that hold the string of a special token, in any case."""
@@ -137,7 +158,7 @@ def _encoded(folder: str | None):
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, done = encoder(folder), TaskContext.get().partitionId(), 0
         for batch in parts:
-            for first, rows, data, offsets in K.slices(batch.column("text")):
+            for first, rows, data, offsets in K.slices(batch.column("text"), SLICE):
                 ids, at = tool.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 numbers = pa.array(np.full(rows, part, np.int32)), pa.array(done + at[:-1])
