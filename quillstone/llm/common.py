@@ -64,6 +64,23 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Frames:
+    """What an operator cuts on its way to a result; it goes as soon as the result is written."""
+
+    def __init__(self):
+        self._held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+        self._held.append(cut(df, name, tidy))
+        return self._held[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        drop(*self._held)
+        self._held.clear()
+        return out
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null read as empty), whatever other columns there are."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import let
-from quillstone.llm.common import cut
+from quillstone.llm.common import Frames
 from quillstone.llm.spans import find
 
 KINDS = ("email", "ip", "card", "phone")
 # The atomic form of each pattern: a start inside a run that failed can't match, and what is taken is never given back,
-# so long runs cost linear time and no stack.
+# so long runs cost linear time and no stack. A run of digits too short for a card isn't matched at all, as it would fail.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
@@ -65,7 +65,7 @@ def protected(docs: DataFrame) -> DataFrame:
     Null texts read as empty and have none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select("doc_id", F.hash(text).alias("twin"), text.alias("text"))
+    held = docs.select("doc_id", F.xxhash64(text).alias("twin"), text.alias("text"))
 
     def of(kind: str) -> Column:
         guard = F.contains(F.col("text"), F.lit(NEEDS[kind])) if NEEDS[kind] else None
@@ -97,14 +97,26 @@ def _holders(found: DataFrame) -> DataFrame:
     return each.join(named, "entity").select("doc_id", "twin", "set", "holders").distinct()
 
 
-def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and df: in how many rows of docs each of the terms occurs."""
-    each = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), BREAK), lambda w: F.lower(w)))
-    words = docs.select(F.explode(each).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+def _frequencies(docs: DataFrame, found: DataFrame, terms: DataFrame, frames: Frames) -> DataFrame:
+    """term and df: in how many documents each of the terms occurs; repeated rows are one document.
 
-
-def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, least: float = DISCLOSURE) -> DataFrame:
+    Rows that are there m times count an m-th each, in whole numbers: their words are counted by m and divided by it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = docs.select("doc_id", F.xxhash64(text).alias("twin"), text.alias("text"))
+    copies = frames.cut(found.groupBy("doc_id", "twin").agg(F.count("*").alias("m")).where("m > 1"), "pii-copies")
+    if copies.limit(1).count():
+        named = copies.withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
+        held = held.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin")), "left")
+    else:
+        held = held.withColumn("m", F.lit(1))
+    each = F.array_distinct(F.transform(F.array_distinct(F.split("text", BREAK)), lambda w: F.lower(w)))
+    words = held.select(F.coalesce("m", F.lit(1)).alias("m"), F.explode(each).alias("term"))
+    by_m = words.groupBy("term", "m").agg(F.count("*").alias("n"))
+    return by_m.groupBy("term").agg(F.sum(F.expr("n div m")).alias("df")).join(terms, "term", "left_semi")
+
+
+def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, frames: Frames, least: float = DISCLOSURE) -> DataFrame:
     """doc_id, twin and term: the terms of each document that reveal at least ``least`` of the content of an entity in it.
 
     With N documents, n of them with the entity, df with the term and both of them with the two, anywhere in the text, the
@@ -112,18 +124,18 @@ def disclosures(docs: DataFrame, found: DataFrame, terms: DataFrame, least: floa
     is (both + SMOOTHING * n / N) / (df + SMOOTHING), so values of one or two documents are judged too. An entity in
     every document has nothing to reveal.
     """
-    rows = F.lit(float(docs.count()))
+    rows = F.lit(float(found.select("doc_id", "twin").distinct().count()))
     rate = F.col("holders") / rows
     pmi = lambda both: F.log2((both + SMOOTHING * rate) / (F.greatest(F.col("df"), both) + SMOOTHING) / rate)
     reveals = lambda both: (rate < 1) & (pmi(both) >= F.lit(least) * -F.log2(rate))
-    held = cut(_holders(found), "pii-holders")
+    held = frames.cut(_holders(found), "pii-holders")
     seen = terms.select("doc_id", "twin", "term").distinct()
-    df = cut(_frequencies(docs, cut(seen.select("term").distinct(), "pii-terms")), "pii-frequencies")
+    df = frames.cut(_frequencies(docs, found, frames.cut(seen.select("term").distinct(), "pii-terms"), frames), "pii-frequencies")
     # A term too common even if every holder had it is left out before it meets the entities of its documents.
     rare = seen.join(df, "term").withColumnsRenamed({"doc_id": "_doc", "twin": "_twin"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin"))
     met = held.join(rare, same & reveals(F.least("holders", "df"))).select("doc_id", "twin", "set", "holders", "term", "df")
-    met = cut(met, "pii-pairs")
+    met = frames.cut(met, "pii-pairs")
     both = met.groupBy("set", "holders", "term", "df").agg(F.count("*").alias("both"))
     revealing = both.where(reveals(F.col("both"))).select("set", "term")
     return met.join(revealing, ["set", "term"], "left_semi").select("doc_id", "twin", "term").distinct()
@@ -136,9 +148,10 @@ def detect(docs: DataFrame) -> DataFrame:
     document that holds the value they reveal, and never overlap a base span. Empty tables give no rows; repeated rows
     come out alike.
     """
-    found = cut(protected(docs), "pii-found")
-    terms = cut(_terms(found), "pii-words")
-    revealing = cut(disclosures(docs, found, terms), "pii-disclosures").withColumnsRenamed({"doc_id": "_doc", "twin": "_twin", "term": "_term"})
+    frames = Frames()
+    found = frames.cut(protected(docs), "pii-found")
+    terms = frames.cut(_terms(found), "pii-words")
+    revealing = frames.cut(disclosures(docs, found, terms, frames), "pii-disclosures").withColumnsRenamed({"doc_id": "_doc", "twin": "_twin", "term": "_term"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin"))
     spans = terms.join(revealing, same & (F.col("term") == F.col("_term")), "left_semi").groupBy("doc_id", "twin").agg(
         F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("number"), F.lit(TERM).alias("kind"), "end")).alias("terms")
@@ -148,7 +161,7 @@ def detect(docs: DataFrame) -> DataFrame:
     base = F.transform("found", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "number", "kind", "end"))))
     kept = joined.select("doc_id", "twin", base.alias("base"), F.coalesce("terms", F.filter(base, lambda s: F.lit(False))).alias("terms"))
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return kept.select("doc_id", "twin", "base", F.sort_array(F.concat("base", apart)).alias("all"))
+    return frames.result(kept.select("doc_id", "twin", "base", F.sort_array(F.concat("base", apart)).alias("all")), "pii-spans")
 
 
 def listed(spans: Column) -> Column:
@@ -163,7 +176,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     spans = detect(docs).select("doc_id", "twin", "all").dropDuplicates(["doc_id", "twin"])
     held = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body"))
-    joined = held.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.hash("body") == F.col("twin")), "left")
+    joined = held.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("body") == F.col("twin")), "left")
     ordered = F.sort_array(F.transform("all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

@@ -149,3 +149,13 @@ def test_components(spark):
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 560)} | {i: 0 for i in range(20)} | {800: 800, 900: 800}
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_terms_of_repeated_rows(spark):
+    """Rows that are there many times are one document: the same terms, and they aren't none."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    spans = lambda df: {tuple(r) for r in pii.report(df).select("doc_id", "spans").collect()}
+    once = spans(docs)
+    assert any("term:" in s for _, s in once)
+    assert spans(docs.join(spark.range(3).select(F.col("id").alias("again")))) == once
+    assert spans(docs.unionByName(docs.where("doc_id % 3 = 0"))) == once
