@@ -256,10 +256,10 @@ def recordmap_table(t: Tables) -> DataFrame:
     return S.record_table(_lines(t).select("file", body.alias("body")), "file", "body")
 
 
-# A payload for each event, with the event's own properties among lists and objects, and quotes inside a text.
+# A payload for each event, with the event's own properties among lists and objects, quotes inside a text, and a key with an escape.
 _DEEP = (
     "'{\"id\":' || event_id || ',\"deal\":{\"' || CASE WHEN event_id % 5 = 0 THEN 'clientEmail' ELSE 'contact' END || '\":\"x\",\"terms\":[{\"' || CASE event_id % 4 WHEN 0 THEN 'margin' WHEN 1 THEN 'Markup' WHEN 2 THEN 'grossMarginPct' ELSE 'kept' END "
-    "|| '\":2},' || props || '],\"note\":{\"internal_notes\":{\"margin\":1}}},\"said\":\"it \\\"cost\\\": 1\",\"' || CASE WHEN event_id % 3 = 0 THEN 'staff_id' ELSE 'office' END || '\":1}'"
+    "|| '\":2},' || props || '],\"note\":{\"internal_notes\":{\"margin\":1}}},\"said\":\"it \\\"cost\\\": 1\",\"' || CASE WHEN event_id % 7 = 0 THEN 'm\\u0061rgin' ELSE 'pl\\u0061in' END || '\":{\"tfn\":1},\"' || CASE WHEN event_id % 3 = 0 THEN 'staff_id' ELSE 'office' END || '\":1}'"
 )
 _KEYS_OF = f"SELECT event_id, j.id, j.key, j.fullkey, lower(regexp_replace(j.key, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM (SELECT event_id, {_DEEP} AS payload FROM events) e, json_tree(e.payload) j WHERE j.key IS NOT NULL"
 _LISTED = "SELECT e.event_id, coalesce(paths, '') AS paths FROM events e LEFT JOIN (SELECT event_id, string_agg(replace(fullkey, '$.', ''), ',' ORDER BY id) AS paths FROM {found} GROUP BY event_id) p ON p.event_id = e.event_id"
@@ -270,11 +270,10 @@ def _payloads(t: Tables) -> DataFrame:
 
 
 @query(
-    f"SELECT e.event_id, bool_or(key IN ('k', 'cost')) AS has_key, bool_or(key IN ('client_id', 'cost', 'clientEmail')) AS forbidden FROM events e JOIN ({_KEYS_OF}) k ON k.event_id = e.event_id GROUP BY e.event_id"
+    f"SELECT e.event_id, bool_or(key IN ('k', 'cost')) AS has_key, bool_or(key IN ('client_id', 'cost', 'clientEmail', 'margin')) AS forbidden FROM events e JOIN ({_KEYS_OF}) k ON k.event_id = e.event_id GROUP BY e.event_id"
 )
 def json_forbidden_keys(t: Tables) -> DataFrame:
-    payload = F.col("payload")
-    return _payloads(t).select("event_id", privacy.has_key(payload, "k", "cost").alias("has_key"), privacy.has_key(payload, "client_id", "cost", "clientEmail").alias("forbidden"))
+    return privacy.has_keys(_payloads(t), "event_id", "payload", has_key=["k", "cost"], forbidden=["client_id", "cost", "clientEmail", "margin"])
 
 
 _EXACT = ", ".join(f"'{x}'" for x in sorted(privacy.EXACT))
@@ -284,12 +283,12 @@ _FORBIDDEN = f"SELECT * FROM ({_KEYS_OF}) k WHERE snake IN ({_EXACT}) OR {_PARTS
 
 @query(_LISTED.format(found=f"({_FORBIDDEN}) f WHERE NOT EXISTS (SELECT 1 FROM ({_FORBIDDEN}) a WHERE a.event_id = f.event_id AND starts_with(f.fullkey, a.fullkey || '.'))"))
 def privacy_paths(t: Tables) -> DataFrame:
-    return _payloads(t).select("event_id", F.array_join(privacy.forbidden_paths(F.col("payload")), ",").alias("paths"))
+    return privacy.forbidden_paths(_payloads(t), "event_id", "payload").withColumn("paths", F.array_join("paths", ","))
 
 
 @query(_LISTED.format(found=f"({_KEYS_OF}) k WHERE regexp_matches(key, '(?i)internal_note|margin')"))
 def restricted_paths(t: Tables) -> DataFrame:
-    return _payloads(t).select("event_id", F.array_join(privacy.restricted_paths(F.col("payload"), "(?i)internal_note|margin"), ",").alias("paths"))
+    return privacy.restricted_paths(_payloads(t), "event_id", "payload", "(?i)internal_note|margin").withColumn("paths", F.array_join("paths", ","))
 
 
 _EXISTING = "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN p_partkey * 3 END AS anchor, 'R' || CAST(p_partkey % 700 AS VARCHAR) AS reference, p_brand AS brand, p_type AS type, p_size AS size FROM part WHERE p_partkey % 3 <> 0"

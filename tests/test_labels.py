@@ -109,8 +109,8 @@ def test_restricted_view_keys(spark):
     from quillstone.functions import privacy
 
     view = '{"risk_rating": {"Screening": 1}, "steps": [{"ok": 1}, {"peps": 0, "pep_hit": 1}], "API_KEY": "x", "prepared": 2}'
-    assert one(spark, privacy.restricted_paths, view) == ["risk_rating", "risk_rating.Screening", "steps[1].pep_hit", "API_KEY"]
-    assert one(spark, privacy.restricted_paths, "not json") == []
+    found = privacy.restricted_paths(spark.createDataFrame([(1, view), (2, "not json")], "n int, x string"), "n", "x")
+    assert {r.n: r.paths for r in found.collect()} == {1: ["risk_rating", "risk_rating.Screening", "steps[1].pep_hit", "API_KEY"], 2: []}
 
 
 def test_grants_after_commands(spark):

@@ -70,9 +70,34 @@ def test_address(spark, line, fields):
     assert {k: v for k, v in one(spark, coerce.address, line).asDict().items() if v is not None} == fields
 
 
-def test_privacy_paths():
-    assert privacy.key_paths({"item": {"pricing": {"margin": 0.2}}, "rows": [{"client_id": "c1"}]}, privacy.is_forbidden, False) == ["item.pricing.margin", "rows[0].client_id"]
-    assert [p for k in ("clientEmail", "internalNote", "selectedByUserId") for p in privacy.key_paths({k: 1}, privacy.is_forbidden, False)] == ["clientEmail", "internalNote", "selectedByUserId"]
+def paths(spark, find, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+    return {r.n: r.paths for r in find(df, "n", "x").collect()}
+
+
+def test_privacy_paths(spark):
+    found = paths(
+        spark,
+        privacy.forbidden_paths,
+        '{"rows": [{"client_id": "c1"}], "item": {"pricing": {"margin": {"cost": 1}}}}',
+        '{"z": {"c\\u006fst": 1}, "a": [[1, {"tfn": null}]]}',
+        '{"a": "{\\"cost\\": 1}", "b": "[1"}',
+        '{"a": 1, "a": {"cost": 1}}',
+        "not json \"cost\": 1",
+        None,
+        "[" * 30 + '{"cost": 1}' + "]" * 30,
+        "{}",
+    )
+    assert found == {0: ["rows[0].client_id", "item.pricing.margin"], 1: ["z.cost", "a[0][1].tfn"], 2: [], 3: ["a.cost"], 4: [], 5: [], 6: ["[0]" * 30 + ".cost"], 7: []}
+    spellings = paths(spark, privacy.forbidden_paths, *(f'{{"{k}": 1}}' for k in ("clientEmail", "internalNote", "selectedByUserId", "Pcost")))
+    assert spellings == {0: ["clientEmail"], 1: ["internalNote"], 2: ["selectedByUserId"], 3: []}
+
+
+def test_walk_stays_in_the_jvm(spark, capsys):
+    df = spark.createDataFrame([(1, '{"a": {"cost": 1}}')], "n int, x string")
+    privacy.forbidden_paths(df, "n", "x").explain()
+    plan = capsys.readouterr().out
+    assert "UnionLoop" in plan and "Python" not in plan and "Arrow" not in plan
 
 
 CSV = "\ufeffStock list,,\n\nLot,Address,Price\n1,\"12 High St, Lara\",\"$749,000\"\n2,\"The \"\"Oaks\"\"\nRear\",POA\n,,\n"
@@ -98,9 +123,9 @@ def test_grids_and_maps(spark):
 
 
 def test_keys_at_any_depth(spark):
-    texts = ['{"a":[{"b":{"cost":1}}]}', '{"a":"\\"cost\\": 1"}', '{"a":"cost"}', '{"cost" : null}', None, '{"costs":1,"xcost":2}']
+    texts = ['{"a":[{"b":{"cost":1}}]}', '{"a":"\\"cost\\": 1"}', '{"a":"cost"}', '{"cost" : null}', None, '{"costs":1,"xcost":2}', 'not json "cost": 1', '{"c\\u006fst":1}']
     df = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
-    assert {r.n: r.v for r in df.select("n", privacy.has_key(F.col("x"), "cost", "k").alias("v")).collect()} == {0: True, 1: False, 2: False, 3: True, 4: None, 5: False}
+    assert {r.n: r.v for r in privacy.has_keys(df, "n", "x", v=["cost", "k"]).collect()} == {0: True, 1: False, 2: False, 3: True, 4: None, 5: False, 6: False, 7: True}
 
 
 @pytest.mark.parametrize(
