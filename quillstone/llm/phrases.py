@@ -29,7 +29,7 @@ TOP = 2_000
 ABSORBED = 80
 SCALE = 2_000_000
 #: Characters of text in a shard, about; a longer text is one of its own.
-SHARD = 32_000_000
+SHARD = 12_000_000
 #: Parts over which the phrases of a language are dealt before the best of each part meet.
 PARTS = 64
 #: A language that a row doesn't state.
@@ -60,13 +60,12 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, ranges = K.word_bounds(data, offsets, WORDS)
             if not len(starts):
                 continue
-            flat, at = K.spaced(data, starts, ends)
-            body = np.delete(flat, at[1:] - 1)
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at - np.arange(len(at))), pa.py_buffer(body)]).dictionary_encode()
+            at = np.concatenate([[0], np.cumsum(ends - starts)])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[WORDS[data]])]).dictionary_encode()
             document = K.document_of(ranges)
             both = languages[first + document].astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
             found, codes, counts = np.unique(both, return_inverse=True, return_counts=True)
-            piece = np.concatenate([[0], np.cumsum(BREAKS[data])])[starts]
+            piece = np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
             new = np.flatnonzero((np.diff(piece) != 0) | (np.diff(document) != 0)) + 1
             places = np.insert(codes.astype(np.int32), new, _GAP)
             lists = [
