@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import backoff_claim, backoff_delivery
+from quillstone.operators import leases
 from quillstone.operators import queueing as Q
 from quillstone.plans.aggregates import EVENTS_AS_OF, at
 from quillstone.registry import Tables, query
+from quillstone.session import scratch
+from quillstone.sources.versioned import VersionedTable
 from quillstone.streaming import folds
+from quillstone.streaming.events import InboundQueue
 
 _JOBS = (
     "SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'archived' WHEN event_type = 'error' THEN 'staged' ELSE 'active' END AS lifecycle, CASE WHEN user_id % 5 = 0 THEN 'settled' ELSE 'election' END AS stage, "
@@ -32,6 +36,18 @@ def queue_claim_batch(t: Tables) -> DataFrame:
     return Q.claim(_jobs(t), at(EVENTS_AS_OF), 50).select("id", "attempts", "claim_until", "next_attempt_at")
 
 
+_WORKERS = [f"worker-{k}" for k in range(10)]
+
+
+@query(
+    f"WITH held AS (SELECT id, next_attempt_at, ('0x' || md5(id::VARCHAR)[1:8])::BIGINT % {leases.BUCKETS} AS bucket FROM ({_DUCK_JOBS}) j WHERE {_DUE}), "
+    f"owners AS (SELECT b AS bucket, arg_max(w, md5(w || ':' || b)) AS worker FROM range({leases.BUCKETS}) r(b), unnest({_WORKERS}) u(w) GROUP BY b) "
+    "SELECT id, worker, turn FROM (SELECT id, worker, row_number() OVER (PARTITION BY worker ORDER BY next_attempt_at, id) AS turn FROM held JOIN owners USING (bucket)) x WHERE turn <= 50"
+)
+def queue_claims_of_workers(t: Tables) -> DataFrame:
+    return leases.claims_of_all(_jobs(t), at(EVENTS_AS_OF), 50, _WORKERS)
+
+
 @query(f"SELECT count(*) FILTER (WHERE {_DUE}) AS claimable, count(*) FILTER (WHERE lifecycle IN ('active', 'staged') AND stage <> 'settled') AS outstanding FROM ({_DUCK_JOBS}) j")
 def queue_pending(t: Tables) -> DataFrame:
     return Q.pending(_jobs(t), at(EVENTS_AS_OF))
@@ -102,6 +118,45 @@ def inbound_dead_letters(t: Tables) -> DataFrame:
     return Q.dead_letters(judged).select("event_id", "outcome", "reason", "exhausted")
 
 
+_DELAYED = (
+    "SELECT event_id, {stamp} AS received_at, user_id % 40 AS connection, event_type, CASE WHEN event_id % 17 <> 0 THEN event_id % 2000 END AS item, CASE WHEN event_id % 5 = 0 THEN 'odd' ELSE 'selected' END AS status, "
+    "CAST(0 AS INTEGER) AS attempts, CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 8 ELSE 0 END AS INTEGER) AS fails FROM events"
+)
+
+
+@query(
+    "WITH x AS (SELECT e.event_id, e.item, fails, CASE WHEN c.state IS NULL OR c.state = 'revoked' THEN 'connection_revoked' WHEN e.event_type NOT IN ('view', 'click', 'purchase') THEN 'unhandled_event_type' WHEN e.item IS NULL THEN 'invalid_payload' "
+    "WHEN e.status <> 'selected' THEN 'invalid_status' WHEN i.org IS NULL OR i.org <> c.org THEN 'stock_item_not_ours' WHEN fails >= 5 THEN '' END AS reason "
+    f"FROM ({_DELAYED.format(stamp='ts')}) e LEFT JOIN ({_CONNECTIONS}) c ON e.connection = c.connection LEFT JOIN ({_OWNED}) i ON e.item = i.item) "
+    "SELECT 'dead' AS kind, event_id AS id, event_id, CASE WHEN reason = '' THEN 4 ELSE 0 END AS attempts, reason FROM x WHERE reason IS NOT NULL UNION ALL "
+    "SELECT 'applied', item, max(event_id), arg_max(fails, event_id), NULL FROM x WHERE reason IS NULL GROUP BY item"
+)
+def inbound_drain(t: Tables) -> DataFrame:
+    """All events wait at once; rounds at the time at which the next is due, until none waits: what failed came back by backoff."""
+    for name in ("events", "nation", "part"):
+        getattr(t, name).createOrReplaceTempView(name)
+    sql = t.spark.sql
+    queue = InboundQueue(t.spark, scratch(t.spark, "inbound"), sql(_CONNECTIONS), sql(_OWNED), ["view", "click", "purchase"], ["selected", "progressed", "completed", "withdrawn"])
+    queue.receive(sql(_DELAYED.format(stamp="CAST(ts AS TIMESTAMP)")), "all", 0)
+    last = t.events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    while (due := queue.next_due()) is not None:
+        queue.work(max(due, last), None)
+    dead = queue.dead.snapshot().select(F.lit("dead").alias("kind"), F.col("event_id").alias("id"), "event_id", "attempts", "reason")
+    return dead.unionByName(queue.state.snapshot().select(F.lit("applied").alias("kind"), F.col("item").alias("id"), "event_id", "attempts", F.lit(None).cast("string").alias("reason")))
+
+
+@query(
+    "SELECT user_id, version, event_id, event_type FROM (SELECT user_id, event_id, event_type, event_id * 7919 % 1000003 AS version, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003 DESC) AS rn FROM events) x WHERE rn = 1"
+)
+def versioned_batches(t: Tables) -> DataFrame:
+    """The events as six batches into a versioned table, each batch twice, compacted on the way."""
+    held = VersionedTable(t.spark, scratch(t.spark, "versioned"), "user_id LONG, version LONG, event_id LONG, event_type STRING", ["user_id"], "version", deltas=4)
+    rows = t.events.withColumn("version", F.col("event_id") * 7919 % 1000003)
+    for number in (0, 1, 1, 2, 3, 2, 4, 5):
+        held.apply(rows.where(F.col("event_id") % 6 == number), "events", number)
+    return held.snapshot()
+
+
 def _timed(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros")).withColumn("at", F.col("micros") / 1e6)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,3 +42,24 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(_PACKAGE.parent))
     context.addPyFile(name)
     context._quillstone_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which driver and executors share; a local session gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not getattr(context, "_quillstone_folder", None):
+        context._quillstone_folder = f"file://{tempfile.mkdtemp(prefix='quillstone-work-')}"
+    return context._quillstone_folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes with the session's JVM."""
+    path = f"{shared_folder(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from quillstone.session import ship
+from quillstone.functions.exprs import backoff_delivery
+from quillstone.operators import queueing
+from quillstone.sources.files import Files
+from quillstone.sources.versioned import VersionedTable
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
+#: Events that one round applies by default, and at most.
+ROUND, MOST = 50, 500
+#: Tries that an event has.
+TRIES = 5
 
 
 def source(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -30,77 +37,116 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", delay: str = "1 h
     return events.withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def apply_into(events: DataFrame, folder: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
-    """Apply micro-batches to versioned state in a folder, idempotently: a batch that is run again writes the same state.
-
-    State n is a folder of its own and holds what batches up to n leave; the last version of a key wins.
-    """
-    from quillstone.operators.merge import upsert_latest
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to: a new checkpoint is a new stream, whose batches are numbered anew."""
+    return json.loads(Files(spark, checkpoint).read("metadata"))["id"]
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        best = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), version).alias("b")).select(*keys, "b.*").select(*batch.columns)
-        held = spark.read.schema(batch.schema).parquet(f"{folder}/state={number - 1}") if number else spark.createDataFrame([], batch.schema)
-        upsert_latest(held, best, keys, version).write.mode("overwrite").parquet(f"{folder}/state={number}")
 
+def apply_into(events: DataFrame, folder: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
+    """Apply micro-batches to a versioned table, each once: a batch that runs again, or that a killed run left, changes nothing."""
+    spark = events.sparkSession
+    held = VersionedTable(spark, folder, events.schema.toDDL(), keys, version)
+    apply = lambda batch, number: held.apply(batch, stream_name(spark, checkpoint), number)
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_judged(events: DataFrame, connections: DataFrame, items: DataFrame, handled: list[str], vocabulary: list[str], folder: str, checkpoint: str) -> StreamingQuery:
-    """Judge micro-batches of inbound events and apply them in order: applied ones to versioned state, dead ones to a folder.
+class InboundQueue:
+    """Inbound events as a delay queue: what fails comes back by backoff, oldest first, until it is applied or out of tries.
 
-    Each batch goes through ``queueing.outcomes``. What is applied becomes the item's status in state=n, as by
-    ``apply_into``, where the last event of an item wins; what is refused or out of attempts goes to dead=n with its
-    reason, and what is deferred to deferred=n, for its next attempt. A batch that runs again writes the same files.
+    Events are event_id, received_at, connection, event_type, item, status, attempts and fails (tries of it that fail).
+    All tables are versioned: ``waiting`` (events that are due at next_attempt_at), ``state`` (the last applied event of
+    each item) and ``dead`` (refused or out of tries, with the reason). A round that is killed before its last step is
+    repeated, with the same effect, as its events still wait.
     """
-    from quillstone.operators import queueing
-    from quillstone.operators.merge import upsert_latest
 
-    shape = "item LONG, event_id LONG, status STRING"
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        judged = queueing.outcomes(batch, connections, items, handled, vocabulary).persist()
+    def __init__(self, spark: SparkSession, folder: str, connections: DataFrame, items: DataFrame, handled: Sequence[str], vocabulary: Sequence[str]):
+        self.connections, self.items, self.handled, self.vocabulary = connections, items, handled, vocabulary
+        event = "event_id LONG, received_at TIMESTAMP, connection LONG, event_type STRING, item LONG, status STRING, attempts INT, fails INT, next_attempt_at TIMESTAMP"
+        self.waiting = VersionedTable(spark, f"{folder}/waiting", event, ["event_id"], "attempts")
+        self.state = VersionedTable(spark, f"{folder}/state", "item LONG, event_id LONG, status STRING, attempts INT", ["item"], "event_id")
+        self.dead = VersionedTable(spark, f"{folder}/dead", "event_id LONG, outcome STRING, reason STRING, exhausted BOOLEAN, attempts INT", ["event_id"], "attempts")
+
+    def receive(self, batch: DataFrame, stream: str, number: int) -> None:
+        """Let a batch of events wait; each is due at once."""
+        self.waiting.apply(batch.withColumn("next_attempt_at", F.col("received_at")), stream, number)
+
+    def next_due(self):
+        """When the first of those that wait is due; None if none waits."""
+        return self.waiting.snapshot().agg(F.min("next_attempt_at")).first()[0]
+
+    def work(self, now, most: int | None = ROUND) -> dict[str, int]:
+        """One round: the oldest ``most`` (1 to MOST; None: all) due events go through the ladder. Counts by outcome."""
+        due = self.waiting.snapshot().where(F.col("next_attempt_at") <= F.lit(now)).withColumn("failed", F.col("attempts") < F.col("fails"))
+        if most is not None:
+            due = due.orderBy("received_at", "event_id").limit(max(1, min(most, MOST)))
+        judged = queueing.outcomes(due, self.connections, self.items, self.handled, self.vocabulary).persist()
         try:
-            last = F.max_by(F.struct("event_id", "status"), "event_id").alias("b")
-            best = judged.where("outcome = 'applied'").groupBy("item").agg(last).select("item", "b.*")
-            held = spark.read.schema(shape).parquet(f"{folder}/state={number - 1}") if number else spark.createDataFrame([], shape)
-            upsert_latest(held, best, ["item"], "event_id").write.mode("overwrite").parquet(f"{folder}/state={number}")
-            queueing.dead_letters(judged).write.mode("overwrite").parquet(f"{folder}/dead={number}")
-            judged.where("outcome = 'deferred'").withColumn("attempts", F.col("attempts") + 1).write.mode("overwrite").parquet(f"{folder}/deferred={number}")
+            counts = {r.outcome: r["count"] for r in judged.groupBy(F.split_part("outcome", F.lit(":"), F.lit(1)).alias("outcome")).count().collect()}
+            if counts:
+                number = self.waiting.manifest()["number"]
+                last = F.max_by(F.struct("event_id", "status", "attempts"), "event_id").alias("b")
+                self.state.apply(judged.where("outcome = 'applied'").groupBy("item").agg(last).select("item", "b.*"), "rounds", number)
+                self.dead.apply(queueing.dead_letters(judged), "rounds", number)
+                tried = judged.withColumn("attempts", F.col("attempts") + 1)
+                later = tried.withColumn("next_attempt_at", F.lit(now) + queueing.seconds(backoff_delivery(F.col("attempts"))))
+                self.waiting.apply(later, "rounds", number, gone=F.col("outcome") != "deferred")
         finally:
             judged.unpersist()
+        return counts
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def stream(self, events: DataFrame, checkpoint: str, clock: Callable, most: int | None = ROUND) -> StreamingQuery:
+        """Receive the events that are there and work a round after each micro-batch."""
+        spark = events.sparkSession
 
+        def apply(batch: DataFrame, number: int) -> None:
+            self.receive(batch, stream_name(spark, checkpoint), number)
+            self.work(clock(), most)
 
-class WindowCounter(StatefulProcessor):
-    """The rate limiter's window, anchored at a key's first event, as keyed state that ends with its time to live."""
+        return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def __init__(self, most: int, window: float):
-        self.most, self.window = most, window
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = StructType([StructField("began", DoubleType()), StructField("count", LongType())])
-        self.state = handle.getValueState("window", shape)
+class Drained(StreamingQueryListener):
+    """Sees from the progress of a query, which says of every tick, that nothing is pending any more."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        began, count = self.state.get() if self.state.exists() else (None, 0)
-        out = []
-        for frame in rows:
-            for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-                at = row.ts.timestamp()
-                began, count = (at, 1) if began is None or at - began >= self.window else (began, count + 1)
-                out.append((key[0], row.event_id, count <= self.most, count))
-        self.state.update((began, count))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "count"])
+    def __init__(self, name: str, pending: Callable[[], bool]):
+        self.name, self.pending, self.idle = name, pending, False
 
-    def close(self) -> None:
+    def onQueryStarted(self, event) -> None:
         pass
 
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name == self.name:
+            self.idle = not self.pending()
 
-def rate_limited(events: DataFrame, most: int, window: float) -> DataFrame:
-    """Whether each event is within its user's limit; files must come in order of time."""
-    ship(events.sparkSession)
-    shape = "user_id LONG, event_id LONG, allowed BOOLEAN, count LONG"
-    return events.groupBy("user_id").transformWithStateInPandas(WindowCounter(most, window), shape, "Append", "None")
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def drain(queue: InboundQueue, spark: SparkSession, checkpoint: str, clock: Callable, most: int | None = ROUND, every: str = "1 second", patience: float = 600) -> int:
+    """Tick until nothing waits any more, and then stop by itself; how many rounds did something.
+
+    The ticks are the micro-batches of a rate source, so a driver that restarts goes on where it was; a listener sees
+    that the queue is empty and the query ends.
+    """
+    worked = []
+
+    def round_(batch: DataFrame, number: int) -> None:
+        worked.append(bool(queue.work(clock(), most)))
+
+    watch = Drained(f"drain-{id(queue)}", lambda: queue.next_due() is not None)
+    spark.streams.addListener(watch)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = ticks.writeStream.queryName(watch.name).foreachBatch(round_).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        until = time.monotonic() + patience
+        while query.isActive and not watch.idle and time.monotonic() < until:
+            query.awaitTermination(0.2)
+    finally:
+        query.stop()
+        spark.streams.removeListener(watch)
+    if not watch.idle:
+        raise TimeoutError("the queue isn't empty yet")
+    return sum(worked)

@@ -1,4 +1,4 @@
-"""Truth tables, invariants, folds and streams."""
+"""Truth tables and invariants."""
 
 import itertools
 
@@ -7,7 +7,6 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillstone.operators import access, lifecycle, matching, merge, queueing
-from quillstone.streaming import events, folds
 
 
 def test_permission_truth_table(spark):
@@ -92,51 +91,3 @@ def test_breaker(spark):
     df = spark.createDataFrame([("s", n, float(n), ok) for n, ok in enumerate([False, False, True, False, False, False, True])], "who string, n int, at double, ok boolean")
     found = {r.n: (r.is_open, r.failures, r.tripped) for r in folds.fold(df, "who", "at", "n", *folds.circuit_breaker(3, 100.0)).collect()}
     assert found == {0: (False, 1, False), 1: (False, 2, False), 2: (False, 0, False), 3: (False, 1, False), 4: (False, 2, False), 5: (False, 0, True), 6: (True, 0, False)}
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    """Deduplication, versioned state and the anchored window over a stream of files give what a batch gives."""
-    batch = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts", "event_id")
-    folder = str(tmp_path / "in")
-    batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(folder)
-
-    query = events.deduplicated(events.source(spark, folder, 10), "user_id", "100 days").writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.sql("SELECT count(*) FROM seen").first()[0] == batch.select("user_id").distinct().count()
-
-    rows = events.source(spark, folder, 1).select("user_id", "event_id", "event_type", "value")
-    events.apply_into(rows, str(tmp_path / "state"), str(tmp_path / "mark"), ["user_id"], "event_id").awaitTermination()
-    last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    state = {r.user_id: r.event_id for r in spark.read.parquet(str(last)).collect()}
-    assert state == {r.user_id: r.m for r in batch.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
-
-
-def test_judged_stream(spark, tmp_path):
-    """Micro-batches go through the same ladder as a batch: applied to state, dead with a reason, or put off."""
-    rows = [(n, n % 4, ("view", "odd")[n % 11 == 0], (None if n % 7 == 0 else n % 5), ("selected", "bad")[n % 13 == 0], n % 6, n % 8 == 0) for n in range(1, 200)]
-    shape = "event_id long, connection long, event_type string, item long, status string, attempts int, failed boolean"
-    batch = spark.createDataFrame(rows, shape)
-    batch.repartitionByRange(3, "event_id").write.parquet(str(tmp_path / "in"))
-    links = spark.createDataFrame([(0, "active", 1), (1, "active", 1), (2, "revoked", 1)], "connection long, state string, org int")
-    owned = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 1)], "item long, org int")
-    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    folder = str(tmp_path / "out")
-    events.apply_judged(stream, links, owned, ["view"], ["selected"], folder, str(tmp_path / "mark")).awaitTermination()
-    judged = queueing.outcomes(batch, links, owned, ["view"], ["selected"])
-    last = max((tmp_path / "out").glob("state=*"), key=lambda p: int(p.name.split("=")[1]))
-    state = {r.item: r.event_id for r in spark.read.parquet(str(last)).collect()}
-    assert state == {r.item: r.m for r in judged.where("outcome = 'applied'").groupBy("item").agg(F.max("event_id").alias("m")).collect()} and state
-    dead = {r.event_id: (r.reason, r.exhausted) for r in spark.read.parquet(f"{folder}/dead=*").collect()}
-    assert dead == {r.event_id: (r.reason, r.exhausted) for r in queueing.dead_letters(judged).collect()} and {x for _, x in dead.values()} == {True, False}
-    assert spark.read.parquet(f"{folder}/deferred=*").count() == judged.where("outcome = 'deferred'").count() > 0
-
-
-def test_stateful_window_equals_fold(spark, tmp_path):
-    batch = spark.read.parquet(f"{DATA}/events.parquet").where("user_id < 6")
-    folder = str(tmp_path / "in")
-    batch.coalesce(1).write.parquet(folder)
-    query = events.rate_limited(events.source(spark, folder), 5, 86400.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    timed = batch.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select("user_id", "event_id", "at")
-    fold = {r.event_id: (r.allowed, r["count"]) for r in folds.fold(timed, "user_id", "at", "event_id", *folds.rate_limit(5, 86400.0)).collect()}
-    assert {r.event_id: (r.allowed, r["count"]) for r in spark.sql("SELECT * FROM limited").collect()} == fold
