@@ -46,3 +46,8 @@ def fold_status(groups: DataFrame, facts: DataFrame, key: str, failed: Column, p
     return groups.select(key).join(held, key, "left").select(key, status.alias("status"))
 
 
+def readiness(items: DataFrame, upload: str, staged: Column, patched: Column, source: Column) -> DataFrame:
+    """For each upload how many rows wait (staged ones, and those that wait for their patch only), how many staged ones still
+    wait for source work, and whether it can be published: none does. An upload whose rows all matched has patches alone."""
+    held = tally(items.where(staged | patched), upload, outstanding=staged & source).withColumnRenamed("total", "staged")
+    return held.select(upload, "staged", "outstanding", (F.col("outstanding") == 0).alias("ready"))

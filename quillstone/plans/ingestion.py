@@ -62,9 +62,26 @@ def coerce_enum(t: Tables) -> DataFrame:
     return both.select("cell", coerce.availability(F.col("cell")).alias("availability"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def _decoded_sql(x: str) -> str:
+    for entity, char in S.ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+# A quarter of the pages keep their title; the others have it renamed, and two of them name it in a meta element.
+_UNTITLED = "replace(html, 'title>', 'name>')"
+_TITLED = (
+    f"CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN '<meta property=\"og:title\" content=\"Site &amp; ' || page_id || '\">' || {_UNTITLED} "
+    f"WHEN 2 THEN '<META content=\"P ' || repeat('x', 300) || '\" property=\"og:title\">' || {_UNTITLED} ELSE {_UNTITLED} END"
+)
+_SQUASHED = f"trim(regexp_replace({_decoded_sql("regexp_replace(regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"SELECT page_id, substr(CASE page_id % 4 WHEN 0 THEN {_SQUASHED.replace('{tag}', 'title')} WHEN 1 THEN 'Site & ' || page_id WHEN 2 THEN 'P ' || repeat('x', 300) ELSE {_SQUASHED.replace('{tag}', 'h1')} END, 1, 200) AS title FROM pages"
+)
 def html_title(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", S.html_title(F.col("html")).alias("title"))
+    return t.pages.select("page_id", F.expr(_TITLED).alias("html")).select("page_id", S.html_title(F.col("html")).alias("title"))
 
 
 def _text_sql() -> str:
@@ -151,19 +168,42 @@ def html_lines(t: Tables) -> DataFrame:
     return body.select("page_id", F.md5("body").alias("body_md5"), size.alias("n_body"), (size - F.length(F.replace("body", F.lit("\n"), F.lit("")))).cast("long").alias("n_breaks"))
 
 
-_IMAGES = ["http://cdn.example.org/a.png", "//cdn.example.org/b.png", "/img/c.png", "./d/e.png", "f.png?w=2", "data:image/png;base64,AA", "#top"]
+# The links of a page's menu as its images, in a folder beside the page's own, with an entity in the address.
+_PICTURED = "replace(replace(replace(html, '<nav>', '<div>'), '</nav>', '</div>'), '<a href=\"/', '<img alt=\"x\" SRC=\"../i&amp;j/./')"
+_LINKS = (
+    "SELECT page_id, href, min(place) AS first FROM (SELECT page_id, unnest(links) AS href, unnest(range(len(links))) AS place FROM "
+    "(SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"/([^\"]*)\"', 1) AS links FROM pages) p) x GROUP BY page_id, href"
+)
+# The address of the folder above a page's own.
+_ABOVE = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)((?:/[^/]+)*?)(?:/[^/]+)?/[^/]*$', '\\1\\2')"
+
+
+@query(f"SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first) - 1)::INT AS place, {_ABOVE} || '/i&j/' || href AS image FROM ({_LINKS}) l JOIN pages USING (page_id) QUALIFY place < 20")
+def html_images(t: Tables) -> DataFrame:
+    return S.html_images(t.pages.select("page_id", "url", F.expr(_PICTURED).alias("html")), "page_id", "html", "url")
+
+
+# The paragraphs of a page as the rows of a table, each with two images.
+_TABLED = (
+    "replace(replace(replace(replace(html, '<article>', '<article><table>'), '</article>', '</table></article>'), '<p>', "
+    "'<tr><td><img src=\"/p.png\"><img src=\"//cdn.example.org/q/../r.png\">'), '</p>', '</td></tr>')"
+)
+_PARAGRAPHS = "SELECT page_id, url, unnest(ps) AS p, unnest(range(len(ps)))::INT AS row, len(ps) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS ps FROM pages) x"
+
+
+_PLAIN = _decoded_sql("regexp_replace(p, '<[^>]*>', ' ', 'g')")
+
+
+@query(f"SELECT page_id, row, 0 AS col, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS value FROM ({_PARAGRAPHS}) x WHERE n > 1")
+def html_tables(t: Tables) -> DataFrame:
+    return S.html_tables(t.pages.select("page_id", F.expr(_TABLED).alias("html")), "page_id", "html").select("page_id", "row", "col", "value")
 
 
 @query(
-    "WITH p AS (SELECT page_id, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_replace(url, '[?#].*$', '') AS path FROM pages), "
-    "q AS (SELECT *, CASE WHEN path = origin THEN origin || '/' ELSE regexp_extract(path, '^(.*/)', 1) END AS folder FROM p) "
-    "SELECT page_id, place::INT AS place, image FROM (SELECT page_id, 0 AS place, 'http://cdn.example.org/a.png' AS image FROM q UNION ALL SELECT page_id, 1, scheme || '://cdn.example.org/b.png' FROM q UNION ALL SELECT page_id, 2, origin || '/img/c.png' FROM q "
-    "UNION ALL SELECT page_id, 3, folder || 'd/e.png' FROM q UNION ALL SELECT page_id, 4, folder || 'f.png?w=2' FROM q) x"
+    f"SELECT page_id, row, i::INT AS place, CASE i WHEN 0 THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/p.png' ELSE regexp_extract(url, '^(https?:)', 1) || '//cdn.example.org/r.png' END AS image FROM ({_PARAGRAPHS}) x, range(2) r(i) WHERE n > 1"
 )
-def html_images(t: Tables) -> DataFrame:
-    tags = "".join(f'<p><IMG class="x" {"data-" if k % 2 else ""}src="{x}"></p>' for k, x in enumerate([*_IMAGES, *_IMAGES]))
-    page = F.concat(F.lit('<nav><img src="/logo.png"></nav><!-- <img src="/old.png"> -->'), "html", F.lit(tags))
-    return S.html_images(t.pages.select("page_id", "url", page.alias("html")), "page_id", "html", "url")
+def html_row_images(t: Tables) -> DataFrame:
+    return S.html_row_images(t.pages.select("page_id", "url", F.expr(_TABLED).alias("html")), "page_id", "html", "url").select("page_id", "row", "place", "image")
 
 
 # A file for each order: a title that most have, a header, and a row for each line, under one of four delimiters.
@@ -372,17 +412,3 @@ def header_column_map(t: Tables) -> DataFrame:
     numbered = F.concat(name, F.lit(" "), k.cast("string"))
     left = t.part.select(k.alias("at"), numbered.alias("name")).union(t.part.select(k, F.upper(name)))
     return M.column_map(left, t.part.select(k.alias("at"), F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, numbered).otherwise("").alias("name")))
-
-
-@query(
-    "SELECT n_regionkey AS page, (row + 1)::INT AS row, 0 AS col, n_name || ' & co' AS value FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
-    "UNION ALL SELECT n_regionkey, (row + 1)::INT, 1, n_nationkey::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS row FROM nation) x "
-    "UNION ALL SELECT DISTINCT n_regionkey, 0, c, CASE c WHEN 0 THEN 'Name' ELSE 'Key no' END FROM nation, (VALUES (0), (1)) v(c)"
-)
-def html_tables(t: Tables) -> DataFrame:
-    row = F.concat(F.lit("<TR class=x>\n<td>"), F.col("n_name"), F.lit(" &amp; <b>co</b></td><td id='k'>"), F.col("n_nationkey").cast("string"), F.lit("</td></TR>"))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "<tr></tr>")
-    pages = t.nation.groupBy(F.col("n_regionkey").alias("page")).agg(rows.alias("body"))
-    around = lambda body: F.concat(F.lit("<nav><table><tr><td>a</td></tr><tr><td>b</td></tr></table></nav><!-- <table> --><table><tr><td>layout</td></tr></table><table border=1><tr><th>Name</th><th>Key\n no</th></tr>"), body, F.lit("</table>"))
-    found = S.html_tables(pages.select("page", around(F.col("body")).alias("html")), "page", "html")
-    return found.where("table = 0").select("page", "row", "col", "value")

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.headers import with_field
+from quillstone.functions.exprs import let
+from quillstone.functions.headers import field_of
 from quillstone.session import ship
 
 # Elements that are never content, and entities.
@@ -22,6 +23,7 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'
 BLOCKS = "p div section article main ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre dl dt dd".split()
 # What a reader takes of a page, and of a published sheet.
 TEXT_CAP = 120_000
+TITLE_CAP, ADDRESS_CAP, IMAGES = 200, 1500, 20
 SHEET_ROWS, SHEET_CELLS = 20_000, 400_000
 DELIMITERS = [",", "\t", ";", "|"]
 
@@ -46,29 +48,39 @@ def cells(text: Column, delimiter: Column) -> Column:
 
         return pd.Series([one(b, m) for b, m in zip(texts, marks)])
 
-    return parse(text, delimiter)
+    # So marked, it isn't evaluated anew for a filter on what it gives.
+    return parse.asNondeterministic()(text, delimiter)
+
+
+def header_of(rows: Column, scan: int = 15, least: int = 2) -> Column:
+    """struct<score,row>: of the first ``scan`` rows that with the most different known headings, the earliest of equals;
+    null where it has fewer than ``least``."""
+    known = lambda cells: F.size(F.array_distinct(F.filter(F.transform(cells, field_of), lambda f: f.isNotNull())))
+    best = F.array_max(F.transform(F.slice(rows, 1, scan), lambda cells, i: F.struct(known(cells).cast("long").alias("score"), (-i).alias("back"))))
+    return let(best, lambda b: F.when(b["score"] >= least, F.struct(b["score"].alias("score"), (-b["back"]).cast("long").alias("row"))))
 
 
 def header_rows(grids: DataFrame, key: str, rows: str, scan: int = 15, least: int = 2) -> DataFrame:
-    """key, header_row and score: of the first ``scan`` rows that with the most different known headings, the earliest of
-    equals; none where it has fewer than ``least``."""
-    each = grids.select(key, F.posexplode(F.slice(F.col(rows), 1, scan)).alias("row", "cells")).select(key, "row", F.explode("cells").alias("heading"))
-    scored = with_field(each, "heading").groupBy(key, "row").agg(F.count_distinct("field").alias("score"))
-    best = scored.groupBy(key).agg(F.max(F.struct("score", (-F.col("row")).alias("back"))).alias("b"))
-    return best.where(F.col("b.score") >= least).select(key, (-F.col("b.back")).cast("long").alias("header_row"), F.col("b.score").alias("score"))
+    """key, header_row and score of each grid that has a header."""
+    found = grids.select(key, header_of(F.col(rows), scan, least).alias("_h")).where(F.col("_h").isNotNull())
+    return found.select(key, F.col("_h.row").alias("header_row"), F.col("_h.score").alias("score"))
 
 
 def keyed_rows(grids: DataFrame, key: str, rows: str) -> DataFrame:
     """key, row, heading and cell below each grid's header; a blank heading is column_N, blank rows go."""
-    held = grids.select(key, F.col(rows).alias("_rows")).join(header_rows(grids, key, rows), key)
+    held = grids.select(key, F.col(rows).alias("_rows"), header_of(F.col(rows))["row"].alias("header_row")).where(F.col("header_row").isNotNull())
     names = F.transform(F.get(F.col("_rows"), F.col("header_row").cast("int")), lambda c, i: F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
     body = held.select(key, names.alias("names"), "header_row", F.posexplode("_rows").alias("row", "cells")).where((F.col("row") > F.col("header_row")) & F.exists("cells", lambda c: F.trim(c) != ""))
     return body.select(key, F.col("row").cast("long").alias("row"), F.posexplode("names").alias("at", "heading"), "cells").select(key, "row", "heading", F.get("cells", F.col("at")).alias("cell"))
 
 
 def html_title(html: Column) -> Column:
-    """The page's title, squashed."""
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    """The page's title, else its og:title, else its first h1, without tags, squashed; TITLE_CAP characters of it, null for none."""
+    once = lambda pattern: F.regexp_extract(html, pattern, 1)
+    stated = lambda x: F.nullif(F.trim(F.regexp_replace(_decoded(F.regexp_replace(x, "<[^>]*>", " ")), r"\s+", " ")), F.lit(""))
+    name, content = r"""property\s*=\s*["']og:title["']""", r"""content\s*=\s*["']([^"']+)["']"""
+    named = F.coalesce(F.nullif(once(rf"(?is)<meta\b[^>]*{name}[^>]*{content}"), F.lit("")), once(rf"(?is)<meta\b[^>]*{content}[^>]*{name}"))
+    return F.substring(F.coalesce(stated(once(r"(?is)<title\b[^>]*>(.*?)</title>")), stated(named), stated(once(r"(?is)<h1\b[^>]*>(.*?)</h1>"))), 1, TITLE_CAP)
 
 
 def html_text(html: Column) -> Column:
@@ -94,28 +106,65 @@ def html_lines(html: Column, most: int = TEXT_CAP) -> Column:
     return F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), 1, most)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root in which single and double dots have taken effect."""
+    parts = F.split(path, "/")
+    dot, up = (lambda s: s.rlike(r"(?i)^(?:\.|%2e)$")), (lambda s: s.rlike(r"(?i)^(?:\.|%2e){2}$"))
+    step = lambda held, s: F.when(up(s), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(1)))).when(dot(s), held).otherwise(F.array_append(held, s))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    last = F.element_at(parts, -1)
+    return let(kept, lambda k: F.concat(F.array_join(k, "/"), F.when(dot(last) | up(last) | (F.size(k) == 1), "/").otherwise("")))
+
+
 def resolved(address: Column, page: Column) -> Column:
-    """An address as it stands in a page, as an absolute one of the web; null for data, scripts, mail and places in the page."""
+    """An address as it stands in a page, as an absolute one of the web; null for data, scripts, mail and places in the page.
+
+    Entities are decoded, scheme and host are in lower case, dots in the path take effect and a space is %20; what is
+    longer than ADDRESS_CAP is none. Letters beyond ASCII stay as they are.
+    """
     origin, scheme = F.regexp_extract(page, "(?i)^(https?://[^/?#]+)", 1), F.regexp_extract(page, "(?i)^(https?):", 1)
     folder = F.regexp_extract(F.regexp_replace(page, "[?#].*$", ""), "(?i)^(https?://[^/]+(?:/.*/|/|$))", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    at = F.trim(address)
-    return (
-        F.when((at == "") | at.startswith("#") | (origin == ""), None)
-        .when(at.rlike("(?i)^https?://"), at)
-        .when(at.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(at.startswith("//"), F.concat(scheme, F.lit(":"), at))
-        .when(at.startswith("/"), F.concat(origin, at))
-        .otherwise(F.concat(folder, F.regexp_replace(at, r"^(?:\./)+", "")))
-    )
-
-
-def html_images(pages: DataFrame, key: str, html: str, url: str, most: int = 60) -> DataFrame:
+
+    def absolute(at: Column) -> Column:
+        return (
+            F.when((at == "") | at.startswith("#") | (origin == ""), None)
+            .when(at.rlike("(?i)^https?://"), at)
+            .when(at.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+            .when(at.startswith("//"), F.concat(scheme, F.lit(":"), at))
+            .when(at.startswith("/"), F.concat(origin, at))
+            .when(at.startswith("?"), F.concat(F.regexp_replace(page, "[?#].*$", ""), at))
+            .otherwise(F.concat(folder, at))
+        )
+
+    def normal(x: Column) -> Column:
+        part = lambda k: F.regexp_extract(x, r"(?is)^(https?://[^/?#]+)([^?#]*)(.*)$", k)
+        path = let(F.coalesce(F.nullif(part(2), F.lit("")), F.lit("/")), _without_dots)
+        return F.replace(F.concat(F.lower(part(1)), path, part(3)), F.lit(" "), F.lit("%20"))
+
+    found = let(let(F.trim(_decoded(address)), absolute), normal)
+    return F.when(F.length(found) <= ADDRESS_CAP, found)
+
+
+def _images(fragment: Column, page: Column, most: int) -> Column:
+    """The first different images of a fragment, as absolute addresses."""
+    tags = F.regexp_extract_all(fragment, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+    source = lambda x: F.nullif(F.regexp_extract(x, r"""(?is)\bsrc\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
+    return F.slice(F.array_distinct(F.filter(F.transform(tags, lambda x: resolved(source(x), page)), lambda x: x.isNotNull())), 1, most)
+
+
+def html_images(pages: DataFrame, key: str, html: str, url: str, most: int = IMAGES) -> DataFrame:
     """key, place and image of the first ``most`` different images of each page, as absolute addresses; chrome has none."""
-    tags = F.regexp_extract_all(without_chrome(F.col(html)), F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
-    source = lambda x: F.nullif(F.regexp_extract(x, r"""(?is)\s(?:data-)?src\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-    images = F.array_distinct(F.filter(F.transform(tags, lambda x: resolved(source(x), F.col(url))), lambda x: x.isNotNull()))
-    return pages.select(key, F.posexplode(F.slice(images, 1, most)).alias("place", "image"))
+    return pages.select(key, F.posexplode(_images(without_chrome(F.col(html)), F.col(url), most)).alias("place", "image"))
+
+
+def html_row_images(pages: DataFrame, key: str, html: str, url: str, most: int = IMAGES) -> DataFrame:
+    """key, table, row, place and image: what stands in a row of a table, whose numbers are those of ``html_tables``, belongs to it."""
+    taken = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rows = lambda table: F.filter(taken(table, r"(?is)<tr\b.*?</tr>"), lambda r: r.rlike(r"(?is)<(t[hd])\b[^>]*>.*?</\1>"))
+    tables = F.filter(F.transform(taken(without_chrome(F.col(html)), r"(?is)<table\b.*?</table>"), rows), lambda t: F.size(t) > 1)
+    each = pages.select(key, url, F.posexplode(tables).alias("table", "_rows")).select(key, url, "table", F.posexplode("_rows").alias("row", "_row"))
+    return each.select(key, "table", "row", F.posexplode(_images(F.col("_row"), F.col(url), most)).alias("place", "image"))
 
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -130,7 +130,9 @@ def test_keys_at_any_depth(spark):
 
 @pytest.mark.parametrize(
     "address,at,found",
-    [("a.png", "https://x.org", "https://x.org/a.png"), ("a.png", "https://x.org/d/e?q=/f", "https://x.org/d/a.png"), ("/a.png", "https://x.org/d/e", "https://x.org/a.png"), ("//y.org/a", "http://x.org/", "http://y.org/a"), ("HTTP://y.org/a", "http://x.org/", "HTTP://y.org/a")]
+    [("a.png", "https://x.org", "https://x.org/a.png"), ("a.png", "https://x.org/d/e?q=/f", "https://x.org/d/a.png"), ("/a.png", "https://x.org/d/e", "https://x.org/a.png"), ("//y.org/a", "http://x.org/", "http://y.org/a"), ("HTTP://Y.org/a", "http://x.org/", "http://y.org/a")]
+    + [("../a.png", "http://x.org/p/q/", "http://x.org/p/a.png"), ("../../../a", "http://x.org/p/q/r", "http://x.org/a"), ("./b/../c/.", "http://x.org/p", "http://x.org/c/"), ("..", "http://x.org/p/q/r", "http://x.org/p/"), ("a?x=1&amp;y=../z", "http://x.org/", "http://x.org/a?x=1&y=../z")]
+    + [("a b.png", "http://x.org/", "http://x.org/a%20b.png"), ("http://x.org", "http://x.org/", "http://x.org/"), ("?w=2", "http://x.org/p?v=1", "http://x.org/p?w=2"), ("a" * 1500, "http://x.org/", None), ("/%2E%2e/a", "http://x.org/p/", "http://x.org/a")]
     + [("data:image/png,1", "http://x.org/", None), ("#a", "http://x.org/", None), (" ", "http://x.org/", None), ("a", "no address", None)],
 )
 def test_resolved(spark, address, at, found):
@@ -166,3 +168,25 @@ def test_published_sheet(spark):
     )
     found = [tuple(r) for r in readers.published_sheet(spark.createDataFrame([(1, page), (2, None), (3, "no table")], "k int, h string"), "k", "h").collect()]
     assert found == [(1, 1, 0, "Lot & plan", None), (1, 1, 2, "Tall", None), (1, 2, 0, "p", "https://example.org/p.pdf"), (1, 2, 1, "b", None), (1, 2, 3, "after", None), (1, 3, 0, "c d", None), (1, 3, 1, "no", None), (1, 3, 2, "own", None)]
+
+
+def test_title_fallbacks(spark):
+    meta = """<META content='Og &amp; <b>x</b>' name=a property="og:title">"""
+    cases = [("<title> a\n<b>b</b> </title><h1>c</h1>", "a b"), (f"<title> </title>{meta}<h1>c</h1>", "Og & x"), ("<h1 class=q>Lot <i>5</i></h1><h1>d</h1>", "Lot 5"), (f"<title>{'t' * 300}</title>", "t" * 200), ("<p>x</p>", None), (None, None)]
+    for page, title in cases:
+        assert one(spark, readers.html_title, page) == title, page
+
+
+def test_images_of_rows(spark):
+    page = '<img src="/top.png"><table><tr><th>A</th></tr><tr></tr><tr><td><img src="a.png"><IMG src=\'a.png\'><img data-src="../b.png"></td></tr><tr><td><img src="data:x"></td></tr></table><table><tr><td><img src="/lay.png"></td></tr></table>'
+    df = spark.createDataFrame([(1, page, "http://x.org/p/q")], "k int, h string, u string")
+    assert [tuple(r) for r in readers.html_row_images(df, "k", "h", "u").orderBy("place").collect()] == [(1, 0, 1, 0, "http://x.org/p/a.png"), (1, 0, 1, 1, "http://x.org/b.png")]
+    many = spark.createDataFrame([(1, "".join(f'<img src="{i}.png">' for i in range(30)), "http://x.org/")], "k int, h string, u string")
+    assert [r.place for r in readers.html_images(many, "k", "h", "u").collect()] == list(range(20))
+
+
+def test_header_is_chosen_in_place(spark, capsys):
+    files = spark.createDataFrame([(1, CSV)], "file int, body string").withColumn("mark", readers.sniffed(F.col("body")))
+    readers.keyed_rows(files.select("file", readers.cells(F.col("body"), F.col("mark")).alias("rows")), "file", "rows").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
