@@ -29,7 +29,9 @@ TOP = 2_000
 ABSORBED = 80
 SCALE = 2_000_000
 #: Characters of text in a shard, about; a longer text is one of its own.
-SHARD = 12_000_000
+SHARD = 8_000_000
+#: Numbers set aside for the shards of a task, and for the phrases of a shard: a text has at most half as many words as bytes.
+SHARDS_OF_TASK, PHRASES_OF_SHARD = 1 << 13, 1 << 30
 #: Parts over which the phrases of a language are dealt before the best of each part meet.
 PARTS = 64
 #: A language that a row doesn't state.
@@ -51,7 +53,7 @@ WORDS, BREAKS = _tables()
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shard: the words at its places (numbers of its own, a gap between pieces), and for each number its language, word and count."""
-    shard = TaskContext.get().partitionId() << 32
+    shard = TaskContext.get().partitionId() * SHARDS_OF_TASK
     for batch in batches:
         named = batch.column("lang").dictionary_encode()
         languages = named.indices.to_numpy(zero_copy_only=False)
@@ -68,14 +70,12 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
             new = np.flatnonzero((np.diff(piece) != 0) | (np.diff(document) != 0)) + 1
             places = np.insert(codes.astype(np.int32), new, _GAP)
-            lists = [
-                pa.array([places], pa.list_(pa.int32())),
-                pa.array([named.dictionary.take(pa.array(found // len(words.dictionary))).to_pylist()], pa.list_(pa.string())),
-                pa.array([words.dictionary.take(pa.array(found % len(words.dictionary))).cast(pa.large_string()).cast(pa.string()).to_pylist()], pa.list_(pa.string())),
-                pa.array([counts], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), *lists], ["shard", "places", "lang", "word", "n"])
+            texts = words.dictionary.take(pa.array(found % len(words.dictionary))).cast(pa.large_string()).cast(pa.string())
+            lists = pa.array(places), named.dictionary.take(pa.array(found // len(words.dictionary))), texts, pa.array(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists)], ["shard", "places", "lang", "word", "n"])
             shard += 1
+            if shard % SHARDS_OF_TASK == 0:
+                raise OverflowError("a task reads more shards than numbers are set aside for")
 
 
 def _extended(shard: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -109,19 +109,16 @@ def _extended(shard: pa.Table, frequent: pa.Table) -> pa.Table:
 
 
 def _frequent(layout: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
-    """shard, code, key and f: the numbers of each shard whose phrase occurs ``least`` times or more in the corpus.
+    """shard, code, key, f, id and first: the numbers of each shard whose phrase occurs ``least`` times or more in the corpus.
 
-    A phrase's rows, one from each shard, meet once; they are added up and kept apart in one exchange.
+    A phrase's rows, one from each shard, meet once: they are added up and kept apart in one exchange. Its id is the
+    least of their numbers, and the row that has this number is the first.
     """
     each = layout.select("shard", F.posexplode(F.arrays_zip(*key, "n")).alias("code", "p")).select("shard", "code", *[F.col(f"p.{c}").alias(c) for c in (*key, "n")])
-    total = F.sum("n").over(Window.partitionBy(*key))
-    return cut(each.withColumn("f", total).where(F.col("f") >= least).drop("n"), name, tidy=True)
-
-
-def _ids(seen: DataFrame, key: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """The frequent phrases with an id of their own, and each shard's numbers with these ids."""
-    phrases = cut(seen.groupBy(*key).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), name)
-    return phrases, seen.select("shard", "code", *key).join(phrases.select(*key, "id"), key).select("shard", "code", "id")
+    own = F.col("shard") * PHRASES_OF_SHARD + F.col("code")
+    alike = Window.partitionBy(*key)
+    counted = each.withColumns({"f": F.sum("n").over(alike), "id": F.min(own).over(alike)}).where(F.col("f") >= least)
+    return cut(counted.withColumn("first", own == F.col("id")).drop("n"), name, tidy=True)
 
 
 def _floor_score(a: Column, parts: Column) -> Column:
@@ -173,7 +170,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     while True:
         k = len(levels) + 1
         seen = _frequent(layout, key, least, f"phrases-seen{k}")
-        phrases, hits = _ids(seen, key, f"phrases-ids{k}")
+        phrases = seen.where("first")
         if k == 1:
             level = phrases.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
         else:
@@ -185,15 +182,15 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         levels.append(cut(level, f"phrases-level{k}"))
         if k == longest:
             break
-        lists = layout.select("shard", "places").groupBy("shard").cogroup(hits.groupBy("shard"))
+        lists = layout.select("shard", "places").groupBy("shard").cogroup(seen.select("shard", "code", "id").groupBy("shard"))
         wider = cut(lists.applyInArrow(_extended, "shard long, places array<int>, left array<long>, right array<long>, n array<long>"), f"phrases-lists{k + 1}", tidy=True)
         if k > 1:
             drop(layout)
         else:
             sizes = cut(sizes, "phrases-sizes")
             drop(layout)
-        drop(seen, phrases)
+        drop(seen)
         layout, key = wider, ["left", "right"]
-    drop(layout, seen, phrases)
+    drop(layout, seen)
     found = [_apart(_scored(levels[k - 1], k), levels[k] if k < longest else None) for k in range(2, longest + 1)]
     return best(reduce(DataFrame.unionByName, found), top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
