@@ -28,7 +28,7 @@ END = 2
 #: Bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 #: Pieces of text whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Lower-case letters that the normal form and lower-casing leave as they are.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 SLICE = 2 << 20
@@ -77,7 +77,7 @@ class Encoder:
     def _forget(self) -> None:
         """Know nothing but what ends a text."""
         self.known: dict[bytes, int] = {_END_PIECE: 0}
-        self.flat, self.at, self.n = np.array([END], np.int32), np.array([0, 1], np.int64), 1
+        self.flat, self.at, self.n = np.array([END], np.int32), np.array([0, 1], np.int32), 1
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Remember the ids of new pieces: those of lower-case letters alone by the vocabulary, others by the tokenizer."""
@@ -121,7 +121,7 @@ class Encoder:
         if self.n + len(distinct) > REMEMBERED:
             self._forget()
         known, first = self.known, self.n
-        places = np.array([known.get(p, -1) for p in distinct], np.int64)
+        places = np.array([known.get(p, -1) for p in distinct], np.int32)
         new = np.flatnonzero(places < 0)
         if len(new):
             self._learn([distinct[i] for i in new.tolist()])
@@ -130,8 +130,8 @@ class Encoder:
         which = np.insert(places[held.indices.to_numpy()], ranges[1:], known[_END_PIECE])
         starts = self.at[which]
         sizes = self.at[which + 1] - starts
-        ends = np.cumsum(sizes)
-        ids = self.flat.take(np.repeat((starts - ends + sizes).astype(np.int32), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
+        ends = np.cumsum(sizes, dtype=np.int32)
+        ids = self.flat.take(np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32))
         bounds = np.concatenate([[0], ends])[ranges + texts]
         special = self._special(data, offsets)
         if not special:
