@@ -190,3 +190,35 @@ def test_header_is_chosen_in_place(spark, capsys):
     readers.keyed_rows(files.select("file", readers.cells(F.col("body"), F.col("mark")).alias("rows")), "file", "rows").explain()
     plan = capsys.readouterr().out
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("size", [25, 1000])
+def test_delimited_files_over_ranges(spark, tmp_path, size):
+    """Ranges of a few bytes give what a serial parse of the file gives, wherever they cut quotes, breaks and letters."""
+    import csv
+    import random
+
+    from quillstone.sources.delimited import read_delimited
+
+    dice = random.Random(size)
+    cell = lambda: dice.choice(["a", "", " ", "é€😀", 'say "hi"', "x,y", "line\nbreak", '"', '""', "\n\n", "r\r\nn", "long " * 20, "1\n2\n3\n4\n5\n6\n7"])
+    wanted = {}
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n"), ("c.csv", "\n")):
+        rows = [[cell() for _ in range(3)] for _ in range(60)]
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig" if name == "b.csv" else "utf-8") as f:
+            csv.writer(f, lineterminator=end).writerows(rows)
+        wanted[name] = [r for r in rows if any(c.strip() for c in r)]
+    (tmp_path / "d.csv").write_text('open,"never closed\nto the end')
+    wanted["d.csv"] = [["open", "never closed\nto the end\n"]]
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = read_delimited(spark, str(tmp_path)).orderBy("file", "begin", "place", "nth").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    by_file = {}
+    for r in found:
+        by_file.setdefault(r.file.rsplit("/", 1)[1], []).append(r.cells)
+    assert by_file == wanted and len({r.begin for r in found}) > (10 if size < 100 else 3)
