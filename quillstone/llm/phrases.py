@@ -29,7 +29,7 @@ TOP = 2_000
 ABSORBED = 80
 SCALE = 2_000_000
 #: Characters of text in a shard, about; a longer text is one of its own.
-SHARD = 8_000_000
+SHARD = 12_000_000
 #: Numbers set aside for the shards of a task, and for the phrases of a shard: a text has at most half as many words as bytes.
 SHARDS_OF_TASK, PHRASES_OF_SHARD = 1 << 13, 1 << 30
 #: Parts over which the phrases of a language are dealt before the best of each part meet.
@@ -87,7 +87,10 @@ def _extended(shard: pa.Table, frequent: pa.Table) -> pa.Table:
     if not shard.num_rows or not frequent.num_rows:
         return schema.empty_table()
     numbers = shard.column("places").combine_chunks().flatten().to_numpy()
-    code = frequent.column("code").to_numpy()
+    # In order of ids, so that the pairs of a shard come sorted.
+    ids = frequent.column("id").to_numpy()
+    order = np.argsort(ids)
+    ids, code = ids[order], frequent.column("code").to_numpy()[order]
     # Inverted lists of the frequent phrases, end to end: places in order of phrase and place.
     which = np.full(int(max(numbers.max(), code.max())) + 2, _GAP, np.int64)
     which[code] = np.arange(len(code))
@@ -103,7 +106,6 @@ def _extended(shard: pa.Table, frequent: pa.Table) -> pa.Table:
     places[at] = own
     # Gaps at the ends and runs of gaps say no more than one gap.
     kept = (places != _GAP) | np.concatenate([[False], places[:-1] != _GAP])
-    ids = frequent.column("id").to_numpy()
     values = [places[kept]], [ids[pairs // len(code)]], [ids[pairs % len(code)]], [lengths]
     return pa.Table.from_arrays([shard.column("shard").combine_chunks(), *(pa.array(v, schema.field(k + 1).type) for k, v in enumerate(values))], schema=schema)
 
