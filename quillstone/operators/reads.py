@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.exprs import search_pattern
@@ -70,3 +70,30 @@ def clamp_limit(n: int | None, default: int = 100, most: int = 200) -> int:
 def vocabulary_rank(column: Column, vocabulary: Sequence[str]) -> Column:
     """The place of a value in an ordered vocabulary, from 1; 0 for values it doesn't name."""
     return F.coalesce(F.array_position(F.array(*map(F.lit, vocabulary)), column), F.lit(0)).cast("long")
+
+
+class ShortRead(RuntimeError):
+    """A read came back with other than the rows it was to have."""
+
+
+def whole(df: DataFrame, expected: int, action):
+    """action(df), of which every row is counted on its way: ShortRead if they aren't ``expected``. There is no second pass."""
+    seen = Observation()
+    result = action(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    if seen.get["n"] != expected:
+        raise ShortRead(f"{seen.get['n']} rows instead of {expected}")
+    return result
+
+
+def paged_rows(pages: DataFrame, source: str, page: str, rows: str, stated: str) -> DataFrame:
+    """source, page and row of all pages (an array of rows each), whose sources state how many rows they have in all.
+
+    The job that reads them fails where a source's pages are short of what it states, or don't agree on it, so no part of
+    a source passes for the whole.
+    """
+    over = Window.partitionBy(source)
+    found = F.sum(F.size(rows)).over(over)
+    held = pages.withColumns({"_found": found, "_least": F.min(stated).over(over), "_most": F.max(stated).over(over)})
+    short = F.concat(F.lit("short read of "), F.col(source).cast("string"), F.lit(": "), F.col("_found").cast("string"), F.lit(" rows instead of "), F.coalesce(F.col("_most").cast("string"), F.lit("?")))
+    whole_ = F.assert_true(F.coalesce((F.col("_found") == F.col("_least")) & (F.col("_found") == F.col("_most")), F.lit(False)), short)
+    return held.select(source, page, F.explode(F.when(whole_.isNull(), F.col(rows))).alias("row"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import access as A
+from quillstone.operators.tablefunctions import register_access
 from quillstone.plans.aggregates import AS_OF, at
 from quillstone.plans.joins import _ACCESS, accessible_customers
-from quillstone.registry import Tables, query
+from quillstone.registry import ORACLES, Tables, query
 
 _KEYS = "(VALUES ('units', false, 'standard'), ('finance', true, 'standard'), ('network', false, 'inbound_projection'), ('projects', false, 'standard')) AS k(permission, is_forbidden, key_kind)"
 _ASKED = "(VALUES ('units'), ('finance'), ('network'), ('projects'), ('typo')) AS a(permission)"
@@ -70,6 +71,11 @@ _PROJECT = "CASE level " + " ".join(f"WHEN '{x}' THEN {d}" for x, d in _BY_PROJE
     f"WHEN {_PROJECT} = 'allow' OR (level = 'view' AND o_orderkey % 13 = 0) THEN true ELSE {_LADDER} END"
 )
 def accessible_entities(t: Tables) -> DataFrame:
+    return _granted(t).select("project", "level")
+
+
+def _granted(t: Tables) -> DataFrame:
+    """user, project and level of what users may see, edit and delete."""
     orders = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     until = F.col("o_orderdate") + F.expr("INTERVAL 1000 DAYS")
     json = F.when(F.col("o_orderkey") % 11 == 0, '{"units":{"view":"deny"}}').when(F.col("o_orderkey") % 13 == 0, '{"units":{"view":"allow"}}').otherwise("{}")
@@ -80,7 +86,14 @@ def accessible_entities(t: Tables) -> DataFrame:
     asked = orders.select(F.col("c_custkey").alias("user"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission")).crossJoin(F.broadcast(_sql(t, _LEVELS)))
     by_project = orders.select((F.col("c_custkey") * 10).alias("membership_id"), F.col("o_orderkey").alias("project"), F.lit("units").alias("permission"), *[F.expr(d).alias(f"{x}_decision") for x, d in _BY_PROJECT.items()])
     keys, members, defaults, overrides = _frames(t)
-    return A.project_permission(asked, grants, keys, members, defaults, overrides, by_project, at(AS_OF)).where("allowed").select("project", "level")
+    return A.project_permission(asked, grants, keys, members, defaults, overrides, by_project, at(AS_OF)).where("allowed").select("user", "project", "level")
+
+
+@query("SELECT c_custkey, count(project) AS editable FROM customer LEFT JOIN (SELECT o_custkey, project FROM (" + ORACLES["accessible_entities"] + ") a JOIN orders ON o_orderkey = project WHERE level = 'edit') x ON o_custkey = c_custkey GROUP BY c_custkey")
+def access_function(t: Tables) -> DataFrame:
+    """The access set of every customer by a table function of SQL, joined laterally."""
+    register_access(t.spark, "accessible_projects", _granted(t), "user", "project")
+    return t.spark.sql("SELECT c_custkey, count(p.project) AS editable FROM {customers} LEFT JOIN LATERAL accessible_projects(c_custkey, 'edit') AS p ON true GROUP BY c_custkey", customers=t.customer)
 
 
 @query(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quillstone.functions.exprs import backoff_claim, backoff_delivery
 from quillstone.operators import leases
 from quillstone.operators import queueing as Q
+from quillstone.operators.tablefunctions import register_functions
 from quillstone.plans.aggregates import EVENTS_AS_OF, at
-from quillstone.registry import Tables, query
+from quillstone.registry import ORACLES, Tables, query
 from quillstone.session import scratch
 from quillstone.sources.versioned import VersionedTable
 from quillstone.streaming import folds
@@ -174,6 +175,14 @@ def rate_limit_fold(t: Tables) -> DataFrame:
     return folds.fold(_timed(t).select("user_id", "event_id", "at"), "user_id", "at", "event_id", *folds.rate_limit(5, 86400.0))
 
 
+@query("SELECT user_id, event_id, allowed, count FROM (" + ORACLES["rate_limit_fold"] + ") f")
+def rate_limited_sql(t: Tables) -> DataFrame:
+    """The same fold as a table function of SQL, over partitions in order."""
+    register_functions(t.spark)
+    rows = _timed(t).where(F.col("user_id").isNotNull()).select(F.col("user_id").alias("key"), "at", F.col("event_id").alias("tie"))
+    return t.spark.sql("SELECT key AS user_id, tie AS event_id, allowed, count FROM rate_limited(TABLE(SELECT * FROM {rows}), 5, 86400)", rows=rows)
+
+
 @query(
     f"WITH RECURSIVE {_ORDERED}, r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS rn, 0 AS held, NULL::DOUBLE AS until_s, false AS is_open, 0 AS failures, false AS tripped FROM e UNION ALL "
     "SELECT e.user_id, e.event_id, e.rn, CASE WHEN ok OR held + 1 >= 3 THEN 0 ELSE held + 1 END, CASE WHEN ok THEN NULL WHEN held + 1 >= 3 THEN e.at_s + 7200 ELSE until_s END, coalesce(until_s > e.at_s, false), "

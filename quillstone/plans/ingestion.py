@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import coerce, files, headers, privacy
 from quillstone.operators import matching as M
+from quillstone.operators.tablefunctions import register_functions
 from quillstone.registry import Tables, query
+from quillstone.session import scratch
 from quillstone.sources import readers as S
+from quillstone.sources.delimited import read_delimited
+from quillstone.sources.sinks import csv_line
 
 _HEADINGS = ["Land Size (m2)", "LAND $", "Package Price - V002", "Build Price - V002", "Lot #", "BED // BATH // CAR", "  Estate  Name ", "House m²", "Yield %", "Status", "", "Suburb/Town", "Price V12"]
 _CELLS = ["$749,000", "3.5", "3+1", "POA", "From $749,000", "n/a", "TBC", " 1,234.50 ", "-7", "$ 12", "none", "12 to 14", ""]
@@ -261,6 +265,26 @@ def ingest_delimited(t: Tables) -> DataFrame:
     return S.keyed_rows(_grids(t), "file", "rows")
 
 
+@query(
+    f"SELECT file, CAST(CASE WHEN file % 5 > 0 THEN rn + 1 ELSE rn END AS BIGINT) AS row, no::VARCHAR AS lot_number, '$' || price AS price, NULL::VARCHAR AS suburb FROM ({_ROWS}) x"
+)
+def delimited_sql(t: Tables) -> DataFrame:
+    """The files by a table function of SQL, whose columns are those that the call names."""
+    register_functions(t.spark)
+    return t.spark.sql("SELECT * FROM delimited_rows(TABLE(SELECT file, body, mark FROM {files}), 'lot_number, price, suburb')", files=_files(t))
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, md5('say \"' || o_orderpriority || '\",' || chr(10) || o_orderkey || chr(10) || ' end') AS said_md5, '' AS none, o_orderstatus AS status FROM orders")
+def ingest_split_files(t: Tables) -> DataFrame:
+    """All orders as delimited files with quotes and line breaks in their cells, read back by byte ranges."""
+    said = F.concat(F.lit('say "'), "o_orderpriority", F.lit('",\n'), F.col("o_orderkey").cast("string"), F.lit("\n end"))
+    path = scratch(t.spark, "delimited")
+    lines = t.orders.select("o_orderkey", said.alias("said"), F.lit(None).cast("string").alias("none"), "o_orderstatus")
+    lines.select(csv_line(lines).alias("value")).write.text(path)
+    cell = lambda k: F.col("cells")[k]
+    return read_delimited(t.spark, path).select(cell(0).alias("key"), F.md5(cell(1)).alias("said_md5"), cell(2).alias("none"), cell(3).alias("status"))
+
+
 @query("SELECT DISTINCT l_orderkey AS file, CASE WHEN l_orderkey % 5 > 0 THEN 1 ELSE 0 END::BIGINT AS header_row, 3::BIGINT AS score FROM lineitem")
 def header_row(t: Tables) -> DataFrame:
     return S.header_rows(_grids(t), "file", "rows")

@@ -27,6 +27,14 @@ def scan_complete(t: Tables) -> DataFrame:
     return out
 
 
+@query("SELECT event_type AS source, event_id // 100 AS page, event_id AS id FROM events")
+def paged_scan(t: Tables) -> DataFrame:
+    """The events in pages of a hundred, each of which states how many its source has; a page that went missing fails the job."""
+    stated = t.events.groupBy("event_type").agg(F.count("*").alias("stated"))
+    pages = t.events.groupBy("event_type", F.floor(F.col("event_id") / 100).cast("long").alias("page")).agg(F.collect_list("event_id").alias("rows"))
+    return R.paged_rows(pages.join(stated, "event_type"), "event_type", "page", "rows", "stated").select(F.col("event_type").alias("source"), "page", F.col("row").alias("id"))
+
+
 @query(
     "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' "
     "AND o_totalprice >= 50000 AND o_totalprice < 150000"
