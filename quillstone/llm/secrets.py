@@ -35,12 +35,25 @@ DICTIONARY = (
     "output package page parameter password path person placeholder policy position private process product profile project property "
     "public query record release report request reset resource response result return sample schema secret section select server service "
     "session setting source start state status string style system table target template test text time title token true type update "
-    "user value version view window with world xxxx your"
+    "user value version view window with world xxxx your required undefined optional redacted"
+).split()
+# Words that people make passwords of, and words of prose that may follow a colon.
+NAMES = (
+    "hunter dragon monkey sunshine princess football baseball shadow michael jordan harley ranger buster thomas soccer tigger george summer winter purple "
+    "orange banana cookie coffee pepper ginger silver golden flower chicken horse correct battery staple river mountain thunder lucky happy freedom "
+    "matrix falcon phoenix tiger eagle rocket guitar violin london paris berlin madrid sydney diamond ruby daisy bella oliver sophie marina castle"
+).split()
+PROSE = (
+    "remember different something everyone important following necessary available forgotten protected encrypted expected incorrect mandatory minimum "
+    "anything together whenever yourself carefully regularly including otherwise prompted verified"
 ).split()
 NEAR_SECRET = rf"(?i)(?:{KEYWORDS}|bearer|authorization)"
 NEAR_HARMLESS = r"(?i)(?:sha-?\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|example|placeholder|sample|isbn|version|integrity)"
 HARMLESS_PATH = r"(?i)(?:test|spec|fixture|mock|example|sample|docs?)"
-FEATURES = "length transitions dictionary digits uppers distinct is_hex is_uuid is_path near_secret near_harmless in_tests".split()
+#: A candidate that its keyword is set to, and one that is code or a variable.
+SET_TO = rf"(?i)(?:{KEYWORDS})[\"']?[ \t]{{0,3}}[:=]+>?[ \t]{{0,3}}[\"']?$"
+CODE = r"[(){}\[\]$%]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$"
+FEATURES = "length transitions dictionary digits uppers distinct is_hex is_uuid is_path near_secret near_harmless in_tests assigned signs code".split()
 TREES, DEPTH, SEED = 25, 6, 7
 
 
@@ -66,15 +79,20 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         flag(before.rlike(NEAR_SECRET)),
         flag(before.rlike(NEAR_HARMLESS) | after.rlike(NEAR_HARMLESS)),
         flag(path.rlike(HARMLESS_PATH)),
+        flag(before.rlike(SET_TO)),
+        _count(value, "[^A-Za-z0-9_/+=-]") / n,
+        flag(value.rlike(CODE)),
     ]
     return [c.cast("double").alias(f) for f, c in zip(FEATURES, columns)]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     """value, before, after, path and label (1: a secret) of generated findings, for use where no reviewed ones are given.
 
-    Secrets: random hexadecimal, alphanumeric and base64 keys beside words of credentials. Others: checksums, commit ids
-    and UUIDs beside words for them, identifiers made of dictionary words, paths, long numbers, and long words of prose.
+    Secrets: random hexadecimal, alphanumeric and base64 keys beside words of credentials, and passwords as people make
+    them: a word with digits and a sign, with letters written as digits, two words, a few letters and digits. Others:
+    checksums, commit ids and UUIDs beside words for them, identifiers made of dictionary words, paths, long numbers, long
+    words of prose; and beside words of credentials placeholders, variables, calls and single words of prose.
     """
     n = F.col("id")
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), n.cast("string")), 256)
@@ -84,7 +102,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     prose = F.translate(h("o"), "0123456789abcdef", "etaoinshrdlucmfp").substr(F.lit(1), (F.pmod(F.xxhash64(F.lit("l"), n), F.lit(25)) + 16).cast("int"))
     cased = F.pmod(F.xxhash64(F.lit("z"), n), F.lit(3))
     filler = F.concat_ws(" ", word("f1"), word("f2"), word("f3"))
+    name = lambda salt: F.when(F.pmod(F.xxhash64(F.lit(salt), F.lit("c"), n), F.lit(3)) == 0, F.initcap(pick(salt, NAMES))).otherwise(pick(salt, NAMES))
+    number = lambda salt, most: F.pmod(F.xxhash64(F.lit(salt), n), F.lit(most)).cast("string")
+    mark = lambda salt: pick(salt, ["!", "@", "#", "?", ".", "$", "_", "-", "*"])
+    short = F.translate(h("q"), "012345", "ghjkmw").substr(F.lit(1), (F.pmod(F.xxhash64(F.lit("r"), n), F.lit(7)) + 8).cast("int"))
+    named_in_code = F.concat_ws("_", word("j1"), word("j2"))
     secret_word = pick("s", ["token", "api_key", "secret", "password", "access_key", "client_secret", "Authorization: Bearer", "private-key"])
+    asked = pick("s2", ["password", "passwd", "pwd", "DB_PASSWORD", "secret", "api_key", "user_password", "token"])
+    given = pick("a2", [" = ", "=", ": ", " = '", '="', "='", ': "', ":"])
     sign = pick("a", [' = "', ": ", "=", ' := "', " => '"])
     hash_word = pick("c", ["sha256", "sha1", "md5", "checksum", "commit", "revision", "digest", "etag", "integrity"])
     uuid = F.concat_ws("-", *(F.substring(h("u"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
@@ -94,6 +119,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (key.substr(F.lit(1), cut_at), F.concat(filler, F.lit(" "), secret_word, sign), 1),
         (F.concat(pick("p", ["AKIA", "ghp_", "sk_live_", "xoxb-"]), key.substr(F.lit(1), F.lit(32))), F.concat(filler, F.lit(" ")), 1),
         (F.concat(pick("p", ["AKIA", "ghp_", "sk_live_", "glpat-"]), key.substr(F.lit(1), F.lit(24))), F.concat(secret_word, sign), 1),
+        (F.rpad(F.concat(name("n1"), number("d1", 10000), mark("m1")), 8, "7"), F.concat(filler, F.lit(" "), asked, given), 1),
+        (F.rpad(F.concat(F.translate(name("n2"), "aeiost", "431057"), name("n3"), number("d2", 100)), 8, "7"), F.concat(filler, F.lit(" "), asked, given), 1),
+        (F.rpad(F.concat(name("n4"), pick("j", ["", "", "-", ".", "_"]), name("n5"), pick("j2", ["", "", "1", "99"])), 12, "s"), F.concat(filler, F.lit(" "), asked, given), 1),
+        (short, F.concat(filler, F.lit(" "), asked, given), 1),
+        (F.concat(pick("k1", ["settings.", "config.", "self.", "os.environ.", "$", "${", "get_", "%("]), F.when(F.pmod(n, F.lit(2)) == 0, F.upper(named_in_code)).otherwise(named_in_code), pick("k2", ["", "", "(", "}", "()"])), F.concat(filler, F.lit(" "), asked, given), 0),
+        (F.concat(pick("k3", ["settings.", "config.", "self.", "getpass(", "env[", "{{"]), named_in_code), F.concat(filler, F.lit(" "), asked, given), 0),
+        (pick("pr", PROSE), F.concat(filler, F.lit(" "), asked, F.lit(": ")), 0),
+        (F.concat(word("c1"), F.initcap(word("c2")), F.initcap(word("c3"))), F.concat(filler, F.lit(" "), asked, given), 0),
         (h("y").substr(F.lit(1), pick("w", [32, 40, 64])), F.concat(filler, F.lit(" "), hash_word, F.lit(" ")), 0),
         (uuid, F.concat(filler, pick("v", [" uuid ", " guid ", " id ", " request "])), 0),
         (F.concat_ws("_", word("i1"), word("i2"), word("i3")), F.concat(filler, pick("v2", [" ", " call ", " token = ", " secret: "])), 0),

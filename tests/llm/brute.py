@@ -190,8 +190,10 @@ def secret_features(value, before, after, path, keywords, dictionary):
         re.search(rf"(?i)(?:{keywords}|bearer|authorization)", before),
         re.search(harmless, before) or re.search(harmless, after),
         re.search(r"(?i)(?:test|spec|fixture|mock|example|sample|docs?)", path),
+        re.search(rf"(?i)(?:{keywords})[\"']?[ \t]{{0,3}}[:=]+>?[ \t]{{0,3}}[\"']?$", before),
     ]
-    return [len(value), (len(shape) - 1) / n, gone("|".join(dictionary), value.lower()), digits, gone("[A-Z]", value), len(set(value)) / n, *(float(bool(f)) for f in flags)]
+    code = re.search(r"[(){}\[\]$%]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$", value)
+    return [len(value), (len(shape) - 1) / n, gone("|".join(dictionary), value.lower()), digits, gone("[A-Z]", value), len(set(value)) / n, *(float(bool(f)) for f in flags), gone("[^A-Za-z0-9_/+=-]", value), float(bool(code))]
 
 
 def candidates(text, candidate, assigned, near=48):

@@ -177,7 +177,7 @@ def test_forest_column_equals_model(spark):
     """The conditional expressions vote as the fitted trees do, and the forest holds up on findings it has not seen."""
     model = secrets.train(secrets.labelled_findings(spark))
     seen = secrets.labelled_findings(spark).select("value").distinct()
-    fresh = secrets.labelled_findings(spark, 9000).join(seen, "value", "left_anti")
+    fresh = secrets.labelled_findings(spark, 16000).join(seen, "value", "left_anti")
     assert fresh.count() > 3000
     x = fresh.select(*secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path")), "label")
     scored = x.select("label", *secrets.FEATURES, secrets.forest_column(model, [F.col(f) for f in secrets.FEATURES]).alias("score")).collect()
@@ -205,12 +205,19 @@ PLANTED = [
     lambda r: ("Authorization: Bearer {0}", key(r, 40)),
     lambda r: ("aws_secret_access_key: {0}", key(r, 40)),
     lambda r: ("-----BEGIN RSA PRIVATE KEY-----", ""),
+    lambda r: ("password = {0}", ["hunter2x9!", "Tr0ub4dor&3", "letmein2024", "qwerty!987", "Blue$ky77"][int(r.integers(0, 5))]),
+    lambda r: ("passwd='{0}'", ["correcthorse", "purplemonkey", "rainyTuesday", "silver.fox12"][int(r.integers(0, 4))]),
+    lambda r: ("api_key: {0}", ["abcdefgh12", "k3y4prod99", "zz81kkw0qm"][int(r.integers(0, 3))]),
     lambda r: (f"the sha256 of the archive is {key(r, 64, '0123456789abcdef')} as stated", None),
     lambda r: (f"commit {key(r, 40, '0123456789abcdef')} was reverted", None),
     lambda r: (f"request uuid {key(r, 8, '0123456789abcdef')}-{key(r, 4, '0123456789')}-{key(r, 4, '0123456789')}-{key(r, 4, '0123456789')}-{key(r, 12, '0123456789abcdef')} done", None),
     lambda r: ("see modules/handlers/settings/page for more", None),
     lambda r: ("password: your-example-password", None),
     lambda r: ("call update_user_settings_handler first", None),
+    lambda r: ("password = settings.DB_PASSWORD", None),
+    lambda r: ("token = get_user_token(request)", None),
+    lambda r: ("secret: ${APP_SECRET_VALUE}", None),
+    lambda r: ("forgot your password: remember that it is case sensitive", None),
 ]
 
 
@@ -227,6 +234,9 @@ def test_secrets_planted_in_documents(spark, docs):
     spans = {d: [tuple(map(int, s.split(":"))) for s in x.split(",") if s] for d, (x,) in scanned.items()}
     caught = [any(a <= at and z >= at + len(secret) for a, z in spans[d]) for d, (at, secret, _) in wanted.items() if secret is not None]
     wrong = [any(a < at + n and z > at for a, z in spans[d]) for d, (at, secret, n) in wanted.items() if secret is None]
+    kinds = [k % len(PLANTED) for k in range(len(docs))]
+    of_kind = lambda one, hits: {k: float(np.mean([h for h, j in zip(hits, [x for x, (_, s, _) in zip(kinds, wanted.values()) if (s is not None) == one]) if j == k])) for k in sorted({x for x, (_, s, _) in zip(kinds, wanted.values()) if (s is not None) == one})}
+    print("caught by kind", of_kind(True, caught), "taken by kind", of_kind(False, wrong))
     print(f"planted secrets caught {np.mean(caught):.3f} of {len(caught)}, harmless look-alikes taken {np.mean(wrong):.3f} of {len(wrong)}")
     assert np.mean(caught) >= 0.95 and np.mean(wrong) <= 0.1
 
@@ -237,7 +247,7 @@ def test_secrets_by_brute_force(spark, docs):
 
     model = secrets.train(secrets.labelled_findings(spark))
     rng = np.random.default_rng(13)
-    extra = [(10**6 + k, "\U0001f600 " + " ".join(p(rng)[0].format(key(rng, 24)) for p in PLANTED)) for k in range(3)]
+    extra = [(10**6 + k, "\U0001f600 " + " ".join(p(rng)[0].replace("{0}", key(rng, 24)) for p in PLANTED)) for k in range(3)]
     rows = [(d, t, s) for d, t, s in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()] + [(d, t, "docs") for d, t in extra]
     found = by_id(secrets.findings(spark.createDataFrame(rows, "doc_id long, text string, source string"), model), "n_candidates", "secrets")
     held: dict = {}
