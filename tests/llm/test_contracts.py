@@ -628,3 +628,27 @@ def test_poisson_of_large_means(spark):
     df = spark.range(3000).select(*[mixing.poisson(F.lit(m), 5, F.col("id")).alias(n) for m, n in ((0.0, "a"), (3.0, "b"), (700.0, "c"))])
     r = df.agg(F.max("a"), F.avg("b"), F.variance("b"), F.avg("c"), F.variance("c")).first()
     assert r[0] == 0 and abs(r[1] - 3) < 0.15 and abs(r[2] - 3) < 0.4 and abs(r[3] - 700) < 3 and abs(r[4] - 700) < 90
+
+
+def test_withheld_matches():
+    """Windows come from the automaton's matches: what its matches leave out isn't looked at, whatever its words are."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    shared = word(60)
+    texts = [" ".join([*word(15), *shared, *word(15)]), " ".join([*word(30), *shared])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "twin": pa.array([3, 4], pa.int32()), "text": texts})
+    phrases = {}
+    for first, rows, data, offsets in textkit.slices(batch.column("text")):
+        starts, ends, _, owner = repeats._words(data, offsets)
+        high, low = repeats._phrases(textkit.word_hashes(data, starts, ends))
+        for i in set(repeats._anchors(high, low, owner)[1].tolist()):
+            phrases.setdefault((int(high[i]), int(low[i])), []).append(i)
+    confirmed = np.array([p for p, at in phrases.items() if len(at) > 1], np.uint64)
+    located = lambda chosen: {d: set(s) for b in repeats._located(repeats.compile_phrases(chosen), batch) for d, s in zip(b.column("doc_id").to_pylist(), b.column("starts").to_pylist())}
+    every = located(confirmed)
+    assert every[1] >= set(range(15, 15 + 41)) and every[2] >= set(range(30, 30 + 41))
+    for k in range(len(confirmed)):
+        fewer = located(np.delete(confirmed, k, axis=0))
+        assert all(fewer.get(d, set()) < every[d] for d in every)
