@@ -32,6 +32,8 @@ SCALE = 2_000_000
 SHARD = 12_000_000
 #: Numbers set aside for the shards of a task, and for the phrases of a shard: a text has at most half as many words as bytes.
 SHARDS_OF_TASK, PHRASES_OF_SHARD = 1 << 13, 1 << 30
+#: Tasks over which the phrases that begin alike are dealt.
+SPREAD = 8
 #: Parts over which the phrases of a language are dealt before the best of each part meet.
 PARTS = 64
 #: A language that a row doesn't state.
@@ -111,16 +113,18 @@ def _extended(shard: pa.Table, frequent: pa.Table) -> pa.Table:
 
 
 def _frequent(layout: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
-    """shard, code, key, f, id and first: the numbers of each shard whose phrase occurs ``least`` times or more in the corpus.
+    """own, key, f and id: of each shard the numbers (own, in the corpus) of phrases that occur ``least`` times or more in the corpus.
 
     A phrase's rows, one from each shard, meet once: they are added up and kept apart in one exchange. Its id is the
-    least of their numbers, and the row that has this number is the first.
+    least of their numbers. Rows are dealt by the first half of the key and a part of the second, so that those of one
+    first half, which a shard gives in order, travel together and are dealt over several tasks where they are many.
     """
-    each = layout.select("shard", F.posexplode(F.arrays_zip(*key, "n")).alias("code", "p")).select("shard", "code", *[F.col(f"p.{c}").alias(c) for c in (*key, "n")])
-    own = F.col("shard") * PHRASES_OF_SHARD + F.col("code")
-    alike = Window.partitionBy(*key)
-    counted = each.withColumns({"f": F.sum("n").over(alike), "id": F.min(own).over(alike)}).where(F.col("f") >= least)
-    return cut(counted.withColumn("first", own == F.col("id")).drop("n"), name, tidy=True)
+    each = layout.select(F.posexplode(F.arrays_zip(*key, "n")).alias("code", "p"), "shard")
+    each = each.select((F.col("shard") * PHRASES_OF_SHARD + F.col("code")).alias("own"), *[F.col(f"p.{c}").alias(c) for c in (*key, "n")])
+    dealt = each.withColumn("part", F.pmod(F.xxhash64(key[1]), F.lit(SPREAD)).cast("int"))
+    alike = Window.partitionBy(key[0], "part", key[1])
+    counted = dealt.repartition(key[0], "part").withColumns({"f": F.sum("n").over(alike), "id": F.min("own").over(alike)}).where(F.col("f") >= least)
+    return cut(counted.drop("n", "part"), name, tidy=True)
 
 
 def _floor_score(a: Column, parts: Column) -> Column:
@@ -168,11 +172,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     source = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     layout = cut(source.mapInArrow(_laid_out, "shard long, places array<int>, lang array<string>, word array<string>, n array<long>"), "phrases-words", tidy=True)
     sizes = layout.select(F.explode(F.arrays_zip("lang", "n")).alias("p")).groupBy("p.lang").agg(F.sum("p.n").alias("n"))
-    key, levels = ["lang", "word"], []
+    key, levels = ["word", "lang"], []
     while True:
         k = len(levels) + 1
         seen = _frequent(layout, key, least, f"phrases-seen{k}")
-        phrases = seen.where("first")
+        phrases = seen.where("own = id")
         if k == 1:
             level = phrases.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
         else:
@@ -184,7 +188,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         levels.append(cut(level, f"phrases-level{k}"))
         if k == longest:
             break
-        lists = layout.select("shard", "places").groupBy("shard").cogroup(seen.select("shard", "code", "id").groupBy("shard"))
+        hits = seen.select(F.shiftright("own", PHRASES_OF_SHARD.bit_length() - 1).alias("shard"), F.col("own").bitwiseAND(PHRASES_OF_SHARD - 1).cast("int").alias("code"), "id")
+        lists = layout.select("shard", "places").groupBy("shard").cogroup(hits.groupBy("shard"))
         wider = cut(lists.applyInArrow(_extended, "shard long, places array<int>, left array<long>, right array<long>, n array<long>"), f"phrases-lists{k + 1}", tidy=True)
         if k > 1:
             drop(layout)
