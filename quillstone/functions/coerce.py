@@ -19,6 +19,7 @@ AVAILABILITY = [
     (r"withdrawn|removed|off\s*market|cancelled", "withdrawn"),
     (r"available|active|for\s*sale|released|open|current|in\s*stock|yes", "available"),
 ]
+# Ordered patterns of property types.
 PROPERTY_TYPES = [
     (r"house\s*(&|and|\+)\s*land|h\s*&\s*l|hl\s*package|package", "house_and_land"),
     (r"townhouse|town\s*home|villa", "townhouse"),
@@ -28,10 +29,12 @@ PROPERTY_TYPES = [
     (r"land\s*only|vacant\s*land|^land$|allotment", "land"),
     (r"house|home|detached", "house"),
 ]
+# States and their spellings.
 STATES = {
     "nsw": "NSW", "newsouthwales": "NSW", "vic": "VIC", "victoria": "VIC", "qld": "QLD", "queensland": "QLD", "sa": "SA", "southaustralia": "SA",
     "wa": "WA", "westernaustralia": "WA", "tas": "TAS", "tasmania": "TAS", "nt": "NT", "northernterritory": "NT", "act": "ACT", "australiancapitalterritory": "ACT",
 }
+# Street types and their spellings.
 STREETS = {
     "boulevards?|bvd": "Boulevard", "crescents?|cres": "Crescent", "circuits?|cct": "Circuit", "esplanades?|esp": "Esplanade", "highways?|hwy": "Highway",
     "parades?|pde": "Parade", "terraces?|tce": "Terrace", "avenues?|ave": "Avenue", "streets?|st": "Street", "courts?|ct": "Court", "drives?|dr": "Drive",

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.session import ship
@@ -43,11 +43,19 @@ def fold(events: DataFrame, key: str, at: str, tie: str, start: Callable, step:
     return dealt.mapInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, {outputs}")
 
 
+def limited_key(key: Column) -> Column:
+    """A key that a counter may be kept under; any other, and null, fails the job."""
+    fits = F.coalesce(key.rlike("^[a-z0-9:_./-]{1,200}$"), F.lit(False))
+    return F.when(F.assert_true(fits, F.lit("invalid rate-limit key")).isNull(), key)
+
+
 def rate_limit(most: int, window: float, restart_at_end: bool = True) -> tuple[Callable, Callable, str]:
     """A counter whose window begins with a first event and begins anew with the first event after its end.
 
-    restart_at_end: an event exactly at the end begins a new window.
+    restart_at_end: an event exactly at the end begins a new window. Limits and windows below 1 are refused.
     """
+    if most < 1 or window < 1:
+        raise ValueError("a limit and its window are at least 1")
     over = (lambda gap: gap >= window) if restart_at_end else (lambda gap: gap > window)
 
     def step(state, rows):

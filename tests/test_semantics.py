@@ -3,10 +3,10 @@
 import itertools
 
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillstone.operators import access, lifecycle, matching, merge, queueing
+from quillstone.streaming import folds
 
 
 def test_permission_truth_table(spark):
@@ -91,3 +91,16 @@ def test_breaker(spark):
     df = spark.createDataFrame([("s", n, float(n), ok) for n, ok in enumerate([False, False, True, False, False, False, True])], "who string, n int, at double, ok boolean")
     found = {r.n: (r.is_open, r.failures, r.tripped) for r in folds.fold(df, "who", "at", "n", *folds.circuit_breaker(3, 100.0)).collect()}
     assert found == {0: (False, 1, False), 1: (False, 2, False), 2: (False, 0, False), 3: (False, 1, False), 4: (False, 2, False), 5: (False, 0, True), 6: (True, 0, False)}
+
+
+def test_counters_refuse_bad_parameters(spark):
+    from pyspark.errors import PySparkException
+
+    for most, window in ((0, 60.0), (5, 0.5), (-1, -1.0)):
+        with pytest.raises(ValueError):
+            folds.rate_limit(most, window)
+    keys = spark.createDataFrame([("ip:10.0.0.1/a_b-c",), ("x" * 200,)], "key string")
+    assert keys.select(folds.limited_key(F.col("key")).alias("k")).collect() == keys.collect()
+    for bad in ("", "x" * 201, "Upper", "a b", None):
+        with pytest.raises(PySparkException, match="rate-limit key"):
+            spark.createDataFrame([(bad,)], "key string").select(folds.limited_key(F.col("key"))).collect()
