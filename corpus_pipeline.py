@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import gam, mixing, packing, secrets, simhash
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, drop
 from quillstone.sources.tables import table
 
 #: What the last stage returns goes through tokenisation, fitted models and hashing that SQL has no words for.
@@ -47,10 +47,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written to the shared folder and read again by the next, and then go."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
