@@ -83,13 +83,14 @@ class InboundQueue:
         try:
             counts = {r.outcome: r["count"] for r in judged.groupBy(F.split_part("outcome", F.lit(":"), F.lit(1)).alias("outcome")).count().collect()}
             if counts:
-                number = self.waiting.manifest()["number"]
+                # Each table counts its rounds by its own versions: a repeated round may hold more than the one that was killed.
+                put = lambda table, rows, gone=None: table.apply(rows, "rounds", table.manifest()["number"], gone)
                 last = F.max_by(F.struct("event_id", "status", "attempts"), "event_id").alias("b")
-                self.state.apply(judged.where("outcome = 'applied'").groupBy("item").agg(last).select("item", "b.*"), "rounds", number)
-                self.dead.apply(queueing.dead_letters(judged), "rounds", number)
+                put(self.state, judged.where("outcome = 'applied'").groupBy("item").agg(last).select("item", "b.*"))
+                put(self.dead, queueing.dead_letters(judged))
                 tried = judged.withColumn("attempts", F.col("attempts") + 1)
                 later = tried.withColumn("next_attempt_at", F.lit(now) + queueing.seconds(backoff_delivery(F.col("attempts"))))
-                self.waiting.apply(later, "rounds", number, gone=F.col("outcome") != "deferred")
+                put(self.waiting, later, F.col("outcome") != "deferred")
         finally:
             judged.unpersist()
         return counts

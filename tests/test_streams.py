@@ -76,6 +76,26 @@ def test_deferred_events_come_back(spark, tmp_path):
     assert outcome(queue) == expected(rows) and 5 <= rounds <= 8
 
 
+def test_killed_rounds_are_repeated(spark, tmp_path):
+    """A round that is killed before its last step, and repeated later with more events due, loses none."""
+    rows, queue = inbound(spark, str(tmp_path / "queue"), 60)
+    queue.receive(spark.createDataFrame(rows, EVENT), "all", 0)
+    whole = queue.waiting.apply
+
+    def killed(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    queue.waiting.apply = killed
+    with pytest.raises(KeyboardInterrupt):
+        queue.work(START + datetime.timedelta(seconds=30), None)
+    queue.waiting.apply = whole
+    now = START + datetime.timedelta(hours=1)
+    while (at := queue.next_due()) is not None:
+        now = max(now, at)
+        queue.work(now, None)
+    assert outcome(queue) == expected(rows)
+
+
 def test_drain_ends_by_itself(spark, tmp_path):
     rows, queue = inbound(spark, str(tmp_path / "queue"), 40)
     queue.receive(spark.createDataFrame(rows, EVENT), "all", 0)
