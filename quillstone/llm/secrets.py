@@ -22,6 +22,8 @@ PADDING = rf"={{1,2}}(?!{RUN}|=)"
 LOOSE = rf"(?<!{RUN})(?:{RUN}{{16,}}+(?:{PADDING})?|{RUN}{{14,15}}{PADDING})"
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = rf"{BLOCK}|{ASSIGNED}|{LOOSE}"
+#: The same where a text has none of the keywords, which is found out several times faster.
+UNNAMED = rf"{BLOCK}|{LOOSE}"
 #: Code points read on either side of a candidate for its neighbouring words.
 NEAR = 48
 REPLACEMENT = "<SECRET>"
@@ -179,8 +181,10 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
     model = model or train(labelled_findings(spark))
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     text = F.coalesce(F.col("text"), F.lit(""))
-    staged = docs.select("*", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_matches")).withColumn(
-        "_pieces", F.when(F.size("_matches") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(text))
+    named = text.rlike(f"(?i)(?:{KEYWORDS})")
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    staged = docs.select("*", F.when(named, every(CANDIDATE)).otherwise(every(UNNAMED)).alias("_matches")).withColumn(
+        "_pieces", F.when(F.size("_matches") == 0, F.array(text)).when(named, F.split(text, CANDIDATE, -1)).otherwise(F.split(text, UNNAMED, -1))
     )
 
     def found(m: Column, p: Column) -> Column:
