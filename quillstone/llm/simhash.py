@@ -128,6 +128,11 @@ def _met(prints: DataFrame, n: int, distance: int) -> tuple[DataFrame, list[int]
     return prints.select("*", spread), masks
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """df as a side that joins by sorting: rows grow with the prints, and with their keys, of which the size of a file says nothing."""
+    return df.hint("merge")
+
+
 def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -137,7 +142,7 @@ def references(prints: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame
     met, _ = _met(prints.select("print"), n, distance)
     by_hash = F.struct(F.xxhash64("print").alias("h"), "print")
     chosen = met.groupBy("combo", "key").agg(F.min("print").alias("r0"), F.max("print").alias("r1"), F.min(by_hash)["print"].alias("r2"), F.max(by_hash)["print"].alias("r3")).where("r0 < r1")
-    rows = met.select("print", "combo", "key").join(chosen, ["combo", "key"])
+    rows = met.select("print", "combo", "key").join(_sorted(chosen), ["combo", "key"])
     table = rows.select("print", F.explode(F.array_distinct(F.array(*(f"r{k}" for k in range(REFERENCES))))).alias("r"))
     return table.where((F.col("print") != F.col("r")) & (_apart(F.col("print"), F.col("r")) <= distance)).select(F.least("print", "r").alias("a"), F.greatest("print", "r").alias("b"))
 
@@ -151,13 +156,13 @@ def crossings(named: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     met, masks = _met(named.select("print", "root", "size", *_pivot_rows(F.col("print"))), n, distance)
     main = F.max(F.struct("size", "root"))["root"].alias("main")
     mixed = met.groupBy("combo", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), main).where("lo < hi").select("combo", "key", "main")
-    held = met.drop("size").join(mixed, ["combo", "key"])
+    held = met.drop("size").join(_sorted(mixed), ["combo", "key"])
     x, y = held.where("root != main").alias("x"), held.alias("y")
     apart = F.col("x.print").bitwiseXOR(F.col("y.print"))
     first = reduce(lambda p, q: p & q, [(F.col("x.differ").bitwiseAND(F.lit(1 << b)) == 0) | (apart.bitwiseAND(F.lit(m)) != 0) for b, m in enumerate(masks)])
     near = reduce(lambda p, q: p & q, [_within(F.col(f"x.pivots{k}"), F.col(f"y.pivots{k}"), distance) for k in range(PIVOT_LONGS)])
     once = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.print") < F.col("y.print")))
-    pairs = x.join(y, (F.col("x.combo") == F.col("y.combo")) & (F.col("x.key") == F.col("y.key")) & once & near & (F.bit_count(apart) <= distance) & first)
+    pairs = x.join(_sorted(y), (F.col("x.combo") == F.col("y.combo")) & (F.col("x.key") == F.col("y.key")) & once & near & (F.bit_count(apart) <= distance) & first)
     return pairs.select(F.least("x.root", "y.root").alias("a"), F.greatest("x.root", "y.root").alias("b")).distinct()
 
 
@@ -166,10 +171,10 @@ def roots(prints: DataFrame, distance: int = DISTANCE, n: int | None = None) ->
     n = prints.count() if n is None else n
     linked = components(references(prints, n, distance), "a", "b", "simhash").withColumnRenamed("node", "print")
     whole = linked.groupBy("root").agg(F.count("*").alias("size"))
-    named = prints.join(linked.join(whole, "root"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    named = prints.join(_sorted(linked.join(_sorted(whole), "root")), "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     named = cut(named, "simhash-named")
     across = components(crossings(named, n, distance), "a", "b", "simhash-across").withColumnsRenamed({"node": "_node", "root": "_root"})
-    return named.join(across, F.col("root") == F.col("_node"), "left").select("print", F.coalesce("_root", "root").alias("root"))
+    return named.join(_sorted(across), F.col("root") == F.col("_node"), "left").select("print", F.coalesce("_root", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -181,10 +186,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     prints = cut(fingerprints(docs), "simhash-prints")
     classes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    named = cut(classes.join(roots(classes.select("print"), distance), "print"), "simhash-roots")
+    named = cut(classes.join(_sorted(roots(classes.select("print"), distance)), "print"), "simhash-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("print", "component_id")
-    return prints.join(ids, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = named.join(_sorted(least), "root").select("print", "component_id")
+    return prints.join(_sorted(ids), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -198,7 +203,7 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     prints = cut(fingerprints(docs, twin, row), "simhash-prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_twin", "_row")
     classes = cut(prints.groupBy("print").agg(F.min(order).alias("least")), "simhash-classes")
-    kept = classes.join(roots(classes.select("print"), distance), "print").groupBy("root").agg(F.min("least").alias("least")).select("least._twin", "least._row")
+    kept = classes.join(_sorted(roots(classes.select("print"), distance)), "print").groupBy("root").agg(F.min("least").alias("least")).select("least._twin", "least._row")
     # What comes out is one row for each key; the join deals docs out by it, so telling repeats apart moves nothing more.
     held = docs.select(F.struct("*").alias("_docs"), twin, row)
-    return held.join(kept, ["_twin", "_row"], "left_semi").dropDuplicates(["_twin", "_row"]).select("_docs.*")
+    return held.join(_sorted(kept), ["_twin", "_row"], "left_semi").dropDuplicates(["_twin", "_row"]).select("_docs.*")

@@ -12,6 +12,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from quillstone.llm import gam, licenses, mixing, packing, pii, queries, repeats, rules, secrets, simhash, spotsigs, textkit
+from quillstone.llm.common import cut
 
 BASE = "Zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega alpha beta gamma delta"
 #: Texts that break careless code: empty, blank, one word, no ASCII, carriage returns, runs that look like personal data.
@@ -496,6 +497,16 @@ def test_simhash_dense_group(spark):
     assert simhash.references(df, len(ball)).count() <= simhash.REFERENCES * keys
 
 
+def test_simhash_sends_no_side_whole(spark, capsys):
+    # A small file of prints says nothing of the rows that their keys make of them.
+    prints = cut(spark.range(3000).select(F.xxhash64("id").alias("print")), "test-prints")
+    named = cut(prints.select("print", F.col("print").alias("root"), F.lit(1).alias("size")), "test-named")
+    simhash.references(prints, 3000).explain()
+    simhash.crossings(named, 3000).explain()
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") == 4 and "Broadcast" not in plans
+
+
 def test_one_of_each(spark):
     """Each component keeps one row, and rows go only as near copies of a kept one: one id with two texts, null ids, repeats."""
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
