@@ -38,17 +38,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str, tidy: bool = False, apart: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later jobs restart from there if executors are lost.
 
     An operator whose steps shuffle much should hold the shuffle files of one step at a time (``tidy``). A job that has
     just ended is still named by events on their way, so what the step before has left is dropped before this one begins.
+
+    ``apart``: for rows of many megabytes. Parquet's writer looks at the size of a row group after a hundred rows only, and
+    its reader decodes a row group's rows together; so each row gets a row group, and a task holds one at a time.
     """
     spark, schema = df.sparkSession, df.schema
     if tidy:
         release(spark)
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", 1) if apart else out).parquet(path)
     del df
     back = spark.read.schema(schema).parquet(path)
     back.cut_path = path

@@ -170,7 +170,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     """
     ship(docs.sparkSession)
     source = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    layout = cut(source.mapInArrow(_laid_out, "shard long, places array<int>, lang array<string>, word array<string>, n array<long>"), "phrases-words", tidy=True)
+    layout = cut(source.mapInArrow(_laid_out, "shard long, places array<int>, lang array<string>, word array<string>, n array<long>"), "phrases-words", tidy=True, apart=True)
     sizes = layout.select(F.explode(F.arrays_zip("lang", "n")).alias("p")).groupBy("p.lang").agg(F.sum("p.n").alias("n"))
     key, levels = ["word", "lang"], []
     while True:
@@ -190,7 +190,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
             break
         hits = seen.select(F.shiftright("own", PHRASES_OF_SHARD.bit_length() - 1).alias("shard"), F.col("own").bitwiseAND(PHRASES_OF_SHARD - 1).cast("int").alias("code"), "id")
         lists = layout.select("shard", "places").groupBy("shard").cogroup(hits.groupBy("shard"))
-        wider = cut(lists.applyInArrow(_extended, "shard long, places array<int>, left array<long>, right array<long>, n array<long>"), f"phrases-lists{k + 1}", tidy=True)
+        wider = cut(lists.applyInArrow(_extended, "shard long, places array<int>, left array<long>, right array<long>, n array<long>"), f"phrases-lists{k + 1}", tidy=True, apart=True)
         if k > 1:
             drop(layout)
         else:

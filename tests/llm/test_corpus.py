@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstone.llm import merkle, phrases, tokens
-from quillstone.llm.common import new_path
+from quillstone.llm.common import cut, new_path
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null ids, texts, languages and sources, empty and long texts, repeated rows, one id with two texts.
@@ -153,6 +153,13 @@ def test_token_files(spark, capsys, monkeypatch):
         assert own.encode(data, np.array([0, len(text), len(data)]))[0].tolist() == [*tokenizer().encode(text, add_special_tokens=False).ids, 2, *tokenizer().encode("more", add_special_tokens=False).ids, 2]
 
 
+def test_shards_lie_apart(spark):
+    # Rows of many megabytes: neither a writer nor a reader holds the shards of a task together.
+    held = cut(spark.range(0, 30, 1, 1), "test-shards", apart=True)
+    (file,) = glob.glob(held.cut_path.removeprefix("file:") + "/*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups == 30 == held.distinct().count()
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
