@@ -30,7 +30,8 @@ class DelimitedRows:
     """delimited_rows(TABLE (file, body, mark), fields): a row below each file's header, with a column for each field named.
 
     The columns are those of the call: ``fields`` is a comma-joined list of known fields, and each is taken from the first
-    heading that names it. A file without a header has no rows.
+    heading that names it. A file without a header has no rows. Each row of the table is a whole file, so files are read
+    where they are, many by one instance.
     """
 
     @staticmethod
@@ -40,7 +41,7 @@ class DelimitedRows:
         shape = StructType().add("file", files.dataType["file"].dataType).add("row", LongType())
         for name in fields.value.split(","):
             shape = shape.add(name.strip(), StringType())
-        return AnalyzeResult(schema=shape, partitionBy=[PartitioningColumn("file")])
+        return AnalyzeResult(schema=shape)
 
     def __init__(self):
         self.known = aliases()

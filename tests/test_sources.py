@@ -120,6 +120,14 @@ def test_functions_of_sql(spark):
         spark.sql("SELECT * FROM delimited_rows(TABLE({files}), mark)", files=files).collect()
 
 
+def test_files_are_read_where_they_are(spark, capsys):
+    register_functions(spark)
+    files = spark.range(50).selectExpr("id AS file", "'Lot,Price' AS body", "',' AS mark")
+    spark.sql("SELECT * FROM delimited_rows(TABLE({files}), 'lot_number')", files=files).explain()
+    plan = capsys.readouterr().out
+    assert "UDTF" in plan and "Exchange" not in plan and "Sort" not in plan
+
+
 def test_whole_reads(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     n = events.count()
