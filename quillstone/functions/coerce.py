@@ -109,31 +109,38 @@ def bed_bath_car(cell: Column) -> Column:
     Labelled counts ("3 Bed 2 Bath 1 Car + 2 Bed") are summed by label. "label = a + b + c" segments are summed by place,
     and a place that one of them leaves out is null. Else three parts between slashes, empty ones aside.
     """
-    text = F.trim(cell)
     pattern = r"(?i)(\d+(?:\.\d+)?)\s*(bed(?:room)?s?|bath(?:room)?s?|cars?|carports?)\b"
-    numbers, labels = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-
-    def total(label: str) -> Column:
-        values = F.transform(numbers, lambda n, i: F.when(F.lower(labels[i]).startswith(label), n.cast("double")))
-        held = F.filter(values, lambda v: v.isNotNull())
-        return F.when(F.size(held) > 0, count(F.aggregate(held, F.lit(0.0), lambda a, v: a + v)))
-
-    named = F.struct(total("bed").alias("bedrooms"), total("bath").alias("bathrooms"), total("car").alias("car_spaces"))
-    segments = F.filter(F.transform(F.split(text, r"\r?\n|(?=\b[A-Za-z][^=+]{0,40}=)"), lambda s: F.trim(s)), lambda s: s != "")
-    parts = F.transform(segments, lambda s: F.transform(F.split(F.regexp_replace(s, "^[^=]*=", ""), r"\+"), lambda p: count(number(p))))
-    fit = F.forall(segments, lambda s: F.contains(s, F.lit("="))) & F.forall(parts, lambda p: F.size(p).between(2, 3) & F.forall(p, lambda n: n.isNotNull()))
-
-    def place(k: int) -> Column:
-        return F.when(F.forall(parts, lambda p: F.size(p) > k), count(F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.get(p, F.lit(k)))))
-
-    summed = F.struct(place(0).alias("bedrooms"), place(1).alias("bathrooms"), place(2).alias("car_spaces"))
-    plain = F.transform(F.filter(F.split(text, "/"), lambda p: F.trim(p) != ""), lambda p: count(number(p)))
-    three = F.struct(*(F.get(plain, F.lit(k)).alias(n) for k, n in enumerate(("bedrooms", "bathrooms", "car_spaces"))))
-    return (
-        F.when(F.size(numbers) > 0, named)
-        .when((F.size(segments) > 0) & F.contains(text, F.lit("=")), F.when(fit, summed))
-        .when((F.size(plain) == 3) & F.forall(plain, lambda n: n.isNotNull()), three)
-    )
+    names = ("bedrooms", "bathrooms", "car_spaces")
+
+    def labelled(text: Column) -> Column:
+        numbers, labels = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
+        return let(F.arrays_zip(numbers.alias("number"), labels.alias("label")), lambda found: F.when(F.size(found) > 0, named(found)).otherwise(divided(text)))
+
+    def named(found: Column) -> Column:
+        def total(label: str) -> Column:
+            values = F.transform(F.filter(found, lambda x: F.lower(x["label"]).startswith(label)), lambda x: x["number"].cast("double"))
+            return F.when(F.size(values) > 0, count(F.aggregate(values, F.lit(0.0), lambda a, v: a + v)))
+
+        return F.struct(*(total(label).alias(n) for label, n in zip(("bed", "bath", "car"), names)))
+
+    def divided(text: Column) -> Column:
+        segments = F.filter(F.transform(F.split(text, r"\r?\n|(?=\b[A-Za-z][^=+]{0,40}=)"), lambda s: F.trim(s)), lambda s: s != "")
+        return F.when(F.contains(text, F.lit("=")), let(segments, lambda s: F.when(F.size(s) > 0, placed(s)).otherwise(slashed(text)))).otherwise(slashed(text))
+
+    def placed(segments: Column) -> Column:
+        parts = F.transform(segments, lambda s: F.transform(F.split(F.regexp_replace(s, "^[^=]*=", ""), r"\+"), lambda p: let(number(p), count)))
+        whole = lambda parts: F.forall(parts, lambda p: F.size(p).between(2, 3) & F.forall(p, lambda n: n.isNotNull()))
+        total = lambda parts, k: F.when(F.forall(parts, lambda p: F.size(p) > k), let(F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.get(p, F.lit(k))), count))
+        summed = lambda parts: F.struct(*(total(parts, k).alias(n) for k, n in enumerate(names)))
+        return F.when(F.forall(segments, lambda s: F.contains(s, F.lit("="))), let(parts, lambda p: F.when(whole(p), summed(p))))
+
+    def slashed(text: Column) -> Column:
+        plain = F.transform(F.filter(F.split(text, "/"), lambda p: F.trim(p) != ""), lambda p: let(number(p), count))
+        three = lambda p: F.struct(*(F.get(p, F.lit(k)).alias(n) for k, n in enumerate(names)))
+        return let(plain, lambda p: F.when((F.size(p) == 3) & F.forall(p, lambda n: n.isNotNull()), three(p)))
+
+    # Each reading is made once, and only where those before it have found nothing.
+    return let(F.trim(cell), labelled)
 
 
 def _tidy(x: Column) -> Column:

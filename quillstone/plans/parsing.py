@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import coerce, exprs
 from quillstone.functions import labels as L
 from quillstone.registry import Tables, query
+from quillstone.sources.tables import spread
 
 
 def _pick(k: str, cells: list[str]) -> str:
@@ -67,7 +68,7 @@ _CARS = [_C, _C, "NULL", _C, "NULL", "NULL", "NULL"]
 
 @query("SELECT p_partkey, " + ", ".join(f"CAST({_pick('p_partkey', x)} AS DOUBLE) AS {n}" for x, n in ((_BEDS, "beds"), (_BATHS, "baths"), (_CARS, "cars"))) + " FROM part")
 def coerce_rooms(t: Tables) -> DataFrame:
-    r = t.part.select("p_partkey", coerce.bed_bath_car(F.expr(_pick("p_partkey", _ROOMS))).alias("r"))
+    r = spread(t.part.select("p_partkey", "p_size")).select("p_partkey", coerce.bed_bath_car(F.expr(_pick("p_partkey", _ROOMS))).alias("r"))
     return r.select("p_partkey", F.col("r.bedrooms").alias("beds"), F.col("r.bathrooms").alias("baths"), F.col("r.car_spaces").alias("cars"))
 
 
@@ -107,7 +108,7 @@ _COMPOSED = [
 
 @query("SELECT c_custkey, " + ", ".join(f"{_pick('c_custkey', x)} AS {n}" for n, x in _PARTS.items()) + f", {_pick('c_custkey', _COMPOSED)} AS line, {_pick('c_custkey', _PRECISION)} AS \"precision\" FROM customer")
 def parse_addresses(t: Tables) -> DataFrame:
-    cells = t.customer.select("c_custkey", F.expr(_pick("c_custkey", _ADDRESSES)).alias("cell"))
+    cells = spread(t.customer.select("c_custkey")).select("c_custkey", F.expr(_pick("c_custkey", _ADDRESSES)).alias("cell"))
     a = cells.select("c_custkey", "cell", coerce.address(F.col("cell")).alias("a"))
     composed = a.select("c_custkey", "a", L.composed_address(F.col("a"), F.col("cell"), F.lit("Australia")).alias("c"))
     return composed.select("c_custkey", *[F.col(f"a.{n}").alias(n) for n in _PARTS], "c.line", "c.precision")

@@ -140,3 +140,12 @@ def test_composed_address(spark, parts, given, formatted, line, precision):
     df = spark.createDataFrame([(parts, given, formatted)], f"a {a}, g string, f string")
     found = df.select(T.composed_address(F.col("a"), F.col("g"), F.col("f")).alias("c")).first().c
     assert (found.precision, found.line) == (precision, line)
+
+
+@pytest.mark.parametrize("name", ["coerce_rooms", "parse_addresses"])
+def test_small_files_are_dealt_over_all_cores(spark, name):
+    from conftest import DATA
+
+    from quillstone.queries import QUERIES
+
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
