@@ -117,13 +117,14 @@ def governed_activity(activity: DataFrame, parents: DataFrame, reach: DataFrame)
     """Activity (entity_type, entity_id) of the entities whose governing record the caller reaches under its permission.
 
     parents: entity_type, entity_id and parent_id of entities that something else governs; without a parent they are
-    seen by nobody, as are types that GOVERNED leaves out. reach: scope_type, permission and scope_id.
+    seen by nobody, as are types that GOVERNED leaves out. reach: scope_type, permission and scope_id. Both may have many
+    rows for each record of a small table, of whose size a plan knows nothing, so neither is sent whole to the driver.
     """
     kinds = activity.sparkSession.createDataFrame([(k, *v) for k, v in GOVERNED.items()], "entity_type string, scope_type string, permission string")
     known = activity.join(F.broadcast(kinds), "entity_type")
     own = known.where("entity_type = scope_type").withColumn("scope_id", F.col("entity_id"))
-    below = known.where("entity_type <> scope_type").join(parents.select("entity_type", "entity_id", F.col("parent_id").alias("scope_id")), ["entity_type", "entity_id"])
-    return own.unionByName(below).join(reach, ["scope_type", "permission", "scope_id"], "left_semi").select(activity.columns)
+    below = known.where("entity_type <> scope_type").join(parents.select("entity_type", "entity_id", F.col("parent_id").alias("scope_id")).hint("merge"), ["entity_type", "entity_id"])
+    return own.unionByName(below).join(reach.hint("merge"), ["scope_type", "permission", "scope_id"], "left_semi").select(activity.columns)
 
 
 def narrowed(resolved: DataFrame, decisions: DataFrame, scopes: Mapping[str, str]) -> DataFrame:

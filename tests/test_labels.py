@@ -149,3 +149,12 @@ def test_small_files_are_dealt_over_all_cores(spark, name):
     from quillstone.queries import QUERIES
 
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_exploded_sides_are_not_sent_whole(spark, capsys):
+    from conftest import DATA
+
+    from quillstone.queries import QUERIES
+
+    QUERIES["governed_activity"](spark, DATA).explain()
+    assert capsys.readouterr().out.count("SortMergeJoin") == 3
