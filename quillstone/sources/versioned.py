@@ -20,7 +20,8 @@ _BUCKET, _GONE, _AGE = "_bucket", "_gone", "_age"
 
 
 class VersionedTable:
-    """Rows by key, of which the highest version holds; of equal versions the batch that was applied last.
+    """Rows by key, of which the highest version holds; of equal versions the batch that was applied last, and of one
+    batch's the greatest row.
 
     One writer at a time; readers need no lock. ``buckets`` is fixed with the first batch. A row that a batch removes is
     forgotten with the next compaction, so a removed key must not come again with an older version.
@@ -51,7 +52,9 @@ class VersionedTable:
 
     def _latest(self, rows: DataFrame, order: Column) -> DataFrame:
         rest = [c for c in rows.columns if c not in (*self.keys, _BUCKET, _AGE)]
-        best = rows.groupBy(*self.keys, _BUCKET).agg(F.max_by(F.struct(*rest), order).alias("_b"))
+        # Maps and variants have no order.
+        ties = [c for c, kind in rows.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
+        best = rows.groupBy(*self.keys, _BUCKET).agg(F.max_by(F.struct(*rest), F.struct(order, *ties)).alias("_b"))
         return best.select(*self.keys, "_b.*", _BUCKET)
 
     def _merged(self, manifest: dict, only: set[str] | None = None) -> DataFrame:

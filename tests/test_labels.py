@@ -158,3 +158,12 @@ def test_exploded_sides_are_not_sent_whole(spark, capsys):
 
     QUERIES["governed_activity"](spark, DATA).explain()
     assert capsys.readouterr().out.count("SortMergeJoin") == 3
+
+
+def test_equal_versions_of_a_batch(spark, tmp_path):
+    from quillstone.sources.versioned import VersionedTable
+
+    for n, order in enumerate(([(1, 5, "a"), (1, 5, "b")], [(1, 5, "b"), (1, 5, "a")])):
+        held = VersionedTable(spark, f"file://{tmp_path}/{n}", "k LONG, v LONG, x STRING", ["k"], "v")
+        held.apply(spark.createDataFrame(order, "k long, v long, x string").coalesce(1), "s", 0)
+        assert [tuple(r) for r in held.snapshot().collect()] == [(1, 5, "b")]
