@@ -22,11 +22,15 @@ def organisation_permission(requests: DataFrame, keys: DataFrame, memberships: D
     there is no access; the role's default is the base, missing means no; the membership's own decision denies or raises
     it; read_only never writes.
     """
+    # A membership decides each of the few keys once, so its decisions travel with it: a join by its id would bring all requests without one together.
+    decided = overrides.where("membership_id IS NOT NULL").groupBy("membership_id").agg(F.collect_list(F.struct("permission", "view_decision", "edit_decision", "delete_decision")).alias("_decided"))
+    held = memberships.select("user", "org", "membership_id", "role").join(decided, "membership_id", "left")
     ladder = (
         requests.join(keys.select("permission", "is_forbidden", "key_kind"), "permission", "left")
-        .join(memberships.select("user", "org", "membership_id", "role"), ["user", "org"], "left")
+        .join(held, ["user", "org"], "left")
         .join(defaults.select("role", "permission", "can_view", "can_edit", "can_delete"), ["role", "permission"], "left")
-        .join(overrides.select("membership_id", "permission", "view_decision", "edit_decision", "delete_decision"), ["membership_id", "permission"], "left")
+        .withColumn("_decision", F.explode_outer(F.filter("_decided", lambda d: d["permission"] == F.col("permission"))))
+        .select("*", "_decision.view_decision", "_decision.edit_decision", "_decision.delete_decision")
     )
     decision = _by_level("level", "view_decision", "edit_decision", "delete_decision")
     allowed = (
@@ -139,7 +143,11 @@ def narrowed(resolved: DataFrame, decisions: DataFrame, scopes: Mapping[str, str
     for scope, column in scopes.items():
         own = held.where(F.col("scope_type") == scope).drop("scope_type").withColumnRenamed("scope_id", column)
         denied = F.coalesce(_by_level("level", "_v", "_e", "_d") == "deny", F.lit(False))
-        out = out.join(own, ["membership_id", "permission", column], "left").select(*[(F.col("allowed") & ~denied).alias("allowed") if c == "allowed" else F.col(c) for c in out.columns])
+        # What has no membership or no id is dealt by its other columns, as nothing is joined to it.
+        lacking = lambda: F.col("membership_id").isNull() | F.col(column).isNull()
+        apart = out.withColumn("_apart", F.when(lacking(), F.xxhash64(*out.columns)).otherwise(0))
+        own = own.withColumn("_apart", F.when(lacking(), -1).otherwise(0).cast("long"))
+        out = apart.join(own, ["membership_id", "permission", column, "_apart"], "left").select(*[(F.col("allowed") & ~denied).alias("allowed") if c == "allowed" else F.col(c) for c in out.columns])
     return out
 
 

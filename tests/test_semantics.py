@@ -31,6 +31,33 @@ def test_permission_truth_table(spark):
     assert found == {n: expected(*c) for n, c in enumerate(cases)}
 
 
+def test_requests_without_membership_are_dealt(spark):
+    """No task gets all requests that nobody's membership answers, and of two decisions for a key each answers."""
+    asked = spark.range(4000).select(F.col("id").cast("int").alias("user"), F.lit(1).alias("org"), F.lit("plain").alias("permission"), F.lit("view").alias("level"), F.col("id").cast("int").alias("unit"))
+    keys = spark.createDataFrame([("plain", False, "standard")], "permission string, is_forbidden boolean, key_kind string")
+    members = spark.createDataFrame([(7, 1, 70, "owner"), (8, 1, 80, "owner"), (9, 1, 90, "owner")], "user int, org int, membership_id int, role string")
+    defaults = spark.createDataFrame([("owner", "plain", True, True, True)], "role string, permission string, can_view boolean, can_edit boolean, can_delete boolean")
+    decisions = "view_decision string, edit_decision string, delete_decision string"
+    overrides = spark.createDataFrame([(70, "plain", *["deny"] * 3), (80, "plain", *["deny"] * 3), (80, "plain", *["allow"] * 3), (90, "other", *["deny"] * 3), (None, "plain", *["allow"] * 3)], f"membership_id int, permission string, {decisions}")
+    scoped = spark.createDataFrame([(90, "plain", "unit", 9, *["deny"] * 3), (None, "plain", "unit", 1, *["deny"] * 3)], f"membership_id int, permission string, scope_type string, scope_id int, {decisions}")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        # The keys and the defaults are sent to all; nothing else is.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = access.organisation_permission(asked, F.broadcast(keys), members, F.broadcast(defaults), overrides)
+        narrow = access.narrowed(found, scoped, {"unit": "unit"})
+        for rows in (found, narrow):
+            sizes = [r["count"] for r in rows.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()]
+            assert sum(sizes) == 4001 and max(sizes) < 2500
+        answers = lambda rows: sorted((r.user, r.allowed) for r in rows.where("membership_id IS NOT NULL").collect())
+        assert answers(found) == [(7, False), (8, False), (8, True), (9, True)] and answers(narrow) == [(7, False), (8, False), (8, True), (9, False)]
+        assert not found.where("membership_id IS NULL AND allowed").count()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_transitions_are_never_loops():
     for machine, steps in lifecycle.TRANSITIONS.items():
         assert all(a not in after.split() for a, after in steps.items()), machine
