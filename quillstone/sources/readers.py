@@ -7,9 +7,9 @@ import html as entities
 import io
 import re
 from itertools import islice
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, unquote_to_bytes, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +38,18 @@ def sniffed(text: Column) -> Column:
 def cells(text: Column, delimiter: Column) -> Column:
     """array<array<string>>: rows of quoted delimited text with quotes doubled and line breaks inside them; blank rows go."""
 
-    @F.pandas_udf("array<array<string>>")
-    def parse(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        def one(body, mark):
-            if body is None:
-                return None
-            rows = csv.reader(io.StringIO(body.removeprefix("﻿"), newline=""), delimiter=mark)
-            return [row for row in rows if any(c.strip() for c in row)]
-
-        return pd.Series([one(b, m) for b, m in zip(texts, marks)])
+    @F.arrow_udf("array<array<string>>")
+    def parse(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        flat: list[str] = []
+        rows, files = [0], []
+        for body, mark in zip(texts.to_pylist(), marks.to_pylist()):
+            files.append(None if body is None else len(rows) - 1)
+            if body is not None:
+                for row in csv.reader(io.StringIO(body.removeprefix("\ufeff"), newline=""), delimiter=mark):
+                    if "".join(row).strip():
+                        flat += row
+                        rows.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array([*files, len(rows) - 1], pa.int32()), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(flat, pa.string())))
 
     # So marked, it isn't evaluated anew for a filter on what it gives.
     return parse.asNondeterministic()(text, delimiter)
@@ -60,15 +63,20 @@ def header_of(rows: Column, scan: int = 15, least: int = 2) -> Column:
     return let(best, lambda b: F.when(b["score"] >= least, F.struct(b["score"].alias("score"), (-b["back"]).cast("long").alias("row"))))
 
 
+def _header_once(rows: Column, scan: int = 15, least: int = 2) -> Column:
+    """A row with header_of, none without a header; a filter on header_of would have it made twice."""
+    return F.explode(F.filter(F.array(header_of(rows, scan, least)), lambda h: h.isNotNull()))
+
+
 def header_rows(grids: DataFrame, key: str, rows: str, scan: int = 15, least: int = 2) -> DataFrame:
     """key, header_row and score of each grid that has a header."""
-    found = grids.select(key, header_of(F.col(rows), scan, least).alias("_h")).where(F.col("_h").isNotNull())
+    found = grids.select(key, _header_once(F.col(rows), scan, least).alias("_h"))
     return found.select(key, F.col("_h.row").alias("header_row"), F.col("_h.score").alias("score"))
 
 
 def keyed_rows(grids: DataFrame, key: str, rows: str) -> DataFrame:
     """key, row, heading and cell below each grid's header; a blank heading is column_N, blank rows go."""
-    held = grids.select(key, F.col(rows).alias("_rows"), header_of(F.col(rows))["row"].alias("header_row")).where(F.col("header_row").isNotNull())
+    held = grids.select(key, F.col(rows).alias("_rows"), _header_once(F.col(rows)).alias("_h")).select(key, "_rows", F.col("_h.row").alias("header_row"))
     names = F.transform(F.get(F.col("_rows"), F.col("header_row").cast("int")), lambda c, i: F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
     body = held.select(key, names.alias("names"), "header_row", F.posexplode("_rows").alias("row", "cells")).where((F.col("row") > F.col("header_row")) & F.exists("cells", lambda c: F.trim(c) != ""))
     return body.select(key, F.col("row").cast("long").alias("row"), F.posexplode("names").alias("at", "heading"), "cells").select(key, "row", "heading", F.get("cells", F.col("at")).alias("cell"))
@@ -182,19 +190,37 @@ def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return each.select(key, "table", "row", F.posexplode("_cells").alias("col", "value"))
 
 
+_ROW, _CELL, _TAG = re.compile(r"(?s)<tr[^>]*>(.*?)</tr>"), re.compile(r"(?s)<(td|th)\b([^>]*)>(.*?)</\1>"), re.compile("<[^>]*>")
+_GUTTER, _SPAN = re.compile("row-header|column-header|freezebar|grid-sticky", re.I), re.compile(r'\b(col|row)span="(\d{1,4})"', re.I)
+_HREF, _WEB = re.compile(r'<a\b[^>]*\bhref="([^"]+)"', re.I), re.compile("https?://", re.I)
+# What a redirect has, and one that starts with the address in plain characters, which needs no parsing.
+_URL, _REDIRECT = re.compile(r"/\s*u\s*r\s*l"), re.compile(r"""(?:(?i:https?)://[A-Za-z0-9.-]+)?/url\?q=([!"$%'-~]+)(?:[&#]|$)""")
+
+
 def _spans(attributes: str) -> tuple[int, int]:
     """Columns and rows that a cell covers."""
-    found = (re.search(rf'\b{name}="(\d{{1,4}})"', attributes, re.I) for name in ("colspan", "rowspan"))
-    return tuple(min(max(int(m[1]), 1), 1000) if m else 1 for m in found)
+    columns, rows = 1, 1
+    for axis, n in reversed(_SPAN.findall(attributes)):
+        if axis.lower() == "col":
+            columns = min(max(int(n), 1), 1000)
+        else:
+            rows = min(max(int(n), 1), 1000)
+    return columns, rows
 
 
 def _link(body: str) -> str | None:
-    """The web address of a cell's first link, taken out of a redirect that names it."""
-    found = re.search(r'<a\b[^>]*\bhref="([^"]+)"', body, re.I)
+    """The web address of a cell's first link, taken out of a redirect that names it; what can't be parsed is no redirect."""
+    found = _HREF.search(body)
     at = entities.unescape(found[1]) if found else ""
-    if urlsplit(at).path == "/url":
-        at = parse_qs(urlsplit(at).query).get("q", [at])[0]
-    return at if re.match("https?://", at, re.I) else None
+    if plain := _REDIRECT.match(at):
+        at = unquote_to_bytes(plain[1].replace("+", " ")).decode("utf-8", "replace")
+    elif _URL.search(at):
+        try:
+            to = urlsplit(at)
+            at = parse_qs(to.query).get("q", [at])[0] if to.path == "/url" else at
+        except ValueError:
+            pass
+    return at if _WEB.match(at) else None
 
 
 def sheet_cells(page: str | None) -> list[tuple[int, int, str | None, str | None]]:
@@ -204,22 +230,25 @@ def sheet_cells(page: str | None) -> list[tuple[int, int, str | None, str | None
     columns in the rows below, so that columns are those of the sheet. Cells without value and link go. Rows beyond
     SHEET_ROWS are not read; a sheet of more than SHEET_CELLS cells is refused as a whole, and has none.
     """
-    table = re.search(r"(?s)<table.*?(?:</table>|$)", page or "")
+    page = page or ""
+    start, end = page.find("<table"), page.find("</table>", page.find("<table"))
+    table = "" if start < 0 else page[start:] if end < 0 else page[start:end]
     below: dict[int, int] = {}
     out, taken = [], 0
-    for r, row in enumerate(m[1] for m in islice(re.finditer(r"(?s)<tr[^>]*>(.*?)</tr>", table[0] if table else ""), SHEET_ROWS)):
+    for r, row in enumerate(m[1] for m in islice(_ROW.finditer(table), SHEET_ROWS)):
         col, held = 0, dict(below)
         below = {c: n - 1 for c, n in held.items() if n > 1}
-        for tag, attributes, body in re.findall(r"(?s)<(td|th)\b([^>]*)>(.*?)</\1>", row):
-            if tag == "th" and re.search("row-header|column-header|freezebar|grid-sticky", attributes, re.I):
+        for tag, attributes, body in _CELL.findall(row):
+            if tag == "th" and attributes and _GUTTER.search(attributes):
                 continue
             while col in held:
                 col += 1
-            columns, rows = _spans(attributes)
+            columns, rows = _spans(attributes) if attributes else (1, 1)
             taken += columns
             if taken > SHEET_CELLS:
                 return []
-            value, link = " ".join(entities.unescape(re.sub("<[^>]*>", " ", body)).split()) or None, _link(body)
+            tagged = "<" in body
+            value, link = " ".join(entities.unescape(_TAG.sub(" ", body) if tagged else body).split()) or None, _link(body) if tagged else None
             if value or link:
                 out.append((r, col, value, link))
             if rows > 1:
@@ -232,9 +261,16 @@ def published_sheet(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, row, col, value and link of every page's sheet. Spans carry from row to row, so Python reads each page."""
     ship(pages.sparkSession)
 
-    @F.pandas_udf("array<struct<row:int,col:int,value:string,link:string>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [dict(zip(("row", "col", "value", "link"), c)) for c in sheet_cells(x)])
+    @F.arrow_udf("array<struct<row:int,col:int,value:string,link:string>>")
+    def read(texts: pa.Array) -> pa.Array:
+        flat: list[tuple[int, int, str | None, str | None]] = []
+        ends = [0]
+        for text in texts.to_pylist():
+            flat += sheet_cells(text)
+            ends.append(len(flat))
+        columns = zip(*flat) if flat else [()] * 4
+        made = [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string()))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, ["row", "col", "value", "link"]))
 
     return pages.select(key, F.explode(read(html)).alias("_c")).select(key, "_c.*")
 

@@ -170,6 +170,46 @@ def test_published_sheet(spark):
     assert found == [(1, 1, 0, "Lot & plan", None), (1, 1, 2, "Tall", None), (1, 2, 0, "p", "https://example.org/p.pdf"), (1, 2, 1, "b", None), (1, 2, 3, "after", None), (1, 3, 0, "c d", None), (1, 3, 1, "no", None), (1, 3, 2, "own", None)]
 
 
+def test_sheet_links():
+    """Redirects in plain characters, others, and an address that can't be parsed, which once failed the whole job."""
+    cases = {
+        "https://x.org/url?q=https%3A%2F%2Fy.org%2F+a%FF&amp;z=1": "https://y.org/ a\ufffd",
+        "/url?q=http://y.org/%C3%A9#f": "http://y.org/é",
+        "https://x.org/url?b=1&q=https://z.org/é": "https://z.org/é",
+        "https://x.org/url?q=&q=https://z.org": "https://z.org",
+        "HTTPS://x.org/URL?q=http://q/": "HTTPS://x.org/URL?q=http://q/",
+        "https://x.org/url?q=javascript:x": None,
+        "http://[x/url?q=http://q/": "http://[x/url?q=http://q/",
+        "http://[x/": "http://[x/",
+    }
+    for address, link in cases.items():
+        assert readers.sheet_cells(f'<table><tr><td rowspan="2" colspan="3" rowspan="9"><a href="{address}">a</a></td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr></table>\n') == [(0, 0, "a", link), (0, 3, "b", None), (1, 3, "c", None), (2, 0, "d", None)], address
+
+
+def test_reader_returns_arrow(spark):
+    """Rows of files and cells of sheets are built by column: with nulls and empty files among them, and over several batches."""
+    texts = ["a,b\n\n , \n1,\"2\n3\"\n", None, "", "\ufeffx\n"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(1)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        found = {r.n: r.c for r in df.select("n", readers.cells(F.col("t"), F.lit(",")).alias("c")).collect()}
+        plan = df.select(readers.cells(F.col("t"), F.lit(",")))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert found == {n: [[["a", "b"], ["1", "2\n3"]], None, [], [["x"]]][n % 4] for n in range(len(texts))}
+    assert "ArrowEvalPython" in plan and ", 250" in plan
+
+
+def test_header_is_looked_for_once(spark):
+    """Of the known headings' map there is one copy of each use, not one for a filter too."""
+    grids = spark.createDataFrame([(1, [["Lot", "Price v3"], ["1", "2"]]), (2, [["x"]]), (3, None)], "n int, x array<array<string>>")
+    plan = readers.header_rows(grids, "n", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.replace("filter(", "")
+    assert [tuple(r) for r in readers.header_rows(grids, "n", "x").collect()] == [(1, 0, 2)]
+    assert [tuple(r) for r in readers.keyed_rows(grids, "n", "x").orderBy("heading").collect()] == [(1, 1, "Lot", "1"), (1, 1, "Price v3", "2")]
+
+
 def test_title_fallbacks(spark):
     meta = """<META content='Og &amp; <b>x</b>' name=a property="og:title">"""
     cases = [("<title> a\n<b>b</b> </title><h1>c</h1>", "a b"), (f"<title> </title>{meta}<h1>c</h1>", "Og & x"), ("<h1 class=q>Lot <i>5</i></h1><h1>d</h1>", "Lot 5"), (f"<title>{'t' * 300}</title>", "t" * 200), ("<p>x</p>", None), (None, None)]
