@@ -13,6 +13,7 @@ from quillstone.session import scratch
 from quillstone.sources import readers as S
 from quillstone.sources.delimited import read_delimited
 from quillstone.sources.sinks import csv_line
+from quillstone.sources.tables import spread
 
 _HEADINGS = ["Land Size (m2)", "LAND $", "Package Price - V002", "Build Price - V002", "Lot #", "BED // BATH // CAR", "  Estate  Name ", "House m²", "Yield %", "Status", "", "Suburb/Town", "Price V12"]
 _CELLS = ["$749,000", "3.5", "3+1", "POA", "From $749,000", "n/a", "TBC", " 1,234.50 ", "-7", "$ 12", "none", "12 to 14", ""]
@@ -330,7 +331,7 @@ _LISTED = "SELECT e.event_id, coalesce(paths, '') AS paths FROM events e LEFT JO
 
 
 def _payloads(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.expr(_DEEP.replace("\\", "\\\\")).alias("payload"))
+    return spread(t.events.select("event_id", "props")).select("event_id", F.expr(_DEEP.replace("\\", "\\\\")).alias("payload"))
 
 
 @query(

@@ -100,6 +100,15 @@ def test_walk_stays_in_the_jvm(spark, capsys):
     assert "UnionLoop" in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_walk_keeps_what_is_found_or_opened(spark):
+    """Rows of a step that no later one needs are dropped in it: of 40 texts and two containers the containers and one hit stay."""
+    many = "{" + ", ".join(f'"k{i}": "[{i}"' for i in range(40)) + ', "o": {"cost": "{"}, "l": []}'
+    df = spark.createDataFrame([(1, many), (2, None), (3, "not json")], "n int, x string")
+    held = privacy._walked(df, "n", "x", privacy.FORBIDDEN, True, True).collect()
+    assert sorted((r.owner, r.path, r.hit) for r in held) == [(1, "", False), (1, "l", False), (1, "o", False), (1, "o.cost", True), (2, "", False), (3, "", False)]
+    assert privacy.walk(df, "n", "x").count() == 46
+
+
 CSV = "\ufeffStock list,,\n\nLot,Address,Price\n1,\"12 High St, Lara\",\"$749,000\"\n2,\"The \"\"Oaks\"\"\nRear\",POA\n,,\n"
 
 
