@@ -42,6 +42,18 @@ def inbound(spark, folder, n=200):
     return rows, events.InboundQueue(spark, folder, links, owned, ["view"], ["selected"])
 
 
+def test_large_rounds_are_compacted(spark, tmp_path, monkeypatch):
+    """After a large round only what still waits is kept, and no batch is left to merge; small rounds leave their batches."""
+    shape = "event_id long, received_at timestamp, connection long, event_type string, item long, status string, attempts int, fails int"
+    for large, left in ((10, 0), (1000, 2)):
+        monkeypatch.setattr(events, "LARGE", large, raising=False)
+        rows, queue = inbound(spark, str(tmp_path / str(large)), 40)
+        queue.receive(spark.createDataFrame(rows, shape), "all", 0)
+        counts = queue.work(START + datetime.timedelta(days=1), None)
+        assert sum(counts.values()) == 39 and queue.waiting.snapshot().count() == counts["deferred"]
+        assert len(queue.waiting.manifest()["deltas"]) == left
+
+
 def expected(rows):
     """What becomes of every event: the last applied one of each item, and the dead ones with a reason."""
     state, dead = {}, {}
